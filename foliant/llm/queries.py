@@ -93,8 +93,8 @@ def oracle_sql() -> dict[str, str]:
             ),
             usable AS (
                 SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-                AND list_sum(list_transform(e, x -> CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 1 ELSE 0 END)) = 0
-                AND list_max(list_transform(e, x -> abs(x))) > 0
+                AND list_sum(list_transform(e, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 1 ELSE 0 END)) = 0
+                AND list_max(list_transform(e, lambda x: abs(x))) > 0
             ),
             links AS (
                 SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
