@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pick
+from foliant.llm.common import pick, stash
 
 # Elements by how they are read.
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
@@ -195,10 +195,10 @@ def containers(root: Node) -> list[Node]:
         if block.tag not in ("p", "pre", "blockquote", "li", "td", *HEADINGS):
             worth *= 0.5
         share, node = 1.0, block.parent
-        if block.tag in ("article", "main", "section", "div", "td", "body"):
+        if block.tag in ("", "article", "main", "section", "div", "td", "body"):
             node = block
         for _ in range(3):
-            if node is None or not node.tag:
+            if node is None:
                 break
             held[id(node)] = node
             node.score += worth * share
@@ -279,7 +279,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     votes = own.select("host", "html").mapInArrow(vote, "host string, path string, votes double")
     votes = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    winners = votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", F.col("best.path").alias("winner"))
+    winners = votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"))
+    # as a table, the join's two sides are plain exchanges, and a host with very many pages can be split
+    winners = stash(winners.select("host", F.col("best.path").alias("winner")), "winners")
 
     kind = pages.schema[page_id].dataType.simpleString()
 
