@@ -227,3 +227,43 @@ def last_admin(users: DataFrame, user_id: str) -> DataFrame:
     """One row: whether no other active admin is left."""
     others = (F.col("role") == "admin") & (F.col("status") == "active") & (F.col("user_id") != user_id)
     return users.agg((F.count(F.when(others, 1)) == 0).alias("last_admin"))
+
+
+def lookup(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """At most one row by a key; the filter reaches the scan."""
+    return rows.where(F.col(key) == value).limit(1)
+
+
+def owns_session(sessions: DataFrame, session_id: str, user_id: str) -> DataFrame:
+    """One row: whether the session is the user's."""
+    mine = (F.col("session_id") == session_id) & (F.col("user_id") == user_id)
+    return sessions.agg((F.count(F.when(mine, 1)) > 0).alias("owned"))
+
+
+def taken(users: DataFrame, username: str) -> DataFrame:
+    """One row: whether the name is in use."""
+    return users.agg((F.count(F.when(F.col("username") == username, 1)) > 0).alias("taken"))
+
+
+def selected(rows: DataFrame, ids: DataFrame, key: str = "book_id") -> DataFrame:
+    """Listed rows among those selected."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
+def top_keywords(books: DataFrame, most: int = 50) -> DataFrame:
+    """Each book's keywords by falling weight, ties by term, cut to ``most`` (<= 0: all)."""
+    heavier = F.array_sort(
+        F.transform("keywords", lambda k: F.struct((-k["weight"]).alias("order"), k["term"].alias("term"), k["weight"].alias("weight")))
+    )
+    kept = F.slice(heavier, 1, most) if most > 0 else heavier
+    return books.withColumn("keywords", F.transform(kept, lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))))
+
+
+def parsed_tags(tags: Column) -> Column:
+    """Tags from JSON text; what can't be read counts as none."""
+    return F.coalesce(F.from_json(tags, "array<string>"), F.array().cast("array<string>"))
+
+
+def audit_entry(rows: DataFrame, path: str) -> None:
+    """Append to the audit log, which is never rewritten."""
+    rows.write.mode("append").parquet(path)

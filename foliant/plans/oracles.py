@@ -364,6 +364,13 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN b.language = 'eng' THEN b.title ELSE best.id END AS chapter_title, CAST(round(score * 100) AS INTEGER) AS percent
             FROM best JOIN books b ON b.book_id = best.id
         """,
+        "book_lookup": f"WITH {BOOKS} SELECT book_id, title, status FROM books WHERE book_id = '17'",
+        "session_owner": "SELECT count(*) > 0 AS owned FROM conversations WHERE conv_id = 3 AND conv_id % 10 = 3",
+        "books_selected": f"WITH {BOOKS} SELECT book_id, status FROM books WHERE CAST(book_id AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "keywords_shown": f"""
+            WITH {topk(6)}, placed AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS n FROM top)
+            SELECT doc_id, string_agg(term, ',' ORDER BY n) AS terms FROM placed WHERE n <= 3 GROUP BY doc_id
+        """,
         "task_stage_log": f"""
             WITH {STEPS},
             logs AS (SELECT task_id, string_agg(stage || ':' || progress, ',' ORDER BY seq) AS log FROM steps GROUP BY task_id)

@@ -407,6 +407,30 @@ def citation_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.cited_titles(qa.citations(_hybrid(spark, sf_dir, k=5)), books, chapters)
 
 
+@query
+def book_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.lookup(V.books(spark, sf_dir), "book_id", "17").select("book_id", "title", "status")
+
+
+@query
+def session_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.owns_session(V.sessions(spark, sf_dir), "3", "u3")
+
+
+@query
+def books_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = V.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("book_id"))
+    return catalog.selected(V.books(spark, sf_dir), ids).select("book_id", "status")
+
+
+@query
+def keywords_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = keywords.term_topk(V.table(spark, sf_dir, "documents"), ["doc_id"], 6)
+    books = top.groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("keywords"))
+    shown = catalog.top_keywords(books, 3)
+    return shown.select("doc_id", F.array_join(F.transform("keywords", lambda k: k["term"]), ",").alias("terms"))
+
+
 # Control --------------------------------------------------------------------------------------
 
 

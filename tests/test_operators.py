@@ -342,3 +342,41 @@ def test_stream_twins_equal_their_batches(spark, tmp_path):
     assert sorted(map(tuple, got.select("client", "event_id", "allowed").collect())) == sorted(map(tuple, want.collect()))
     alive = streams.run_available(streams.sessions_alive(stream, 24), str(tmp_path / "s2"), str(tmp_path / "o2"))
     assert sorted((r["client"], r["opened_at"], r["n"]) for r in alive.collect()) == [("b", 0.0, 2), ("b", 100000.0, 2)]
+
+
+def test_schemas_conform(spark, tmp_path):
+    from foliant.sources import schemas
+
+    old = spark.createDataFrame([("1", "t", 5)], "book_id string, title string, gone int")
+    got = schemas.conform(old, "books")
+    assert got.schema.simpleString() == schemas.TABLES["books"].simpleString()
+    row = got.first()
+    assert row["author"] == "" and row["tags"] == [] and row["created_at"] is None
+    assert schemas.conform(spark.createDataFrame([("c",)], "chapter_id string"), "chapters").first()["level"] == 1
+    old.write.parquet(str(tmp_path / "old"))
+    found = schemas.migrate(spark, str(tmp_path / "old"), str(tmp_path / "new"), "books")
+    assert found["extra"] == ["gone"] and "author" in found["missing"] and found["changed"] == []
+    assert schemas.changes(spark.read.parquet(str(tmp_path / "new")).schema, "books") == {"missing": [], "extra": [], "changed": []}
+
+
+def test_settings(tmp_path):
+    from foliant.sources import config
+
+    (tmp_path / "c.json").write_text('{"chunk_size": 300, "unknown": 1}')
+    got = config.load(str(tmp_path / "c.json"), {"FOLIANT_SKIP_BACK_MATTER": "off", "FOLIANT_RATE_BURST": "7"})
+    assert (got.chunk_size, got.skip_back_matter, got.rate_burst, got.chunk_overlap) == (300, False, 7.0, 50)
+    assert config.load(None, {}) == config.Settings()
+
+
+def test_small_catalog_rules(spark, tmp_path):
+    users = spark.createDataFrame([("ann",)], "username string")
+    assert catalog.taken(users, "ann").first()[0] and not catalog.taken(users, "bob").first()[0]
+    assert column(spark, ['["a","b"]', "bad", None], catalog.parsed_tags) == [["a", "b"], [], []]
+    catalog.audit_entry(users, str(tmp_path / "log"))
+    catalog.audit_entry(users, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    tasks = spark.createDataFrame([("t", "b", "failed", 3, 1)], "task_id string, book_id string, status string, progress int, dispatched_at int")
+    assert tuple(control.retry(tasks, ["t"]).select("status", "progress", "dispatched_at").first()) == ("pending", 0, None)
+    books = spark.createDataFrame([("b", "pending"), ("c", "ready")], "book_id string, status string")
+    done = spark.createDataFrame([("b", "ingest", "completed", 2), ("b", "ingest", "processing", 1), ("c", "summarize", "failed", 1)], "book_id string, type string, status string, created_at int")
+    assert {tuple(r) for r in control.book_states(books, done).collect()} == {("b", "ready"), ("c", "ready")}
