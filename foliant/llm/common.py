@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="foliant-")
+    folder = tempfile.mkdtemp(prefix="foliant-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 

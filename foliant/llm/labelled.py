@@ -1,8 +1,7 @@
-"""A bounded sample of labelled documents, for fitting a classifier on the driver."""
+"""A bounded sample of labelled documents, for fitting a classifier."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +13,8 @@ MOST_CHARS = 50_000
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: tuple[int, int] | None = None
-) -> pa.Table:
-    """(text, label) of at most ``rows`` labelled documents, those of least hash.
+) -> DataFrame:
+    """(doc_id, text, label) of at most ``rows`` labelled documents, those of least hash.
 
     ``held_out`` = (n, r) leaves out rows whose crc32(doc_id as text) mod n is r. Rows without
     a label, an id or a text are left out; of rows that repeat a doc_id one is taken.
@@ -27,5 +26,5 @@ def labelled_sample(
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
     texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text") <= MOST_CHARS)
     # at most ``rows`` ids are broadcast; texts of one id are reduced to one before they move
-    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    return found.orderBy("doc_id").select("text", "label").toArrow()
+    found = texts.join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

@@ -70,11 +70,18 @@ def expand(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def evidence(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, into: str = "evidence") -> DataFrame:
     """``docs`` plus the probability of quality 1 from the whole text, by a classifier fitted on ``rows`` labelled rows at most."""
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x, batch.column("label")], names=["doc_id", "x", "label"])
+
     sample = labelled_sample(docs, labels, "quality", rows)
-    y = sample.column("label").to_numpy() if sample.num_rows else np.zeros(0)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    shapes = sample.mapInArrow(shape, f"doc_id {kind}, x array<double>, label int").orderBy("doc_id").toArrow()
+    y = shapes.column("label").to_numpy()
     model = None
     if len(set(y.tolist())) == 2:
-        model = fit(np.array([features(t) for t in sample.column("text").to_pylist()]), y)
+        model = fit(np.array(shapes.column("x").to_pylist()), y)
     at = docs.schema.fieldNames().index("text")
     out = with_field(docs.schema, into, "double")
 
@@ -119,7 +126,7 @@ def classify(
     """Posterior quality of every document from its own evidence and that of its site.
 
     Returns per row: doc_id, host, path, evidence, host_posterior, path_posterior, score,
-    accepted (score >= threshold) and, with ``keep_row``, the input row as struct ``record``.
+    kept (score >= threshold) and, with ``keep_row``, the input row as struct ``record``.
 
     A host's posterior is its documents' mean evidence shrunk to the corpus mean, a path's is
     shrunk to its host's; how strongly follows from how far the groups' means lie apart. So a
@@ -160,6 +167,6 @@ def classify(
         "host_posterior",
         "path_posterior",
         "score",
-        (F.col("score") >= threshold).alias("accepted"),
+        (F.col("score") >= threshold).alias("kept"),
         *(["record"] if keep_row else []),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,24 +31,26 @@ _WORD = re.compile(r"\w+")
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all words' character n-grams, number for each word); a word is marked <word>."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     marked = ["<" + w + ">" for w in words]
-    chars = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # characters to the word's end
-    owner = np.repeat(np.arange(len(words)), sizes)
-    found, owners = [], []
-    for n in SIZES:
+    del marked
+    left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))).astype(np.int32)  # characters to the word's end
+    per_word = np.stack([np.maximum(sizes - n + 1, 0) for n in SIZES], axis=1)
+    counts = per_word.sum(axis=1)
+    starts = (np.cumsum(counts)[:, None] - counts[:, None] + np.cumsum(per_word, axis=1) - per_word).T
+    out = np.empty(int(counts.sum()), np.int32)
+    for k, n in enumerate(SIZES):
         at = np.flatnonzero(left >= n)
         h = np.full(len(at), 1469598103934665603 + n, np.uint64)
-        for k in range(n):
-            h = (h ^ chars[at + k]) * np.uint64(1099511628211)
+        for j in range(n):
+            h = (h ^ chars[at + j]) * np.uint64(1099511628211)
         h ^= h >> np.uint64(29)
-        found.append((h % np.uint64(BUCKETS)).astype(np.int64))
-        owners.append(owner[at])
-    owners = np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order], np.bincount(owners, minlength=len(words))
+        ends = np.cumsum(per_word[:, k])
+        place = np.repeat(starts[k] - (ends - per_word[:, k]), per_word[:, k]) + np.arange(len(at))
+        out[place] = h % np.uint64(BUCKETS)
+    return out, counts
 
 
 def once(z: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -111,11 +114,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
     The first coordinate starts from the log odds of the n-gram among toxic texts.
     """
     rng = np.random.default_rng(seed)
-    words = [_WORD.findall(t.lower()) for t in texts]
-    numbers = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-    flat = np.fromiter((numbers[w] for ws in words for w in ws), np.int64)
-    cuts = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+    numbers: dict[str, int] = {}
+    flat_words, sizes = array("i"), [0]
+    for text in texts:
+        own = _WORD.findall(text.lower())
+        flat_words.extend([numbers.setdefault(w, len(numbers)) for w in own])
+        sizes.append(len(own))
+    flat = np.frombuffer(flat_words, np.int32) if flat_words else np.zeros(0, np.int32)
+    cuts = np.cumsum(sizes)
     grams, counts = subwords(list(numbers))
+    del numbers
     gram_ends = np.cumsum(counts)
     good, bad = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
     seen = np.zeros((2, BUCKETS))
@@ -168,14 +176,30 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> SubwordModel:
-    """The model of at most ``rows`` rows whose crc32 remainder is not the held-out one."""
+    """The model of at most ``rows`` rows whose crc32 remainder is not the held-out one.
+
+    One task trains it on that bounded sample; the driver gets the arrays alone.
+    """
     sample = labelled_sample(docs, labels, "toxic", rows, held_out=(3, 1))
-    if not sample.num_rows:
-        return SubwordModel(np.zeros((BUCKETS, DIMENSIONS)), np.zeros((2, DIMENSIONS)), -4.0)
-    texts, y = sample.column("text").to_pylist(), sample.column("label").to_numpy()
-    aside = np.arange(len(y)) % CALIBRATION == 0
-    model = fit([t for t, a in zip(texts, aside) if not a], y[~aside])
-    return calibrate(model, pa.array([t for t, a in zip(texts, aside) if a], pa.string()), y[aside])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        own = pa.Table.from_batches(held).sort_by("doc_id")
+        del held
+        texts, y = own.column("text").to_pylist(), own.column("label").to_numpy()
+        aside = np.arange(len(y)) % CALIBRATION == 0
+        model = fit([t for t, a in zip(texts, aside) if not a], y[~aside])
+        model = calibrate(model, pa.array([t for t, a in zip(texts, aside) if a], pa.string()), y[aside])
+        parts = model.embeddings.astype(np.float32).tobytes(), model.softmax.tobytes(), float(model.bias)
+        yield pa.RecordBatch.from_pylist([dict(zip(("embeddings", "softmax", "bias"), parts))])
+
+    got = sample.coalesce(1).mapInArrow(run, "embeddings binary, softmax binary, bias double").collect()
+    if not got:
+        return SubwordModel(np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((2, DIMENSIONS)), -4.0)
+    embeddings = np.frombuffer(got[0]["embeddings"], np.float32).reshape(BUCKETS, DIMENSIONS)
+    return SubwordModel(embeddings, np.frombuffer(got[0]["softmax"]).reshape(2, DIMENSIONS), got[0]["bias"])
 
 
 def calibrate(model: SubwordModel, texts: pa.Array, labels: np.ndarray, at: float = THRESHOLD) -> SubwordModel:

@@ -1,0 +1,554 @@
+"""The training-data operators against brute force, libraries and edge cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from foliant.llm import components, embdedup, exactdedup, groups, html, packing, quality, sharding, simhash, spm, tokencount, toxicity
+from foliant.llm.queries import vocabulary
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+EDGES = [
+    (1, "the quick brown fox jumps over the lazy dog", "en", "a"),
+    (2, None, None, None),
+    (3, "", "en", "a"),
+    (4, "the  quick brown\n fox jumps over the lazy dog", "en", "b"),
+    (4, "the  quick brown\n fox jumps over the lazy dog", "en", "b"),
+    (None, "  leading and trailing  ", "de", "c"),
+    (7, "x", "fr", ""),
+    (8, "word " * 3000, "es", "hot"),
+    (9, "ßtraße 漢字 🎉 <|endoftext|> a▁b \x00", "de", "hot"),
+    (10, " ", "de", "hot"),
+    (11, "The quick brown fox jumps over the lazy dog", "en", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, la, s, len(t or "")) for i, t, la, s in EDGES]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 0, 1), (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def rows_of(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def random_texts(n, seed=0, alphabet="ab  the\n\t\r\x1c\x85\xa0 é漢🎉▁'sn't 12.5%"):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(n)]
+
+
+# 1 ---------------------------------------------------------------------------------------------
+
+
+def test_counts_equal_the_unigram_tokenizer(spark, docs, empty):
+    from tokenizers import Tokenizer, models
+
+    path = vocabulary("piece_bpe_32k.model")
+    counter = tokencount.Counter(path)
+    whole = Tokenizer(models.Unigram(list(zip(counter.model.pieces, counter.model.scores)), 0, True))
+    texts = [*random_texts(800), *(t or "" for _, t, _, _ in EDGES)]
+    want = [len(whole.encode("▁" + t.replace(" ", "▁")).ids) if t else 0 for t in texts]
+    assert counter.batch(pa.array(texts)).tolist() == want
+    got = rows_of(tokencount.token_counts(docs, path))
+    assert len(got) == len(EDGES)
+    assert {r["n_tokens"] for r in got if r["doc_id"] in (2, 3)} == {0}
+    assert tokencount.token_counts(empty, path).count() == 0
+
+
+def test_equal_scores_keep_the_longest_last_piece():
+    class Small(tokencount.Counter):
+        def __init__(self, pieces):
+            import ahocorasick
+
+            dict.__init__(self)
+            self.single = {p for p in pieces if len(p) == 1}
+            self.unknown = -100.0
+            self.automaton = ahocorasick.Automaton()
+            for p, s in pieces.items():
+                self.automaton.add_word(p, (len(p), s))
+            self.automaton.make_automaton()
+
+            class model:
+                byte_fallback = True
+
+            self.model = model
+
+    c = Small({"a": -1.0, "b": -1.0, "ab": -2.0, "bc": -3.0, "c": -2.0})
+    assert c.search("ab") == (1, -2.0)  # a + b scores the same
+    assert c.search("aé") == (3, -101.0)  # an unknown character is its bytes
+
+
+# 2 ---------------------------------------------------------------------------------------------
+
+
+def check_packing(pieces, texts_by_id, vocabulary_file):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary_file)
+    p = pd.DataFrame(pieces)
+    sizes = p.groupby("sequence_id")["length"].sum()
+    assert (sizes.sort_index().iloc[:-1] == packing.WINDOW).all() and sizes.max() <= packing.WINDOW
+    for _, w in p.groupby("sequence_id"):
+        w = w.sort_values("offset")
+        assert w["offset"].iloc[0] == 0 and (w["offset"].to_numpy()[1:] == (w["offset"] + w["length"]).to_numpy()[:-1]).all()
+    for i, text in texts_by_id.items():
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        own = p[p["doc_id"] == i].sort_values("start")
+        assert own["start"].tolist() == [0, *np.cumsum(own["length"])[:-1]] and own["length"].sum() == len(ids)
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids)
+
+
+def test_packing_round_trip(spark, docs, empty):
+    path = vocabulary("byte_bpe_50k.json")
+    texts = dict(enumerate([*random_texts(120, 3, "ab  the\n é漢 12.5%"), "long words " * 4000, "<|endoftext|> x", None]))
+    rows = [(i, t, "en", "hot" if i % 3 else f"s{i % 7}", 0) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows, DOCS).repartition(5)
+    pieces = packing.piece_digest(packing.pack(frame, path))
+    check_packing(rows_of(pieces), texts, path)
+    assert packing.pack(empty, path).count() == 0
+    edge = rows_of(packing.piece_digest(packing.pack(docs, path)))
+    assert sum(r["length"] for r in edge if r["doc_id"] == 4) == 2 * next(r["doc_tokens"] for r in edge if r["doc_id"] == 4)
+
+
+def test_round_robin_equals_the_loop():
+    totals, window = [1000, 37, 5, 0, 420], 64
+    turns = packing.RoundRobin(totals, [float(t) for t in totals], window)
+    stream, left, deficit = [], list(totals), [0] * len(totals)
+    while any(left):
+        for q in range(len(totals)):
+            deficit[q] += int(turns.quanta[q])
+            n = min(left[q], deficit[q] // packing.FINE)
+            deficit[q] -= n * packing.FINE
+            stream += [(q, totals[q] - left[q] + k) for k in range(n)]
+            left[q] -= n
+    places = {}
+    for q, n in enumerate(totals):
+        for start in range(0, n, 13):
+            for begin, place, length in zip(*packing.cut_at(window, *turns.pieces(q, start, min(13, n - start)))):
+                assert place // window == (place + length - 1) // window
+                places |= {int(place + k): (q, int(begin + k)) for k in range(length)}
+    assert [places[k] for k in range(len(stream))] == stream
+
+
+def test_windows_hold_target_shares(spark):
+    rows = [(i, "some words of a text here " * 30, "en", "a" if i < 60 else "b", 0) for i in range(120)]
+    frame = spark.createDataFrame(rows, DOCS)
+    pieces = pd.DataFrame(rows_of(packing.pack(frame, vocabulary("byte_bpe_50k.json"), weights={"a": 3.0, "b": 1.0}).drop("ids")))
+    share = pieces.groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
+    assert (share["a"].iloc[:3] - 1536).abs().max() <= 2
+
+
+# 3 ---------------------------------------------------------------------------------------------
+
+
+def test_quality_edges_and_shrinkage(spark, docs, empty, labels):
+    got = rows_of(quality.classify(docs, labels))
+    assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["host"] for r in got if r["doc_id"] == 2} == {None}
+    none = quality.classify(docs, labels.limit(0))
+    assert {r["evidence"] for r in rows_of(none)} == {0.5} and all(r["kept"] for r in rows_of(none))
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_sparse_sites_stay_near_the_corpus(spark):
+    good = [(i, f"plain prose about thing number {i} that reads well and goes on for a while", "en", "big", 0) for i in range(200)]
+    bad = [(1000 + i, f"@@## {i} $$$ ||| !!! %%% ### {i}", "en", "spam", 0) for i in range(200)]
+    lone = [(5000, "@@## $$$ ||| !!! %%% ###", "en", "lone", 0)]
+    frame = spark.createDataFrame(good + bad + lone, DOCS)
+    labels = frame.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"))
+    got = pd.DataFrame(rows_of(quality.classify(frame, labels)))
+    host = got.groupby("host")["host_posterior"].first()
+    assert host["spam"] < host["lone"] < host["big"]
+    assert got[got["doc_id"] < 1000]["kept"].all() and not got[got["doc_id"] >= 1000]["kept"].any()
+
+
+# 4 ---------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
+<nav><ul><li><a href="/x">menu</a></ul></nav><div class="ad">BUY &amp; SELL</div><div id="wrap"><div class="side-bar sidebar">aside text</div>
+<div class="story c12"><h1>Title &lt;1&gt;</h1><p>One  two<br>three&nbsp;four<p>Second <b>bold</b>
+paragraph with enough text in it to count.<blockquote>quoted</blockquote><div class="comments"><p>reader comment</p></div></div></div>
+<footer>&copy; me</footer></body>"""
+
+
+def test_html_main_text():
+    assert html.page_text(PAGE, None) == "Title <1>\nOne two three four\nSecond bold paragraph with enough text in it to count.\nquoted"
+    for broken in ("", "<", "<p", "plain", "<p>a<p>b", "</div></p>", "<div>" * 5000 + "x", "<article><p>cut &am", "<!-- open", "<script>x"):
+        html.page_text(broken, None)
+    assert html.page_text("<article><p>a &am</article>", None) == "a &am"
+    assert html.page_text("no  markup", None) == "no markup"
+
+
+def test_hosts_agree_on_a_path(spark):
+    page = "<body><div class='box7'><p>{0} own words here</p></div><div class='promo9x'><p>{1}</p></div></body>"
+    pages = [(i, f"http://h/{i}", page.format("short" * (1 + i % 3), "long shared offer " * (20 if i == 3 else 0))) for i in range(9)]
+    pages += [(20, None, None), (21, "http://other/", "<p>alone page</p>"), (0, "http://h/0", page.format("again", ""))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = rows_of(html.extract(frame))
+    text = {(r["page_id"], r["n_chars"]): r["text"] for r in got}
+    assert len(got) == len(pages) and (20, 0) in text
+    assert any(r["page_id"] == 21 and r["text"] == "alone page" for r in got)
+    assert all("own words here" in r["text"] for r in got if r["page_id"] < 9 and r["page_id"] != 3)
+    assert all(len(r["text"]) == r["n_chars"] for r in got)
+    assert html.extract(frame.limit(0)).count() == 0
+
+
+def test_host_parts_of_urls(spark):
+    urls = ["http://A.example.com/x", "//b/c", "https://u:p@c.d:80/?q", "nothing", None, ""]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in frame.select(html.host_of(F.col("url"))).collect()] == ["a.example.com", "b", "c.d", "", "", ""]
+
+
+# 5 ---------------------------------------------------------------------------------------------
+
+
+def test_shards(spark, docs, empty):
+    frame = spark.createDataFrame([(i % 40, "t" * (i % 90), "en", "s", 0) for i in range(1003)], DOCS)
+    sharded = sharding.shard(frame.withColumn("shard", F.lit("own column")), bucket_bytes=8000)
+    got = pd.DataFrame(rows_of(sharding.placement(sharded)))
+    counts = got.groupby("shard")["slot"]
+    assert len(got) == 1003 and counts.count().max() - counts.count().min() <= 1
+    assert all(sorted(s) == list(range(len(s))) for _, s in counts)
+    assert sorted(zip(got["doc_id"], got["size"])) == sorted((i % 40, i % 90 + 1) for i in range(1003))
+    again = pd.DataFrame(rows_of(sharding.placement(sharding.shard(frame, bucket_bytes=8000))))
+    key = ["shard", "slot"]
+    pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), again.sort_values(key, ignore_index=True))
+    edge = rows_of(sharding.placement(sharding.shard(docs)))
+    assert len(edge) == len(EDGES)
+    for r in edge:
+        if r["doc_id"] == 2:
+            assert r["size"] == 1 and r["text_crc32"] == 0
+    assert sharding.placement(sharding.shard(empty)).count() == 0
+
+
+def test_written_shards(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"t{i}", "en", "s", 0) for i in range(50)], DOCS)
+    sharding.write_shards(sharding.shard(frame, shards=4), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 50 and back.select("shard").distinct().count() == 4
+
+
+# 6 ---------------------------------------------------------------------------------------------
+
+
+def test_sentencepiece_equals_the_library(spark, docs, empty):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = spm.Encoder(path)
+    texts = [*random_texts(1500, 5), *(t or "" for _, t, _, _ in EDGES), "x" * 300, "<s> </s> <unk> <0x41>"]
+    for text, ids, bounds in zip(texts, *own.batch(pa.array(texts))):
+        assert ids.tolist() == library.encode(text)
+        assert own.decode(ids.tolist()).decode() == library.decode(ids.tolist())
+        assert len(bounds) == len(ids) + 1 and (np.diff(bounds) >= 0).all() and bounds[-1] == len(text.encode())
+    got = rows_of(spm.digest(spm.encode(docs, path)))
+    assert len(got) == len(EDGES)
+    for r in got:
+        if r["doc_id"] in (2, 3):
+            assert r["n_tokens"] == 0 and r["ids_sha256"] == r["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+        if r["doc_id"] == 1:
+            ids = library.encode(EDGES[0][1])
+            assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert spm.encode(empty, path).count() == 0
+
+
+def test_pieces_cover_their_bytes():
+    own = spm.Encoder(vocabulary("piece_bpe_32k.model"))
+    for text in ("straße 漢字", " two  spaces ", "a▁b", "é"):
+        ids, bounds = (x[0] for x in own.batch(pa.array([text])))
+        parts = [text.encode()[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        assert b"".join(parts) == text.encode()
+        for i, part in zip(ids.tolist(), parts):
+            assert own.text[i].replace(b" ", b"") == part.replace(b" ", b"").replace("▁".encode(), b"")
+
+
+def double_array(entries):
+    """A compiled character map for a few one-byte and two-byte prefixes, by trial of offsets."""
+    import struct
+
+    strings, places = b"", {}
+    for key, value in entries.items():
+        places[key] = len(strings)
+        strings += value + b"\0"
+    units, used = {0: 0}, {0}
+    trie = {}
+    for key in entries:
+        node = trie
+        for b in key:
+            node = node.setdefault(b, {})
+        node[None] = places[key]
+
+    def fill(at, node):
+        labels = [b for b in node if b is not None]
+        base = next(
+            o
+            for o in range(1, 1 << 16)
+            if o != at and (at ^ o) not in used and all((at ^ o ^ b) not in used for b in labels) and (None not in node or True)
+        )
+        units[at] = units.get(at, 0) | base << 10 | (256 if None in node else 0)
+        if None in node:
+            units[at ^ base] = node[None] | 1 << 31
+            used.add(at ^ base)
+        for b in labels:
+            used.add(at ^ base ^ b)
+        for b in labels:
+            units[at ^ base ^ b] = b
+            fill(at ^ base ^ b, node[b])
+
+    fill(0, trie)
+    n = max(units) + 1
+    return struct.pack(f"<I{n}I", 4 * n, *(units.get(k, 0) for k in range(n))) + strings
+
+
+def test_longest_prefix_normalisation_keeps_offsets():
+    from foliant.llm.pieces import PieceModel
+
+    table = {b"A": b"a", b"AB": b"xyz", "é".encode(): b"e", b"\t": b" "}
+    blob = double_array(table)
+    found = spm.CharacterMap(blob)
+    assert found.longest(b"ABC", 0) == (2, b"xyz") and found.longest(b"AC", 0) == (1, b"a") and found.longest(b"C", 0) is None
+    for extra in (False, True):
+        model = PieceModel(charsmap=blob, remove_extra_whitespaces=extra)
+        text = " ABA\t éq "
+        normal, origin = spm.Normaliser(model).aligned(text)
+        want = "▁xyza▁eq" if extra else "▁▁xyza▁▁eq▁"
+        assert normal == want and len(origin) == len(normal.encode()) + 1
+        raw, at = text.encode(), normal.encode().index(b"xyz")
+        assert raw[origin[at] : origin[at + 3]] == b"AB" and raw[origin[at + 3] : origin[at + 4]] == b"A"
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_stems_and_spares_clean_texts(spark, docs, empty, labels):
+    rng = random.Random(1)
+    plain = ["".join(rng.choice(["ta", "ri", "mo", "se", "lun", "der"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+
+    def text(toxic):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 80))]
+        if toxic:
+            words.insert(rng.randrange(len(words)), "zgrok" + rng.choice(["", "s", "ish", "ed", "ly"]))
+        return " ".join(words)
+
+    y = np.array([i % 5 == 0 for i in range(900)]).astype(int)
+    model = toxicity.fit([text(t) for t in y], y)
+    model = toxicity.calibrate(model, pa.array([text(t) for t in y[:200]]), y[:200])
+    fresh = model.scores(pa.array([text(t) for t in y]))
+    assert ((fresh >= 0.7) == y).mean() > 0.97
+    assert model.scores(pa.array(["ta ri zgrokking mo"]))[0] > model.scores(pa.array(["ta ri lunder mo", "", " "])).max()
+    got = rows_of(toxicity.toxicity(docs, labels))
+    assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+    assert toxicity.toxicity(empty, labels).count() == 0
+    assert {r["predicted"] for r in rows_of(toxicity.toxicity(docs, labels.limit(0)))} == {0}
+
+
+def test_training_never_reads_held_out_labels(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(300)], DOCS)
+    labels = frame.select("doc_id", F.lit(0).alias("toxic"))
+    from foliant.llm.labelled import labelled_sample
+
+    sample = labelled_sample(frame, labels, "toxic", 1000, held_out=(3, 1))
+    seen = {int(r["text"].split()[1]) for r in sample.collect()}
+    assert seen == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert labelled_sample(frame, labels, "toxic", 10).count() == 10
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text, k=4):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(ids, fps, distance):
+    comp = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    return [min(ids[k] for k in range(len(ids)) if comp[k] == c) for c in comp]
+
+
+def test_fingerprints(docs, empty):
+    for text in [*(t for _, t, _, _ in EDGES), *random_texts(200, 9)]:
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
+    got = rows_of(simhash.near_duplicates(docs))
+    assert len(got) == len(EDGES)
+    for r in got:
+        if r["doc_id"] in (2, 3, 10):
+            assert r["fingerprint"] == "0" * 16 and r["component_id"] == 2
+        if r["doc_id"] in (1, 4, 11):
+            assert r["component_id"] == 1
+    assert sum(r["kept"] for r in got) == len({r["component_id"] for r in got})
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize(("n", "clusters", "block"), [(300, 12, 4096), (700, 3, 40)])
+def test_forest_finds_every_close_pair(spark, monkeypatch, n, clusters, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(n)
+    centres = [rng.getrandbits(64) for _ in range(clusters)]
+    fps = set()
+    while len(fps) < n:
+        fp = rng.choice(centres)
+        for _ in range(rng.randint(0, 9)):
+            fp ^= 1 << rng.randrange(64)
+        fps.add(fp)
+    fps = sorted(fps)
+    frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    edges = simhash.close_pairs_forest(frame, 4, 3, 16, 1000)
+    labels = {r["node"]: r["component"] for r in components.connected_components(edges, "a", "b").collect()}
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    assert [labels.get(s, s) for s in signed] == brute_components(signed, fps, 4)
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    chain = [(i, i + 1) for i in range(0, 60)]
+    hub = [(1000, 1001 + i) for i in range(80)]
+    frame = spark.createDataFrame([*chain, *hub, (None, 3), (5, 5)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(frame, "a", "b").collect()}
+    assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(81)}
+    assert components.connected_components(frame.limit(0), "a", "b").count() == 0
+
+
+def test_bucket_blocks_meet_every_pair_once(spark):
+    rows = spark.createDataFrame([(0 if i < 90 else i % 4, i) for i in range(120)], "key long, id long")
+    dealt = groups.sorted_by_bucket(groups.split_buckets(rows, ["key"], "id", 16))
+
+    def pairs(batches):
+        for t in groups.by_bucket(batches):
+            ids, block = t.column("id").to_pylist(), t.column("block").to_pylist()
+            cross = t.column("cross")[0].as_py()
+            got = [(a, b) for a, p in zip(ids, block) for b, q in zip(ids, block) if a < b and (p != q) == cross]
+            a, b = zip(*got) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    met = [(r["a"], r["b"]) for r in dealt.mapInArrow(pairs, "a long, b long").collect()]
+    key = {r["id"]: r["key"] for r in rows.collect()}
+    want = {(a, b) for a in key for b in key if a < b and key[a] == key[b]}
+    assert len(met) == len(set(met)) and set(met) == want
+
+
+# 9 ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_vectors_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embdedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    data = []
+    for i in range(400):
+        v = centres[rng.integers(40)] + rng.normal(size=64) * rng.choice([0.0, 0.05, 0.1, 0.14, 0.3])
+        data.append((i, [float(x) for x in v.astype(np.float32)], int(i % 2)))
+    data += [(500 + k, data[0][1], 0) for k in range(60)]
+    data += [(600, None, 0), (601, [0.0] * 64, 0), (602, [float("nan")] * 64, 0), (603, data[0][1], None), (604, [], 0), (605, [1.0, None], 0), (606, data[0][1][:32], 0)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in rows_of(embdedup.near_vectors(frame))}
+    assert len(got) == len(data)
+    good = [d for d in data if d[0] < 600]
+    x = np.array([d[1] for d in good])
+    cos = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    lab = np.array([d[2] for d in good])
+    near = (cos >= 0.98) & (lab[:, None] == lab[None, :]) & ~np.eye(len(good), dtype=bool)
+    want = near.sum(axis=1)
+    n = np.array([got[d[0]]["n_links"] for d in good])
+    assert (n <= want).all() and n.sum() >= 0.97 * want.sum()
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(600, 607))
+    assert got[530]["component_id"] == got[0]["component_id"] and got[530]["n_links"] == got[0]["n_links"] >= 60
+    assert embdedup.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_rotation_is_orthogonal_and_balanced():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 64)) * np.linspace(0.1, 3, 64)
+    mean, p = embdedup.learn(x)
+    assert np.allclose(p.T @ p, np.eye(64), atol=1e-8)
+    assert (x - mean) @ p @ p.T == pytest.approx(x - mean)
+
+
+# 10 --------------------------------------------------------------------------------------------
+
+
+def test_exact_dedup(spark, docs, empty):
+    got = rows_of(exactdedup.exact_duplicates(docs))
+    assert len(got) == len(EDGES)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[4]["keep_id"] == 1 and by_id[4]["group_size"] == 3 and by_id[1]["kept"] and not by_id[4]["kept"]
+    assert by_id[3]["keep_id"] == 2 and by_id[11]["group_size"] == 1 and by_id[10]["group_size"] == 1
+    assert by_id[None]["kept"] and by_id[1]["text_sha256"] == hashlib.sha256(EDGES[0][1].encode()).hexdigest()
+    assert sum(r["kept"] for r in got) == len({r["text_sha256"] for r in got})
+    assert exactdedup.exact_duplicates(empty).count() == 0
+
+
+def test_repeated_ids_keep_one_row(spark):
+    frame = spark.createDataFrame([(5, "a b", "en", "s", 0)] * 3 + [(None, "c", "en", "s", 0)] * 2, DOCS)
+    got = rows_of(exactdedup.exact_duplicates(frame, keep_row=True))
+    assert sum(r["kept"] for r in got) == 2 and got[0]["record"]["text"] in ("a b", "c")
+
+
+def test_shared_digests_are_settled_by_bytes(spark, docs):
+    weak = (lambda norm: F.substring(F.sha2(norm.cast("binary"), 256), 1, 1), exactdedup.DIGESTS[0])
+    want = sorted(map(str, rows_of(exactdedup.exact_duplicates(docs))))
+    assert sorted(map(str, rows_of(exactdedup.exact_duplicates(docs, digests=weak)))) == want
+    with pytest.raises(ValueError):
+        exactdedup.exact_duplicates(docs, digests=weak[:1])
+
+
+def test_state_outlives_batches(spark, tmp_path):
+    """Copies that come in a later micro-batch meet the state of the earlier one."""
+    parts = [spark.createDataFrame([(f"d{i % 4}", k * 10 + i, k * 10 + i) for i in range(8)], "digest string, doc_id long, locator long") for k in range(3)]
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+    source._stash_path = str(tmp_path / "in")
+    got = {r["digest"]: r for r in rows_of(exactdedup.run_stream(source, per_trigger=1))}
+    assert {d: (r["keep_id"], r["keep_locator"], r["group_size"]) for d, r in got.items()} == {f"d{i}": (i, i, 6) for i in range(4)}
+
+
+# Clashing names --------------------------------------------------------------------------------
+
+
+def test_other_columns_may_have_any_name(spark, labels):
+    names = ["uid", "fp", "digest", "norm", "record", "score", "ids", "host", "path", "locator", "state", "bucket", "pos", "n", "node"]
+    frame = spark.createDataFrame([(1, "a b c d e", "en", "s", 0), (2, "a b c d e", "en", "s", 0)], DOCS)
+    frame = frame.select("*", *(F.lit(7).alias(n) for n in names), F.lit(1).alias("with space"))
+    path = vocabulary("piece_bpe_32k.model")
+    assert tokencount.token_counts(frame, path).count() == 2
+    assert packing.pack(frame, vocabulary("byte_bpe_50k.json")).count() >= 2
+    assert quality.classify(frame, labels, keep_row=True).select("record.*").columns == frame.columns
+    assert sharding.shard(frame).count() == 2 and spm.encode(frame, path).count() == 2
+    assert toxicity.toxicity(frame, labels).count() == 2
+    assert simhash.near_duplicates(frame, keep_row=True).where("kept").select("record.*").columns == frame.columns
+    assert exactdedup.exact_duplicates(frame, keep_row=True).where("kept").count() == 1
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1, 2)], "vec_id long, embedding array<float>, label int, weight int")
+    assert embdedup.near_vectors(vectors).count() == 1
