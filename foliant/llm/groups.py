@@ -31,10 +31,10 @@ def split_buckets(rows: DataFrame, keys: list[str], spread: str, most: int) -> D
     )
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def by_bucket(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[pa.Table]:
     """The rows of one bucket after another, from batches that are sorted by ``bucket``.
 
-    A bucket with one row gives nothing.
+    A bucket with fewer than ``least`` rows gives nothing.
     """
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -44,23 +44,23 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
         if held and held[-1].column("bucket")[0].as_py() != key[0]:
-            yield from _whole(held)
+            yield from _whole(held, least)
             held = []
         for a, b in zip(starts.tolist(), ends.tolist()):
             if b == len(key):
                 held.append(batch.slice(a, b - a))
             elif held:
                 held.append(batch.slice(a, b - a))
-                yield from _whole(held)
+                yield from _whole(held, least)
                 held = []
-            elif b - a > 1:
+            elif b - a >= least:
                 yield pa.Table.from_batches([batch.slice(a, b - a)])
     if held:
-        yield from _whole(held)
+        yield from _whole(held, least)
 
 
-def _whole(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
-    if sum(p.num_rows for p in parts) > 1:
+def _whole(parts: list[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    if sum(p.num_rows for p in parts) >= least:
         yield pa.Table.from_batches(parts)
 
 

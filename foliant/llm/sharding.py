@@ -10,48 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import stash
+from foliant.llm.groups import by_bucket
 
 BUCKET_BYTES = 32 << 20
+#: Most tasks of the second pass.
+TASKS = 1 << 15
 
 
-def shuffled(docs: DataFrame, text: str, seed: int, bucket_bytes: int) -> DataFrame:
+def shuffled(docs: DataFrame, text: str, seed: int, bucket_bytes: int, tasks: int = TASKS) -> DataFrame:
     """(bucket, pos, record): every row in a random place of a random bucket, written as a table.
 
     First pass: a seeded hash of the row's place in the input scatters rows uniformly over
     buckets of about ``bucket_bytes``, so equal rows and equal ids spread out too. Second pass:
-    a task holds a bucket, puts it into Fisher-Yates order and writes it.
+    a task takes one bucket after another, each in Fisher-Yates order, and writes them; Spark
+    sorts a task's rows by bucket, on disk if need be, so Python holds one bucket at a time.
+    There are as many tasks as buckets, at most ``tasks``.
     """
     record = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
     size = docs.agg(F.sum(F.coalesce(F.octet_length(docs[f"`{text}`"]), F.lit(0)) + 64)).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
+    buckets = int(max(1, -(-size // bucket_bytes)))
     rows = docs.select(record.alias("record"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("draw"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(buckets)))
 
     def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        del held
-        bucket, draw = (table.column(c).to_numpy() for c in ("bucket", "draw"))
-        order = np.lexsort((draw, bucket))  # the order of arrival may differ when a task runs again
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        pos = np.empty(len(order), np.int64)
-        for part in np.split(np.arange(len(order)), cuts):
-            own = np.random.default_rng((seed, int(bucket[order[part[0]]]))).permutation(len(part))
-            order[part] = order[part][own]
-            pos[part] = np.arange(len(part))
-        out = pa.table({"bucket": bucket[order], "pos": pos})
-        for at in range(0, len(order), 1024):
-            some = table.column("record").take(pa.array(order[at : at + 1024])).combine_chunks()
-            keys = out.slice(at, 1024)
-            yield pa.RecordBatch.from_arrays(
-                [keys.column(0).combine_chunks(), keys.column(1).combine_chunks(), some], names=["bucket", "pos", "record"]
-            )
+        for table in by_bucket(batches, least=1):
+            bucket = table.column("bucket")[0].as_py()
+            order = np.argsort(table.column("draw").to_numpy())  # the order of arrival may differ when a task runs again
+            order = order[np.random.default_rng((seed, bucket)).permutation(len(order))]
+            for at in range(0, len(order), 1024):
+                some = table.column("record").take(pa.array(order[at : at + 1024])).combine_chunks()
+                pos = pa.array(np.arange(at, at + len(some)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), bucket)), pos, some], names=["bucket", "pos", "record"])
 
     schema = rows.select("bucket", F.lit(0).cast("long").alias("pos"), "record").schema
-    dealt = rows.repartition(int(buckets), "bucket").select("bucket", "draw", "record")
-    return stash(dealt.mapInArrow(fisher_yates, schema), "buckets")
+    number = F.pmod(F.col("bucket"), F.lit(min(buckets, tasks))).cast("int")
+    dealt = rows.repartitionById(min(buckets, tasks), number).sortWithinPartitions("bucket")
+    return stash(dealt.select("bucket", "draw", "record").mapInArrow(fisher_yates, schema), "buckets")
 
 
 def shard(
@@ -72,7 +66,9 @@ def shard(
     base = counts.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(
         sums.select("block", above.alias("above")), "block"
     )
-    place = rows.join(base.select("bucket", (F.col("above") + F.col("within")).alias("base")), "bucket")
+    # a row a bucket; as a table its size is known, and while it is small the rows need no exchange
+    base = stash(base.select("bucket", (F.col("above") + F.col("within")).alias("base")), "places")
+    place = rows.join(base, "bucket")
     place = place.withColumn("place", F.col("base") + F.col("pos"))
     return place.select(
         "record", (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).alias("slot")
