@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, pick, scratch_path, stash, with_field
+from foliant.llm.common import discard, pick, scratch_path, settings, stash, with_field
 
 #: Settings of the stream's state: on disk, without expiry.
 STATE = {
@@ -17,6 +17,13 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: Settings of the byte check. A Bloom filter of the digests with copies keeps other texts out of
+#: the shuffle; the join's groups are combined and dealt again, so a hot one can be split.
+BYTES = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+}
 #: Rank of a null identifier: after all others.
 LAST = 2**63 - 1
 
@@ -47,11 +54,8 @@ def run_stream(digests: DataFrame, per_trigger: int = 64 << 30) -> DataFrame:
     """
     spark = digests.sparkSession
     out = scratch_path(spark, "dedup-state")
-    old = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
     written = []
-    try:
+    with settings(spark, STATE):
         source = spark.readStream.schema(digests.schema).option("maxBytesPerTrigger", per_trigger)
         stream = dedup_state(source.parquet(digests._stash_path).select("digest", "doc_id", "locator"))
 
@@ -68,9 +72,6 @@ def run_stream(digests: DataFrame, per_trigger: int = 64 << 30) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = stream.schema
     if not written:
         return spark.createDataFrame([], schema)
@@ -80,7 +81,7 @@ def run_stream(digests: DataFrame, per_trigger: int = 64 << 30) -> DataFrame:
 
 
 #: Digests of a normalised text, each tried when the one before it is shared by two texts.
-DIGESTS = (lambda norm: F.sha2(norm.cast("binary"), 256), lambda norm: F.sha2(norm.cast("binary"), 512))
+DIGESTS = (lambda norm: F.unhex(F.sha2(norm.cast("binary"), 256)), lambda norm: F.unhex(F.sha2(norm.cast("binary"), 512)))
 
 
 def exact_duplicates(
@@ -94,34 +95,43 @@ def exact_duplicates(
 
     Rows whose digest the state had before (hits) are compared by their full bytes: they are
     grouped again by digest and whole text, which combines copies before any shuffle. If two
-    texts share a digest, the stream runs again with the next digest.
+    texts share a digest, the stream runs again with the next digest. Only the state of texts
+    with copies meets the rows again; a row that finds none stands alone.
     Null text counts as empty; a null doc_id sorts after all others; rows that repeat a doc_id
     are rows of their own, of which one is kept; other columns may have any name.
     """
-    whole = pick(docs, doc_id=doc_id, text=text).withColumn("norm", normalised(F.col("text"))).drop("text")
-    rows = pick(docs, doc_id=doc_id, text=text)
+    rows, content = pick(docs, doc_id=doc_id, text=text), F.col("text")
     if keep_row:
         record = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("record")
-        rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), record)
-    norm = normalised(F.col("text"))
+        rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), record)
+        content = F.col(f"record.`{text}`")
+    norm = normalised(content)
+    spark = docs.sparkSession
     for digest in digests:
-        marked = rows.withColumn("digest", digest(norm)).withColumn("text_sha256", F.sha2(norm.cast("binary"), 256))
-        marked = stash(marked.drop("text").withColumn("locator", F.monotonically_increasing_id()), "digests")
-        state = stash(run_stream(marked), "state")
-        hits = whole.withColumn("digest", digest(F.col("norm")))
-        hits = hits.join(state.where("group_size > 1").select("digest"), "digest", "left_semi")
-        texts = hits.groupBy("digest", "norm").agg(F.count("*").alias("n"))
+        marked = rows.withColumn("digest", digest(norm)).withColumn("sha256", F.unhex(F.sha2(norm.cast("binary"), 256)))
+        marked = stash(marked.withColumn("locator", F.monotonically_increasing_id()), "digests")
+        # a row for each text that has copies; as a table, its size decides how the two joins are done
+        state = stash(run_stream(marked).where("group_size > 1"), "state")
+        # the condition holds for all these rows: it tells the optimiser that a filter is worth while
+        hits = marked.select("digest", content.alias("text")).join(
+            state.where("group_size > 1").select("digest"), "digest", "left_semi"
+        )
+        texts = hits.groupBy("digest", normalised(F.col("text")).alias("norm")).agg(F.count("*").alias("n"))
         shared = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
-        if not shared.limit(1).count():
-            break
+        with settings(spark, BYTES):
+            if not shared.limit(1).count():
+                break
         discard(marked, state)
     else:
         raise ValueError("different texts share every digest that was given")
-    return marked.join(state, "digest").select(
+    alone = F.col("group_size").isNull()
+    if keep_row:  # whole rows are not sorted for the join; a task's share of the state is a row a text
+        state = state.hint("shuffle_hash")
+    return marked.join(state, "digest", "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("locator") == F.col("keep_locator")).alias("kept"),
-        "text_sha256",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("locator") == F.col("keep_locator"))).alias("kept"),
+        F.lower(F.hex("sha256")).alias("text_sha256"),
         *(["record"] if keep_row else []),
     )
