@@ -64,7 +64,8 @@ class VantageTree:
     An inner node sends a fingerprint inside if its distance from the vantage point is at most
     the node's radius, else outside. Two fingerprints within ``reach`` whose ways part there
     differ by at most ``reach`` in that distance (triangle inequality), so only the inside ones
-    with distance + reach > radius need a copy outside; all other branches are pruned.
+    with distance + reach > radius need a copy outside; all other branches are pruned. So the
+    two always meet in a leaf, where either may be a copy.
     """
 
     def __init__(self, sample: np.ndarray, mask: int, reach: int, depth: int, seed: int = 0):
@@ -98,22 +99,20 @@ class VantageTree:
         self.child[node] = (self._grow(points[inside], depth - 1, rng), self._grow(points[~inside], depth - 1, rng))
         return node
 
-    def shards(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, indices, whether it is the fingerprint's own leaf) of all the shards to visit."""
-        todo = [(self.root, np.arange(len(fps)), np.ones(len(fps), bool))]
+    def shards(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, indices) of all the shards to visit."""
+        todo = [(self.root, np.arange(len(fps)))]
         masked = fps & self.mask
         while todo:
-            node, idx, home = todo.pop()
+            node, idx = todo.pop()
             if not len(idx):
                 continue
             if node < 0:
-                yield ~node, idx, home
+                yield ~node, idx
                 continue
             d = np.bitwise_count(masked[idx] ^ np.uint64(self.vantage[node])).astype(np.int64)
-            inside = d <= self.radius[node]
-            todo.append((self.child[node][0], idx[inside], home[inside]))
-            outside = d + self.reach > self.radius[node]
-            todo.append((self.child[node][1], idx[outside], (home & ~inside)[outside]))
+            todo.append((self.child[node][0], idx[d <= self.radius[node]]))
+            todo.append((self.child[node][1], idx[d + self.reach > self.radius[node]]))
 
 
 def forest(sample: np.ndarray, distance: int, trees: int, depth: int) -> list[VantageTree]:
@@ -147,45 +146,39 @@ def close_pairs_forest(fps: DataFrame, distance: int, trees: int, leaf: int, sam
                 got = list(tree.shards(own.view(np.uint64)))
                 if not got:
                     continue
-                idx = np.concatenate([i for _, i, _ in got])
-                leaves = np.repeat([leaf for leaf, _, _ in got], [len(i) for _, i, _ in got])
+                idx = np.concatenate([i for _, i in got])
+                leaves = np.repeat([leaf for leaf, _ in got], [len(i) for _, i in got])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(idx), t, np.int32)),
                         pa.array(leaves.astype(np.int32)),
-                        pa.array(np.concatenate([h for _, _, h in got])),
                         pa.array(own[idx]),
                     ],
-                    names=["tree", "leaf", "home", "fp"],
+                    names=["tree", "leaf", "fp"],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_bucket(batches):
             fp = table.column("fp").to_numpy().view(np.uint64)
-            home = table.column("home").to_numpy()
             block = table.column("block").to_numpy()
             cross = table.column("cross")[0].as_py()
-            rows = np.flatnonzero(home)
             i, j = [], []
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                near = np.bitwise_count(fp[some, None] ^ fp[None, :]) <= distance
+            for at in range(0, len(fp), 256):
+                some = slice(at, at + 256)
+                near = np.bitwise_count(fp[some, None] ^ fp[None, at:]) <= distance
                 if cross:
-                    near &= block[some, None] != block[None, :]
+                    near &= block[some, None] != block[None, at:]
                 p, q = np.nonzero(near)
-                p = some[p]
-                apart = p != q
-                i.append(p[apart])
-                j.append(q[apart])
-            if not i:
-                continue
+                apart = p < q
+                i.append(p[apart] + at)
+                j.append(q[apart] + at)
             label = roots(len(fp), np.concatenate(i), np.concatenate(j))
             moved = np.flatnonzero(label != np.arange(len(fp)))
             if len(moved):
                 ends = fp.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[moved]), pa.array(ends[label[moved]])], names=["a", "b"])
 
-    routed = fps.mapInArrow(route, "tree int, leaf int, home boolean, fp long")
+    routed = fps.mapInArrow(route, "tree int, leaf int, fp long")
     dealt = split_buckets(routed, ["tree", "leaf"], "fp", BLOCK)
     return sorted_by_bucket(dealt.drop("tree", "leaf")).mapInArrow(link, "a long, b long")
 

@@ -431,6 +431,19 @@ def test_forest_finds_every_close_pair(spark, monkeypatch, n, clusters, block):
     assert [labels.get(s, s) for s in signed] == brute_components(signed, fps, 4)
 
 
+def test_forest_finds_isolated_pairs_in_deep_trees(spark):
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 1 << 64, 20_000, np.uint64)
+    bits = rng.permuted(np.tile(np.arange(64, dtype=np.uint64), (len(one), 1)), axis=1)[:, :4]
+    two = one ^ np.bitwise_or.reduce(np.uint64(1) << bits, axis=1)
+    assert (np.bitwise_count(one ^ two) == 4).all()
+    frame = spark.createDataFrame([(f,) for f in np.r_[one, two].view(np.int64).tolist()], "fp long")
+    edges = simhash.close_pairs_forest(frame, 4, 3, 16, 16384)  # depth 12
+    found = {frozenset(e) for e in edges.select("a", "b").collect()}
+    lost = [p for p in zip(one.view(np.int64).tolist(), two.view(np.int64).tolist()) if frozenset(p) not in found]
+    assert len(lost) == 0
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     hub = [(1000, 1001 + i) for i in range(80)]
