@@ -19,7 +19,7 @@ from foliant.llm.words import batched, gather, split
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
-#: Words of a bag. A document is as toxic as its most toxic bag, so long texts don't dilute one.
+#: Words of a bag; one begins at every word. A document is as toxic as its most toxic bag, so long texts don't dilute one.
 BAG = 8
 TRAIN_ROWS = 8000
 #: Of the training rows, every so many-th sets where the threshold lies, not the vectors.
@@ -91,18 +91,18 @@ class SubwordModel:
     def top_bags(self, z: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logit, first word) of the most toxic bag of each text whose words' scores are z[cuts[i]:cuts[i+1]]."""
         n = np.diff(cuts)
-        bags = -(-n // BAG)
-        starts, ends = gather(np.arange(bags.max(initial=0)) * BAG, np.zeros(len(n), np.int64), bags, np.arange(len(n)))
-        owner = np.repeat(np.arange(len(n)), bags)
-        starts = starts + cuts[:-1][owner]
-        sums = np.r_[0.0, np.cumsum(z)]
-        logits = (sums[np.minimum(starts + BAG, cuts[1:][owner])] - sums[starts]) / BAG + self.bias
+        owner = np.repeat(np.arange(len(n)), n)
+        left = np.repeat(cuts[1:], n) - np.arange(len(z))  # words to the text's end
+        logits = np.zeros(len(z))
+        for k in range(min(BAG, len(z))):  # word by word, so a bag's sum doesn't depend on the rows around
+            logits[: len(z) - k] += np.where(left[: len(z) - k] > k, z[k:], 0.0)
+        logits = logits / BAG + self.bias
         top, first = np.full(len(n), self.bias), cuts[:-1].copy()
-        full = np.flatnonzero(bags)
+        full = np.flatnonzero(n)
         if len(full):
-            top[full] = np.maximum.reduceat(logits, (ends - bags)[full])
+            top[full] = np.maximum.reduceat(logits, cuts[:-1][full])
             hit = np.flatnonzero(logits == top[owner])[::-1]
-            first[owner[hit]] = starts[hit]
+            first[owner[hit]] = hit
         return top, first
 
 

@@ -365,6 +365,16 @@ def test_toxicity_learns_stems_and_spares_clean_texts(spark, docs, empty, labels
     assert {r["predicted"] for r in rows_of(toxicity.toxicity(docs, labels.limit(0)))} == {0}
 
 
+def test_a_passage_scores_the_same_at_any_place():
+    model = toxicity.SubwordModel(np.zeros((toxicity.BUCKETS, 1)), np.array([[0.0], [1.0]]), -4.0)
+    words = [f"plain{k}" for k in range(40)] + [f"vile{k}" for k in range(4)]
+    numbers = np.where(np.arange(44) < 40, 0.0, 16.0)
+    for at in range(41):
+        order = [*range(at), *range(40, 44), *range(at, 40)]
+        top, first = model.top_bags(numbers[order], np.array([0, len(words)]))
+        assert top[0] == 4 * 16 / toxicity.BAG - 4.0 and first[0] <= at < first[0] + toxicity.BAG
+
+
 def test_training_never_reads_held_out_labels(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(300)], DOCS)
     labels = frame.select("doc_id", F.lit(0).alias("toxic"))
