@@ -53,13 +53,6 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def once(z: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The scores of words, with 0 for a word that stands right after itself."""
-    same = np.zeros(len(words), bool)
-    same[1:] = words[1:] == words[:-1]
-    return np.where(same, 0.0, z)
-
-
 @dataclass
 class SubwordModel:
     """Embeddings of n-gram buckets and the two rows of a linear softmax over their average."""
@@ -72,9 +65,9 @@ class SubwordModel:
         """What each word adds to the difference of the two logits, times the bag's size."""
         grams, counts = subwords(words)
         per_gram = (self.embeddings @ (self.softmax[1] - self.softmax[0]))[grams]
-        ends = np.cumsum(counts)
-        sums = np.r_[0.0, np.cumsum(per_gram, dtype=np.float64)]
-        return (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)
+        # bin by bin, so a word's sum doesn't depend on the words around
+        sums = np.bincount(np.repeat(np.arange(len(counts)), counts), per_gram, len(counts))
+        return sums / np.maximum(counts, 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probability of the toxic label for each whole text."""
@@ -86,7 +79,7 @@ class SubwordModel:
         flat = np.fromiter((numbers[w] for ws in per_chunk for w in ws), np.int64, int(sizes.sum()))
         flat, ends = gather(flat, np.cumsum(sizes) - sizes, sizes, codes)
         cuts = np.r_[0, ends][offsets]
-        return 1 / (1 + np.exp(-self.top_bags(once(each[flat], flat), cuts)[0]))
+        return 1 / (1 + np.exp(-self.top_bags(each[flat], cuts)[0]))
 
     def top_bags(self, z: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logit, first word) of the most toxic bag of each text whose words' scores are z[cuts[i]:cuts[i+1]]."""
@@ -142,7 +135,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
         per_gram = (model.embeddings @ (model.softmax[1] - model.softmax[0]))[grams]
         sums = np.r_[0.0, np.cumsum(per_gram)]
         z = (sums[gram_ends] - sums[gram_ends - counts]) / np.maximum(counts, 1)
-        _, first = model.top_bags(once(z[flat], flat), cuts)
+        _, first = model.top_bags(z[flat], cuts)
         some = np.flatnonzero((labels == 0) & (n > 0))[epoch % 4 :: 4]
         start = np.r_[first[n > 0], cuts[some] + rng.integers(0, np.maximum(n[some], 1))]
         owner = np.r_[np.flatnonzero(n > 0), some]

@@ -375,6 +375,17 @@ def test_a_passage_scores_the_same_at_any_place():
         assert top[0] == 4 * 16 / toxicity.BAG - 4.0 and first[0] <= at < first[0] + toxicity.BAG
 
 
+def test_a_score_does_not_depend_on_other_rows():
+    rng = random.Random(8)
+    model = toxicity.fit(["plain words here", "some other words", "vile", "vile thing"] * 20, np.array([0, 0, 1, 1] * 20))
+    texts = ["vile", "vile", "vile", "thing vile", "vile vile vile", "", "plain vile", *random_texts(40, 3)]
+    alone = [model.scores(pa.array([t], pa.string()))[0] for t in texts]
+    assert alone[0] < alone[4]
+    for _ in range(5):
+        order = rng.sample(range(len(texts)), len(texts))
+        assert model.scores(pa.array([texts[k] for k in order], pa.string())).tolist() == [alone[k] for k in order]
+
+
 def test_training_never_reads_held_out_labels(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(300)], DOCS)
     labels = frame.select("doc_id", F.lit(0).alias("toxic"))
