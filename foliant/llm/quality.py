@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ def features(text: str) -> list[float]:
     lower, upper, digit = h[97:123].sum(), h[65:91].sum(), h[48:58].sum()
     marks = h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum()
     plain = h[44] + h[46] + h[45] + h[39]
-    common = max((words.count(x) for x in set(words[:20])), default=0) / w
+    kinds = Counter(words)
+    common = max(kinds.values(), default=0) / w
     return [
         lower,
         upper / (lower + upper + 1e-3),
@@ -42,7 +44,7 @@ def features(text: str) -> list[float]:
         np.sqrt(max(plain, 0.0)),
         h[128:].sum(),
         n / w / 10,
-        len(set(words)) / w,
+        len(kinds) / w,
         common,
         len(set(lines)) / len(lines),
         np.sqrt(len(lines) / w),

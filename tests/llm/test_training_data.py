@@ -169,6 +169,12 @@ def test_quality_edges_and_shrinkage(spark, docs, empty, labels):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_the_most_repeated_word_may_stand_anywhere():
+    intro, spam = [f"word{k}" for k in range(20)], ["spam"] * 3000
+    assert quality.features(" ".join(intro + spam)) == quality.features(" ".join(spam + intro))
+    assert quality.features(" ".join(intro + spam))[11] == 3000 / 3020
+
+
 def test_sparse_sites_stay_near_the_corpus(spark):
     good = [(i, f"plain prose about thing number {i} that reads well and goes on for a while", "en", "big", 0) for i in range(200)]
     bad = [(1000 + i, f"@@## {i} $$$ ||| !!! %%% ### {i}", "en", "spam", 0) for i in range(200)]
