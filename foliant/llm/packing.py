@@ -18,6 +18,8 @@ WINDOW = 2048
 QUEUES = 1024
 #: Fractions of a token that quanta are counted in.
 FINE = 1 << 16
+#: (round, queue) cells that a task computes at a time.
+CELLS = 1 << 18
 END_OF_TEXT = "<|endoftext|>"
 #: Unicode white space, as the pre-tokenizer's \s has it, for a character class.
 SPACE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -176,8 +178,22 @@ class RoundRobin:
 
     def pieces(self, queue: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token in queue, place in the stream, length) of the pieces of n tokens from ``start``."""
-        first, last = self.round_of(queue, start), self.round_of(queue, start + n - 1)
-        rounds = np.arange(first, last + 1)
+        quantum, most = int(self.quanta[queue]), max(1, CELLS // len(self.totals))
+        if quantum >= FINE:
+            whole = range(self.round_of(queue, start), self.round_of(queue, start + n - 1) + 1)
+        else:  # a round sends one token at most, and most rounds send none
+            whole = range(start, start + n)
+        got = []
+        for at in range(0, len(whole), most):
+            rounds = np.array(whole[at : at + most], np.int64)
+            if quantum < FINE:
+                rounds = ((rounds + 1) * FINE + quantum - 1) // quantum - 1
+            got.append(self._pieces(queue, start, n, rounds))
+        begin, place, length = map(np.concatenate, zip(*got))
+        return begin, place, length
+
+    def _pieces(self, queue: int, start: int, n: int, rounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces that these rounds send."""
         sent, then = self.sent(rounds), self.sent(rounds + 1)
         place = then[:, :queue].sum(axis=1) + sent[:, queue:].sum(axis=1)
         begin, stop = np.maximum(sent[:, queue], start), np.minimum(then[:, queue], start + n)

@@ -149,6 +149,20 @@ def test_round_robin_equals_the_loop():
     assert [places[k] for k in range(len(stream))] == stream
 
 
+def test_a_rare_source_takes_no_memory_for_rounds_without_it():
+    import tracemalloc
+
+    totals = [10_000_000] * 19 + [300]
+    turns = packing.RoundRobin(totals, [float(t) for t in totals], 2048)
+    tracemalloc.start()
+    begin, place, length = turns.pieces(19, 0, 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert begin.tolist() == list(range(300)) and (length == 1).all()
+    assert (np.diff(place)[:290] > 500_000).all() and (np.diff(place) > 0).all() and place[-1] < sum(totals)
+
+
 def test_windows_hold_target_shares(spark):
     rows = [(i, "some words of a text here " * 30, "en", "a" if i < 60 else "b", 0) for i in range(120)]
     frame = spark.createDataFrame(rows, DOCS)
