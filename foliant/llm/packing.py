@@ -14,12 +14,16 @@ from foliant.llm.common import pick, stash
 from foliant.llm.words import batched, gather, split
 
 WINDOW = 2048
-#: Queues that get a share of their own; the sources with the fewest tokens beyond share one queue.
-QUEUES = 1024
+#: Queues of one round-robin; more are served by round-robins within round-robins.
+FAN = 1024
 #: Fractions of a token that quanta are counted in.
 FINE = 1 << 16
 #: (round, queue) cells that a task computes at a time.
 CELLS = 1 << 18
+#: Tokens whose pieces are dealt at a time; a longer document comes alone.
+TOKENS = 1 << 20
+#: Stands for a null source.
+NO_SOURCE = "\0null"
 END_OF_TEXT = "<|endoftext|>"
 #: Unicode white space, as the pre-tokenizer's \s has it, for a character class.
 SPACE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -53,15 +57,16 @@ class ByteBpe:
         self.encode = coding.encode_to_numpy
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(t) for t in ranks]
+        self.largest = max(model["vocab"].values())
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of words that each follow a space: they are encoded as one text and cut apart."""
         if not words:
-            return np.zeros(0, np.uint16), np.zeros(1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         ids = self.encode(" " + " ".join(words), disallowed_special=())
         ends = np.cumsum(self.width[ids])
         edges = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
-        return ids.astype(np.uint16), np.r_[0, np.searchsorted(ends, edges) + 1]
+        return ids.astype(np.uint32), np.r_[0, np.searchsorted(ends, edges) + 1]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
@@ -71,8 +76,8 @@ class ByteBpe:
         plain = texts.filter(pa.array(~odd))
         words, codes, offsets = split(plain)
         flat, cuts = self.words(words)
-        first = [np.asarray(self.encode(words[c], disallowed_special=()), np.uint16) for c in codes[offsets[:-1]].tolist()]
-        rest = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts.filter(pa.array(odd)).to_pylist()]
+        first = [np.asarray(self.encode(words[c], disallowed_special=()), np.uint32) for c in codes[offsets[:-1]].tolist()]
+        rest = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.filter(pa.array(odd)).to_pylist()]
         sizes = np.fromiter(map(len, first), np.int64, len(first))
         codes = codes.astype(np.int64)
         codes[offsets[:-1]] = len(words) + np.arange(len(first))
@@ -115,24 +120,25 @@ def tokenise(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     """(doc_id, source, part, before, n, ids) of (doc_id, source, text).
 
     part is the task; before counts the tokens of the same source in that task before the row.
-    ids are little-endian 16-bit, with ``end`` after the text's own.
+    ids are little-endian, with ``end`` after the text's own, of 16 bits if all of the
+    vocabulary fit, else of 32.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part, sums = encoder(vocabulary), TaskContext.get().partitionId(), {}
-        last = np.array([end], np.uint16)
+        narrow = np.uint16 if max(enc.largest, end) < 1 << 16 else np.uint32
         for some in batched(batches):
             flat, cuts = enc.batch(some.column("text"))
-            flat = np.insert(flat, cuts[1:], last)
+            flat = np.insert(flat.astype(narrow), cuts[1:], end)
             cuts = cuts + np.arange(len(cuts))
             n, before = np.diff(cuts), []
             for source, k in zip(some.column("source").to_pylist(), n.tolist()):
                 before.append(sums.get(source, 0))
                 sums[source] = before[-1] + k
             ids = pa.Array.from_buffers(
-                pa.binary(), len(n), [None, pa.py_buffer((2 * cuts).astype(np.int32)), pa.py_buffer(flat)]
+                pa.binary(), len(n), [None, pa.py_buffer((flat.itemsize * cuts).astype(np.int32)), pa.py_buffer(flat)]
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -166,52 +172,104 @@ class RoundRobin:
         total = sum(w for w, t in zip(weights, totals) if t) or 1
         self.totals = np.array(totals, np.int64)
         self.quanta = np.array([max(1, int(window * FINE * w / total)) for w in weights], np.int64)
+        #: Rounds after which a queue is empty.
+        self.finish = (self.totals * FINE + self.quanta - 1) // self.quanta
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """(round, queue): tokens sent before each round."""
-        return np.minimum(self.totals, rounds[:, None] * self.quanta // FINE)
+        return np.minimum(self.totals, np.minimum(rounds[:, None], self.finish) * self.quanta // FINE)
 
-    def round_of(self, queue: int, token: int) -> int:
+    def round_of(self, queue: int, token: np.ndarray) -> np.ndarray:
         """The round that sends this token of the queue."""
         quantum = int(self.quanta[queue])
         return ((token + 1) * FINE + quantum - 1) // quantum - 1
 
     def pieces(self, queue: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token in queue, place in the stream, length) of the pieces of n tokens from ``start``."""
-        quantum, most = int(self.quanta[queue]), max(1, CELLS // len(self.totals))
-        if quantum >= FINE:
-            whole = range(self.round_of(queue, start), self.round_of(queue, start + n - 1) + 1)
-        else:  # a round sends one token at most, and most rounds send none
-            whole = range(start, start + n)
+        return self.runs(queue, np.array([start], np.int64), np.array([n], np.int64))[1:]
+
+    def runs(self, queue: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(run, token in queue, place in the stream, length) of the pieces of several runs of tokens.
+
+        Only rounds that send one of these tokens are looked at, ``CELLS`` (round, queue) pairs at a time.
+        """
+        dense = int(self.quanta[queue]) >= FINE  # else a round sends one token at most, and most rounds send none
+        first = self.round_of(queue, start) if dense else start
+        count = self.round_of(queue, start + n - 1) - first + 1 if dense else n
+        ends = np.cumsum(count)
+        most = max(1, CELLS // len(self.totals))
         got = []
-        for at in range(0, len(whole), most):
-            rounds = np.array(whole[at : at + most], np.int64)
-            if quantum < FINE:
-                rounds = ((rounds + 1) * FINE + quantum - 1) // quantum - 1
-            got.append(self._pieces(queue, start, n, rounds))
-        begin, place, length = map(np.concatenate, zip(*got))
-        return begin, place, length
-
-    def _pieces(self, queue: int, start: int, n: int, rounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pieces that these rounds send."""
-        sent, then = self.sent(rounds), self.sent(rounds + 1)
-        place = then[:, :queue].sum(axis=1) + sent[:, queue:].sum(axis=1)
-        begin, stop = np.maximum(sent[:, queue], start), np.minimum(then[:, queue], start + n)
-        place = place + begin - sent[:, queue]
-        full = stop > begin
-        return begin[full], place[full], (stop - begin)[full]
-
-
-def cut_at(window: int, begin: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same pieces, cut where a window ends."""
-    while True:
-        room = window - place % window
-        long = length > room
-        if not long.any():
-            return begin, place, length
-        rest = (begin[long] + room[long], place[long] + room[long], length[long] - room[long])
-        length = np.minimum(length, room)
-        begin, place, length = (np.r_[a, b] for a, b in zip((begin, place, length), rest))
+        for at in range(0, int(ends[-1]), most):
+            unit = np.arange(at, min(at + most, int(ends[-1])))
+            run = np.searchsorted(ends, unit, side="right")
+            unit = first[run] + unit - (ends - count)[run]
+            rounds = unit if dense else self.round_of(queue, unit)
+            sent, then = self.sent(rounds), self.sent(rounds + 1)
+            place = then[:, :queue].sum(axis=1) + sent[:, queue:].sum(axis=1)
+            begin, stop = np.maximum(sent[:, queue], start[run]), np.minimum(then[:, queue], (start + n)[run])
+            full = stop > begin
+            got.append((run[full], begin[full], (place + begin - sent[:, queue])[full], (stop - begin)[full]))
+        return tuple(map(np.concatenate, zip(*got)))
+
+
+class Mixture:
+    """Any number of queues in deficit round-robin; those without a target follow after all others, one by one.
+
+    More than ``fan`` queues with targets form groups of neighbours: a group is a queue of the
+    round-robin above, which shares the window by the groups' sums, and a round-robin of its
+    own whose round is what the group gets of a window. So each queue holds its target, and a
+    token costs ``fan`` cells a level.
+    """
+
+    def __init__(self, totals: list[int], weights: list[float], window: int, fan: int = FAN):
+        self.place: dict[int, tuple[int, int]] = {}  # queue: its group and its number there
+        self.after: dict[int, int] = {}
+        served = [q for q, (t, w) in enumerate(zip(totals, weights)) if t and w > 0]
+        groups = [served[at : at + fan] for at in range(0, len(served), fan)]
+        sums = [(sum(totals[q] for q in g), sum(weights[q] for q in g)) for g in groups]
+        whole = sum(w for _, w in sums) or 1
+        self.groups = []
+        for k, (g, (_, share)) in enumerate(zip(groups, sums)):
+            self.place |= {q: (k, j) for j, q in enumerate(g)}
+            round_of_group = max(1, int(window * share / whole))
+            self.groups.append(RoundRobin([totals[q] for q in g], [weights[q] for q in g], round_of_group))
+        self.above = Mixture([t for t, _ in sums], [w for _, w in sums], window, fan) if len(groups) > 1 else None
+        at = sum(t for t, _ in sums)
+        for q, t in enumerate(totals):
+            if q not in self.place:
+                self.after[q] = at
+                at += t
+
+    def runs(self, queue: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As of ``RoundRobin``."""
+        if queue in self.after:
+            return np.arange(len(start)), start, self.after[queue] + start, n
+        group, number = self.place[queue]
+        run, begin, place, length = self.groups[group].runs(number, start, n)
+        if self.above is None:
+            return run, begin, place, length
+        upper, inner, place, length = self.above.runs(group, place, length)
+        ends = np.cumsum(length)  # runs of the group's stream, cut further but in the same order
+        first = np.r_[True, upper[1:] != upper[:-1]]
+        base = np.maximum.accumulate(np.where(first, ends - length, 0))
+        return run[upper], begin[upper] + ends - length - base, place, length
+
+    def pieces(self, queue: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As of ``RoundRobin``."""
+        return self.runs(queue, np.array([start], np.int64), np.array([n], np.int64))[1:]
+
+
+def cut_at(
+    window: int, begin: np.ndarray, place: np.ndarray, length: np.ndarray, row: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """The same pieces, cut where a window ends; with ``row``, first the row of each piece."""
+    count = (place + length - 1) // window - place // window + 1
+    of = np.repeat(np.arange(len(place)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    cut = np.maximum(place[of], (place[of] // window + number) * window)
+    stop = np.minimum((place + length)[of], (cut // window + 1) * window)
+    got = begin[of] + cut - place[of], cut, stop - cut
+    return got if row is None else (row[of], *got)
 
 
 def pack(
@@ -230,51 +288,56 @@ def pack(
     little-endian unsigned 32-bit), doc_tokens, source, sequence_id, offset. All windows are
     full but the last; each token of each document is in exactly one piece.
 
-    ``weights`` are target shares by source; without them a source's share is its share of all
-    tokens. A null text is empty, a null source a source of its own, and a document without
+    ``weights`` are target shares by source (None for a null source); without them a source's
+    share is its share of all tokens. Sources that ``weights`` leaves out or gives nothing
+    follow after all others. Every source has a queue; a row a source goes through the driver.
+    A null text is empty, a null source a source of its own, and a document without
     text still has its end token. Rows that repeat a doc_id are packed each. An empty table
-    gives no pieces. Vocabularies of at most 65,536 ids.
+    gives no pieces. Other columns are not read and may have any name.
     """
     own = pick(docs, doc_id=doc_id, source=source, text=text)
-    own = own.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("\0null")))
+    own = own.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
     rows = stash(tokenise(own, vocabulary, end), "tokens")
     parts = stash(rows.groupBy("source", "part").agg(F.sum("n").alias("n")), "queues")
     by_source = parts.groupBy("source").agg(F.sum("n").alias("total"))
-    chief = by_source.orderBy(F.desc("total"), "source").limit(QUEUES - 1).collect()
-    spare = by_source.agg(F.sum("total")).first()[0] or 0
-    queue = {r["source"]: i for i, r in enumerate(chief)}
-    totals = [r["total"] for r in chief]
-    totals.append(spare - sum(totals))
-    share = [float(t) for t in totals] if weights is None else [weights.get(s, 0.0) for s in queue]
-    if weights is not None:
-        share.append(sum(w for s, w in weights.items() if s not in queue))
-    turns = RoundRobin(totals, share, window)
+    sources = by_source.orderBy(F.desc("total"), "source").collect()
+    totals = [r["total"] for r in sources]
+    names = [None if r["source"] == NO_SOURCE else r["source"] for r in sources]
+    turns = Mixture(totals, [float(t) for t in totals] if weights is None else [weights.get(s, 0.0) for s in names], window)
 
     # where each task's tokens of a queue begin: sums over the tasks before it
-    number = F.create_map(*(F.lit(x) for pair in queue.items() for x in pair)) if queue else F.lit(None).cast("map<string,int>")
-    named = parts.withColumn("queue", F.coalesce(F.try_element_at(number, "source"), F.lit(len(queue))))
-    starts = stash(_running(named), "starts")
+    spark = docs.sparkSession
+    queues = spark.createDataFrame([(r["source"], i) for i, r in enumerate(sources)], "source string, queue int")
+    starts = stash(_running(parts.join(queues, "source")), "starts")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                cols = [some.column(c).to_pylist() for c in ("queue", "base", "before", "n")]
+            ends = np.cumsum(batch.column("n").to_numpy())
+            at = 0
+            while at < batch.num_rows:  # some tokens at a time, whatever the rows' lengths
+                before = int(ends[at - 1]) if at else 0
+                stop = min(max(at + 1, int(np.searchsorted(ends, before + TOKENS, side="right"))), at + 256)
+                some, at = batch.slice(at, stop - at), stop
+                queue, base, before, n = (some.column(c).to_numpy() for c in ("queue", "base", "before", "n"))
                 rows, starts, places, lengths = [], [], [], []
-                for row, (q, base, before, n) in enumerate(zip(*cols)):
-                    begin, place, length = cut_at(window, *turns.pieces(q, base + before, n))
-                    rows.append(np.full(len(begin), row))
-                    starts.append(begin - (base + before))
+                for q in np.unique(queue).tolist():
+                    mine = np.flatnonzero(queue == q)
+                    run, begin, place, length = turns.runs(q, (base + before)[mine], n[mine])
+                    rows.append(mine[run])
+                    starts.append(begin - (base + before)[mine][run])
                     places.append(place)
                     lengths.append(length)
-                row, start, place, length = map(np.concatenate, (rows, starts, places, lengths))
-                flat = np.frombuffer(b"".join(some.column("ids").to_pylist()), np.uint16).astype("<u4")
-                n = np.array(cols[3])
-                ids, ends = gather(flat, (np.cumsum(n) - n)[row] + start, length, np.arange(len(row)))
+                row, start, place, length = cut_at(window, *map(np.concatenate, (starts, places, lengths)), np.concatenate(rows))
+                order = np.lexsort((start, row))
+                row, start, place, length = row[order], start[order], place[order], length[order]
+                held = b"".join(some.column("ids").to_pylist())
+                flat = np.frombuffer(held, np.uint16 if len(held) == 2 * n.sum() else np.uint32).astype("<u4")
+                ids, stops = gather(flat, (np.cumsum(n) - n)[row] + start, length, np.arange(len(row)))
                 pieces = pa.Array.from_buffers(
-                    pa.binary(), len(row), [None, pa.py_buffer(np.r_[0, 4 * ends].astype(np.int32)), pa.py_buffer(ids)]
+                    pa.binary(), len(row), [None, pa.py_buffer(np.r_[0, 4 * stops].astype(np.int32)), pa.py_buffer(ids)]
                 )
                 take = pa.array(row)
+                name = some.column("source").take(take)
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("doc_id").take(take),
@@ -282,7 +345,7 @@ def pack(
                         pa.array(length),
                         pieces,
                         some.column("n").take(take),
-                        some.column("source").take(take),
+                        pc.if_else(pc.equal(name, NO_SOURCE), pa.scalar(None, pa.string()), name),
                         pa.array(place // window),
                         pa.array(place % window),
                     ],

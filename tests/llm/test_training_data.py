@@ -163,6 +163,71 @@ def test_a_rare_source_takes_no_memory_for_rounds_without_it():
     assert (np.diff(place)[:290] > 500_000).all() and (np.diff(place) > 0).all() and place[-1] < sum(totals)
 
 
+@pytest.mark.parametrize(("fan", "queues"), [(4, 40), (3, 29), (1024, 1500)])
+def test_every_source_has_a_queue_of_its_own(fan, queues):
+    """All tokens are placed once, in order, and each source holds its share of every tenth of the stream."""
+    rng = np.random.default_rng(5)
+    totals = rng.integers(20, 90, queues).tolist()
+    turns = packing.Mixture(totals, [float(t) for t in totals], 64, fan)
+    stream = np.full(sum(totals), -1)
+    for q, n in enumerate(totals):
+        for start in range(0, n, 17):
+            begin, place, length = turns.pieces(q, start, min(17, n - start))
+            assert begin.tolist() == [start, *(start + np.cumsum(length))[:-1]] and length.sum() == min(17, n - start)
+            for p, k in zip(place.tolist(), length.tolist()):
+                assert (stream[p : p + k] == -1).all()
+                stream[p : p + k] = q
+    assert (stream >= 0).all()
+    half = np.bincount(stream[: len(stream) // 2], minlength=queues) / totals
+    assert (np.abs(half - 0.5) <= 0.2).all()
+
+
+def test_sources_without_a_target_follow_after_all_others():
+    turns = packing.Mixture([100, 50, 30, 20], [1.0, 0.0, 3.0, 0.0], 16)
+    assert [x.tolist() for x in turns.pieces(1, 10, 5)] == [[10], [140], [5]]
+    assert [x.tolist() for x in turns.pieces(3, 0, 20)] == [[0], [180], [20]]
+    _, place, length = turns.pieces(2, 0, 30)
+    assert place[0] < 16 and (place + length).max() <= 42
+
+
+def test_a_long_document_of_a_small_source_takes_little_memory():
+    import tracemalloc
+
+    totals = [50_000_000] * 1023 + [30_000]
+    turns = packing.Mixture(totals, [float(t) for t in totals], 2048)
+    tracemalloc.start()
+    _, place, length = turns.pieces(1023, 0, 30_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and length.sum() == 30_000 and (np.diff(place) > 0).all()
+
+
+def test_rounds_far_beyond_a_small_weight_do_not_overflow():
+    turns = packing.RoundRobin([10**13, 10**13], [1.0, 1e-12], 2048)
+    assert [int(x[0]) for x in turns.pieces(1, 10**13 - 1, 1)] == [10**13 - 1, 2 * 10**13 - 1, 1]
+
+
+def test_wide_ids_and_null_sources(spark, tmp_path):
+    """A vocabulary of more than 65,536 ids."""
+    import json
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)
+    vocab = model["model"]["vocab"]
+    far = {t: i + 70_000 if i > 300 else i for t, i in vocab.items()}
+    model["model"]["vocab"] = far
+    for token in model.get("added_tokens", []):
+        token["id"] = far.get(token["content"], token["id"])
+    path = str(tmp_path / "wide.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(model, f)
+    texts = {1: "the quick brown fox", 2: None, 3: "some of  the words"}
+    frame = spark.createDataFrame([(i, t, "en", None if i == 1 else "b", 0) for i, t in texts.items()], DOCS)
+    got = packing.pack(frame, path)
+    check_packing(rows_of(packing.piece_digest(got)), texts, path)
+    assert {(r["doc_id"], r["source"]) for r in rows_of(got)} == {(1, None), (2, "b"), (3, "b")}
+
+
 def test_windows_hold_target_shares(spark):
     rows = [(i, "some words of a text here " * 30, "en", "a" if i < 60 else "b", 0) for i in range(120)]
     frame = spark.createDataFrame(rows, DOCS)
