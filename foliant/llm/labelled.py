@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import crc_remainder, pick
 
-#: Longer texts are not training rows; they are scored like all others.
-MOST_CHARS = 50_000
-
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: tuple[int, int] | None = None
 ) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled documents, those of least hash.
+    """(doc_id, text, label) of at most ``rows`` labelled documents, those of least hash, with their whole texts.
 
     ``held_out`` = (n, r) leaves out rows whose crc32(doc_id as text) mod n is r. Rows without
     a label, an id or a text are left out; of rows that repeat a doc_id one is taken.
@@ -24,7 +21,7 @@ def labelled_sample(
         ids = ids.where(crc_remainder(F.col("doc_id"), held_out[0]) != held_out[1])
     ids = ids.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
-    texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text") <= MOST_CHARS)
+    texts = pick(docs, doc_id="doc_id", text="text").where("text is not null")
     # at most ``rows`` ids are broadcast; texts of one id are reduced to one before they move
     found = texts.join(F.broadcast(ids), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

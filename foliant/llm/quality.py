@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ THRESHOLD = 0.5
 #: How much of a site's log odds against the corpus a document takes over.
 SITE_WEIGHT = 0.5
 #: Bounds of the documents that a prior counts as.
-LEAST_STRENGTH, MOST_STRENGTH = 5.0, 10_000.0
+LEAST_STRENGTH, MOST_STRENGTH = 1.0, 10_000.0
+#: Buckets of word n-grams.
+BUCKETS = 1 << 16
 
 
 def features(text: str) -> list[float]:
@@ -53,6 +57,32 @@ def features(text: str) -> list[float]:
     ]
 
 
+def grams(text: str) -> np.ndarray:
+    """Buckets of the distinct words and word pairs of a whole text, A-Z lower-cased."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    code = {w: zlib.crc32(w) for w in set(words)}
+    one = np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
+    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)
+    return np.unique(np.r_[one, two] % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def gram_odds(each: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Log odds of quality 1 for each bucket, by the texts that have it; 0 for those that none has."""
+    seen = np.zeros((2, BUCKETS))
+    for g, label in zip(each, y):
+        seen[int(label), g] += 1
+    share = (seen[1] + 1) / ((y == 1).sum() + 2), (seen[0] + 1) / ((y == 0).sum() + 2)
+    return np.where(seen.sum(axis=0) > 1, np.clip(np.log(share[0]) - np.log(share[1]), -3, 3), 0.0)
+
+
+def gram_features(g: np.ndarray, odds: np.ndarray) -> list[float]:
+    """How the text's n-grams lean: their mean log odds, and the share of those that lean to quality 0."""
+    known = odds[g]
+    return [float(known.sum() / max(1, len(g))), float((known < -1).sum() / max(1, len(g)))]
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression on standardised features and their squares, by Newton steps: (weights, scaling)."""
     scale = np.stack([x.mean(axis=0), x.std(axis=0) + 1e-6])
@@ -70,30 +100,76 @@ def expand(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z, z * z / 4])
 
 
-def evidence(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, into: str = "evidence") -> DataFrame:
-    """``docs`` plus the probability of quality 1 from the whole text, by a classifier fitted on ``rows`` labelled rows at most."""
+@dataclass
+class Evidence:
+    """A classifier of whole texts: shape and word n-grams into a logistic regression."""
+
+    weights: np.ndarray
+    scale: np.ndarray
+    odds: np.ndarray
+
+    @classmethod
+    def learn(cls, shapes: np.ndarray, each: list[np.ndarray], y: np.ndarray) -> Evidence:
+        """The regression sees n-gram features by the log odds of the other half of the rows, never its own."""
+        half = np.arange(len(y)) % 2
+        folds = [gram_odds([g for g, h in zip(each, half) if h == side], y[half == side]) for side in (1, 0)]
+        leaning = np.array([gram_features(g, folds[h]) for g, h in zip(each, half)])
+        weights, scale = fit(np.hstack([shapes, leaning]), y)
+        return cls(weights, scale, gram_odds(each, y))
+
+    def probability(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        x = np.array([features(t) + gram_features(grams(t), self.odds) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(expand(x, self.scale) @ self.weights, -30, 30)))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Evidence | None:
+    """The classifier of ``rows`` labelled rows at most; None without labels of both kinds.
+
+    The tasks reduce each text to its shape and n-gram buckets; one task learns from these, and
+    the driver gets the model alone.
+    """
+
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x, batch.column("label")], names=["doc_id", "x", "label"])
+            texts = batch.column("text").to_pylist()
+            x = pa.array([features(t) for t in texts], pa.list_(pa.float64()))
+            g = pa.array([grams(t) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x, g, batch.column("label")], names=["doc_id", "x", "g", "label"])
 
     sample = labelled_sample(docs, labels, "quality", rows)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    shapes = sample.mapInArrow(shape, f"doc_id {kind}, x array<double>, label int").orderBy("doc_id").toArrow()
-    y = shapes.column("label").to_numpy()
-    model = None
-    if len(set(y.tolist())) == 2:
-        model = fit(np.array(shapes.column("x").to_pylist()), y)
+    shapes = sample.mapInArrow(shape, f"doc_id {kind}, x array<double>, g array<int>, label int")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        own = pa.Table.from_batches(held).sort_by("doc_id")
+        y = own.column("label").to_numpy()
+        if len(set(y.tolist())) == 2:
+            each = [np.asarray(g, np.int64) for g in own.column("g").to_pylist()]
+            model = Evidence.learn(np.array(own.column("x").to_pylist()), each, y)
+            yield pa.RecordBatch.from_pylist([{k: np.asarray(v, float).tobytes() for k, v in vars(model).items()}])
+
+    got = shapes.repartition(1).mapInArrow(learn, "weights binary, scale binary, odds binary").collect()
+    if not got:
+        return None
+    weights, scale, odds = (np.frombuffer(x) for x in got[0])
+    return Evidence(weights, scale.reshape(2, -1), odds)
+
+
+def evidence(docs: DataFrame, model: Evidence | None, into: str = "evidence") -> DataFrame:
+    """``docs`` plus the probability of quality 1 from the whole text; 1/2 without a model."""
     at = docs.schema.fieldNames().index("text")
     out = with_field(docs.schema, into, "double")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.full(batch.num_rows, 0.5)
-            if model is not None and batch.num_rows:
-                w, scale = model
-                x = np.array([features(t or "") for t in batch.column(at).to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip(expand(x, scale) @ w, -30, 30)))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            p = np.full(batch.num_rows, 0.5) if shipped.value is None else shipped.value.probability(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=out.names)
 
     return docs.mapInArrow(run, out)
@@ -104,16 +180,25 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Documents that the prior of groups (n, total) counts as, by the spread of their means (moments)."""
+def _strength(groups: DataFrame, within: float) -> float:
+    """Documents that the prior of groups (n, total) counts as, in parents (parent_n, parent_total): within / between.
+
+    ``within`` is the variance of evidence inside of groups, between that of the groups' true
+    means around their parent's, by moments: the spread seen in a parent of k groups is
+    (k - 1) * within + between * (N - sum of n^2 / N). So a host's paths count by how far they
+    lie from each other, not by how far the host lies from the corpus.
+    """
+    mean = F.col("parent_total") / F.col("parent_n")
     share = F.col("total") / F.col("n")
     got = groups.agg(
-        F.count("*").alias("k"), F.avg((share - mean) * (share - mean)).alias("spread"), F.avg(1 / F.col("n")).alias("noise")
+        F.sum(F.col("n") * (share - mean) * (share - mean)).alias("spread"),
+        F.sum(1 - F.col("n") / F.col("parent_n")).alias("noise"),
+        F.sum(F.col("n") - F.col("n") * F.col("n") / F.col("parent_n")).alias("room"),
     ).first()
-    if not got["k"]:
+    if not got["room"]:
         return MOST_STRENGTH
-    spread = got["spread"] - mean * (1 - mean) * got["noise"]
-    return float(np.clip(mean * (1 - mean) / spread - 1, LEAST_STRENGTH, MOST_STRENGTH)) if spread > 0 else MOST_STRENGTH
+    between = (got["spread"] - within * got["noise"]) / got["room"]
+    return float(np.clip(within / between, LEAST_STRENGTH, MOST_STRENGTH)) if between > 0 else MOST_STRENGTH
 
 
 def classify(
@@ -131,9 +216,11 @@ def classify(
     kept (score >= threshold) and, with ``keep_row``, the input row as struct ``record``.
 
     A host's posterior is its documents' mean evidence shrunk to the corpus mean, a path's is
-    shrunk to its host's; how strongly follows from how far the groups' means lie apart. So a
-    host with few documents is close to the corpus. Sums are grouped before any shuffle, so a
-    host with a third of all rows is one row for each task. By default the host is the column
+    shrunk to its host's; how strongly follows from how far the groups' means lie apart, hosts
+    in the corpus and paths in their host. So a host with few documents is close to the corpus.
+    A document's score adds the posterior of its path without the document itself to its own
+    evidence, which so counts once. Sums are grouped before any shuffle, so a host with a third
+    of all rows is one row for each task. By default the host is the column
     source and the path is lang within it; null is a host or path of its own. Null and empty
     texts have evidence as such; without labels of both kinds all evidence is 1/2. Repeated
     rows count each.
@@ -148,19 +235,33 @@ def classify(
         docs["text"].alias("text"),
         *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("record")] if keep_row else []),
     )
-    scored = evidence(own, labels.select("doc_id", "quality"), rows).drop("text")
-    scored = stash(scored, "evidence")
-    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("total")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    mean = float(np.clip(whole["total"] / whole["n"], 1e-3, 1 - 1e-3)) if whole["n"] else 0.5
-    k_host, k_path = _strength(hosts, mean), _strength(paths, mean)
-    posterior = hosts.select("host", ((k_host * mean + F.col("total")) / (k_host + F.col("n"))).alias("host_posterior"))
-    shrunk = (k_path * F.col("host_posterior") + F.col("total")) / (k_path + F.col("n"))
-    sites = paths.join(posterior, "host").select("host", "path", "host_posterior", shrunk.alias("path_posterior"))
-    sites = stash(sites, "sites")
-    odds = _logit(F.col("evidence")) + SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.lit(mean)))
-    out = scored.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-odds)))
+    model = train(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), labels, rows)
+    scored = stash(evidence(own, model).drop("text"), "evidence")
+    square = F.sum(F.col("evidence") * F.col("evidence"))
+    sums = (F.count("*").alias("n"), F.sum("evidence").alias("total"), square.alias("squares"))
+    paths = stash(scored.groupBy("host", "path").agg(*sums), "paths")
+    add = [F.sum(c).alias(c) for c in ("n", "total", "squares")]
+    hosts = paths.groupBy("host").agg(*add)
+    whole = hosts.agg(*add).first()
+    n, total = whole["n"] or 0, whole["total"] or 0.0
+    mean = float(np.clip(total / n, 1e-3, 1 - 1e-3)) if n else 0.5
+    inside = paths.agg(F.sum(F.col("squares") - F.col("total") * F.col("total") / F.col("n")).alias("s"), F.count("*").alias("k")).first()
+    within = max((inside["s"] or 0.0) / max(1, n - inside["k"]), 1e-6)
+    in_host = paths.join(hosts.select("host", F.col("n").alias("parent_n"), F.col("total").alias("parent_total")), "host")
+    k_host = _strength(hosts.withColumn("parent_n", F.lit(max(n, 1))).withColumn("parent_total", F.lit(total)), within)
+    k_path = _strength(in_host, within)
+    sites = stash(in_host.select("host", "path", "n", "total", "parent_n", "parent_total"), "sites")
+
+    def posteriors(own: Column, seen: Column) -> tuple[Column, Column]:
+        """Of host and path, without ``seen`` documents of evidence ``own``."""
+        of_host = (k_host * F.lit(mean) + F.col("parent_total") - own) / (k_host + F.col("parent_n") - seen)
+        return of_host, (k_path * of_host + F.col("total") - own) / (k_path + F.col("n") - seen)
+
+    out = scored.join(sites, ["host", "path"])
+    of_host, of_path = posteriors(F.lit(0.0), F.lit(0))
+    _, of_others = posteriors(F.col("evidence"), F.lit(1))
+    odds = _logit(F.col("evidence")) + SITE_WEIGHT * (_logit(of_others) - _logit(F.lit(mean)))
+    out = out.withColumns({"host_posterior": of_host, "path_posterior": of_path, "score": 1 / (1 + F.exp(-odds))})
     shown = [F.when(F.col(c) != none, F.col(c)).alias(c) for c in ("host", "path")]
     return out.select(
         "doc_id",

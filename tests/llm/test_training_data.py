@@ -275,6 +275,65 @@ paragraph with enough text in it to count.<blockquote>quoted</blockquote><div cl
 <footer>&copy; me</footer></body>"""
 
 
+def test_posteriors_equal_a_plain_computation(spark, monkeypatch):
+    """Hosts shrink to the corpus, paths to their host by the spread within hosts; a score leaves its own document out of them."""
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"doc_id": range(400), "source": [f"h{k}" for k in rng.integers(0, 9, 400)], "lang": rng.choice(["en", "de", "fr"], 400)})
+    frame["e"] = np.clip(rng.beta(2, 2, 400) * 0.6 + 0.04 * frame["source"].str[1].astype(int), 0.01, 0.99)
+    frame["text"], frame["n_chars"] = "x", 1
+    monkeypatch.setattr(quality, "train", lambda docs, labels, rows: None)
+    known = spark.createDataFrame(frame[["doc_id", "e"]])
+    monkeypatch.setattr(
+        quality, "evidence", lambda docs, model: docs.join(known, "doc_id").withColumnRenamed("e", "evidence")
+    )
+    docs = spark.createDataFrame(frame[["doc_id", "text", "lang", "source", "n_chars"]])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = pd.DataFrame(rows_of(quality.classify(docs, labels))).sort_values("doc_id").reset_index(drop=True)
+
+    def between(parts, within):  # [(n, mean, parent's n, parent's mean)]
+        n, m, big, centre = map(np.array, zip(*parts))
+        tau = ((n * (m - centre) ** 2).sum() - within * (1 - n / big).sum()) / (n - n * n / big).sum()
+        return float(np.clip(within / tau, quality.LEAST_STRENGTH, quality.MOST_STRENGTH)) if tau > 0 else quality.MOST_STRENGTH
+
+    e, mean = frame["e"], frame["e"].mean()
+    paths, hosts = frame.groupby(["source", "lang"])["e"], frame.groupby("source")["e"]
+    within = sum(((g - g.mean()) ** 2).sum() for _, g in paths) / (len(frame) - len(paths))
+    k_host = between([(len(g), g.mean(), len(frame), mean) for _, g in hosts], within)
+    k_path = between([(len(g), g.mean(), len(hosts.get_group(h)), hosts.get_group(h).mean()) for (h, _), g in paths], within)
+    for i, r in frame.iterrows():
+        of_host, of_path = hosts.get_group(r["source"]), paths.get_group((r["source"], r["lang"]))
+        for skip, score in ((0, False), (1, True)):
+            host = (k_host * mean + of_host.sum() - skip * r["e"]) / (k_host + len(of_host) - skip)
+            path = (k_path * host + of_path.sum() - skip * r["e"]) / (k_path + len(of_path) - skip)
+            if score:
+                logit = lambda p: np.log(p / (1 - p))
+                odds = logit(r["e"]) + quality.SITE_WEIGHT * (logit(path) - logit(mean))
+                assert abs(got["score"][i] - 1 / (1 + np.exp(-odds))) < 1e-9
+            else:
+                assert abs(got["host_posterior"][i] - host) < 1e-9 and abs(got["path_posterior"][i] - path) < 1e-9
+    assert k_path > 3 * k_host  # languages say nothing here, hosts do
+
+
+def test_words_are_evidence(spark):
+    """Texts of one shape that differ in their words alone, and held-out ones of the same kinds."""
+    rng = random.Random(4)
+    good, bad = [f"gw{k:03}" for k in range(60)], [f"bw{k:03}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(40)), "en", "s", 0) for i in range(600)]
+    frame = spark.createDataFrame(rows, DOCS)
+    labels = frame.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = rows_of(quality.classify(frame, labels))
+    assert np.mean([r["kept"] == bool(r["doc_id"] % 2) for r in got if r["doc_id"] >= 400]) > 0.97
+
+
+def test_long_texts_are_training_rows(spark):
+    rows = [(1, "word " * 12_000, "en", "s", 0), (2, "x", "en", "s", 0), (3, None, "en", "s", 0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    from foliant.llm.labelled import labelled_sample
+
+    got = {r["doc_id"]: len(r["text"]) for r in labelled_sample(spark.createDataFrame(rows, DOCS), labels, "quality", 10).collect()}
+    assert got == {1: 60_000, 2: 1}
+
+
 def test_html_main_text():
     assert html.page_text(PAGE, None) == "Title <1>\nOne two three four\nSecond bold paragraph with enough text in it to count.\nquoted"
     for broken in ("", "<", "<p", "plain", "<p>a<p>b", "</div></p>", "<div>" * 5000 + "x", "<article><p>cut &am", "<!-- open", "<script>x"):
