@@ -10,6 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks that a hot key's rows are spread over where they meet the key's one row.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``small``, which has one row a key.
+
+    Rows of a key are dealt to ``salts`` tasks by a hash of ``spread``, and each row of
+    ``small`` is copied so often; so a key with a third of all rows is not one task's.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread, F.lit(5)), F.lit(salts)).cast("int"))
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
+
+
 def split_buckets(rows: DataFrame, keys: list[str], spread: str, most: int) -> DataFrame:
     """Deal each bucket's rows to tasks of at most about ``2 * most`` rows that together compare all pairs.
 
@@ -20,7 +35,7 @@ def split_buckets(rows: DataFrame, keys: list[str], spread: str, most: int) -> D
     """
     large = rows.groupBy(*keys).count().where(F.col("count") > most)
     large = large.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    dealt = rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = salted_join(rows, large, keys, spread, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(spread, F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
@@ -80,3 +95,28 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             break
         label = new
     return label
+
+
+class Unions:
+    """Links between n items, kept as the least item that each reaches; at most ``most`` links are held as such."""
+
+    def __init__(self, n: int, most: int = 1 << 20):
+        self.label, self.most = np.arange(n), most
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.held.append((i, j))
+            self.size += len(i)
+            if self.size > self.most:
+                self.settle()
+
+    def settle(self) -> np.ndarray:
+        """The least item of each, all links counted."""
+        if self.held:
+            moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+            i, j = (np.concatenate(x) for x in zip(*self.held, (moved, self.label[moved])))
+            self.label = roots(len(self.label), i, j)
+            self.held, self.size = [], 0
+        return self.label

@@ -12,11 +12,26 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import discard, pick, stash, with_field
 from foliant.llm.components import connected_components
-from foliant.llm.groups import by_bucket, roots, sorted_by_bucket, split_buckets
+from foliant.llm.groups import Unions, by_bucket, salted_join, sorted_by_bucket, split_buckets
 
 BITS = 64
 #: Rows of a bucket block; a bucket beyond it is compared by more than one task.
-BLOCK = 4096
+BLOCK = 1 << 17
+#: Pairs that a task compares at a time.
+PAIRS = 1 << 21
+#: Words of a fingerprint that estimates similarities, and those of them that have trees.
+WIDE, INDEXED = 8, 4
+
+
+def distance_of(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of ``bits`` bits differ at this Jaccard similarity of their shingles, and one standard error.
+
+    Sets of similarity s have the cosine 2s / (1 + s), and a bit differs with the share of
+    their angle in a half turn. With 512 bits the standard error at 0.8 is 8 bits, or 0.025 of
+    similarity; so five of six pairs at just that similarity are within the distance.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -25,35 +40,58 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     Words are runs of other characters than ASCII white space, with A-Z lower-cased. A text
     with fewer words than a shingle has one shingle, one without words has fingerprint 0.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    return int(code(text, shingle)[0])
+
+
+def code(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """``fingerprint`` as an array; more words than one take their bits from the same hashes, mixed again."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    if not own:
+        return np.zeros(words, np.uint64)
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    k = min(shingle, len(words))
+    k = min(shingle, len(own))
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
-    n = len(words) - k + 1
+    ones = np.zeros((words, BITS), np.int64)
+    n = len(own) - k + 1
     spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist())
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
     for at in range(0, n, 65536):
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+        part = hashes[at : at + 65536]
+        for w in range(words):
+            bits = np.unpackbits(_mixed(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[w] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """``docs`` plus ``fp``, the fingerprint of the text as a signed long."""
-    schema = docs.schema
-    at = schema.fieldNames().index(text)
-    out = with_field(schema, "fp", "long")
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """The hashes for another word of the fingerprint."""
+    if not word:
+        return h
+    h = h + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_columns(words: int) -> list[str]:
+    return ["fp", *(f"fp{w}" for w in range(1, words))]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """``docs`` plus ``fp`` (and ``fp1``, ...), the fingerprint of the text as signed longs."""
+    out = docs.schema
+    at = out.fieldNames().index(text)
+    for name in word_columns(words):
+        out = with_field(out, name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(at).to_pylist()]
-            column = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=out.fieldNames())
+            fps = [code(t, shingle, words) for t in batch.column(at).to_pylist()]
+            table = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(table[:, w])) for w in range(words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=out.fieldNames())
 
     return docs.mapInArrow(run, out)
 
@@ -126,24 +164,72 @@ def forest(sample: np.ndarray, distance: int, trees: int, depth: int) -> list[Va
     return [VantageTree(sample, m, distance // trees, depth, seed=i) for i, m in enumerate(masks)]
 
 
-def close_pairs_forest(fps: DataFrame, distance: int, trees: int, leaf: int, sample: int) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that connect all that are within ``distance``.
+def close_pairs_in(codes: np.ndarray, parts: list[tuple[int, np.uint64]], distance: int, block: np.ndarray | None) -> np.ndarray:
+    """For each row of ``codes`` (rows, words) the least row that it reaches by close pairs of these rows.
 
+    Two rows that a tree's reach joins agree in one of ``parts`` (word, mask) of its bits, so
+    only rows that do are compared, over all words. With ``block``, only rows of different
+    blocks are.
+    """
+    unions = Unions(len(codes))
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=-1, dtype=np.int64) <= distance
+        if block is not None:
+            near &= block[i] != block[j]
+        unions.add(*(x[near] for x in np.broadcast_arrays(i, j)))
+
+    for word, mask in parts:
+        value = codes[:, word] & mask
+        order = np.argsort(value, kind="stable")
+        cuts = np.flatnonzero(value[order][1:] != value[order][:-1]) + 1
+        starts, stops = np.r_[0, cuts], np.r_[cuts, len(order)]
+        at = np.arange(len(order))
+        stop = np.repeat(stops, stops - starts)
+        at = at[np.repeat(stops - starts <= 64, stops - starts)]
+        for step in range(1, 64):  # small groups together: each row and the one so many rows on
+            at = at[at + step < stop[at]]
+            if not len(at):
+                break
+            compare(order[at], order[at + step])
+        for a, b in zip(starts, stops):
+            if b - a > 64:
+                rows = order[a:b]
+                some = max(1, PAIRS // (len(rows) * codes.shape[1]))
+                for k in range(0, len(rows), some):
+                    compare(rows[k : k + some, None], rows[None, k:])
+    return unions.settle()
+
+
+def close_pairs_forest(
+    fps: DataFrame, distance: int, trees: int, leaf: int, sample: int, node: str = "fp", words: int = 1, indexed: int = 1, reach: int | None = None
+) -> DataFrame:
+    """Edges (a, b) between the nodes of distinct fingerprints that connect those within ``distance``.
+
+    Each of the first ``indexed`` words of a fingerprint has ``trees`` trees over groups of its bits. Without ``reach``
+    there is one word, and each tree reaches distance // trees bits, so every pair is found.
+    With it, pairs are found that differ by at most ``reach`` bits in one of all these groups.
     Vantage points come from at most ``sample`` fingerprints of least hash, which bounds what
     the driver holds; every fingerprint is indexed. A shard emits a spanning forest of its
     links, never all its pairs.
     """
+    columns = word_columns(words)
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(n / leaf, 1)))))
-    few = fps.orderBy(F.xxhash64("fp", F.lit(3)), "fp").limit(sample).toArrow()
-    points = few.column("fp").to_numpy().view(np.uint64)
-    built = forest(points, distance, trees, depth)
+    few = fps.select(*columns[:indexed]).orderBy(F.xxhash64(*columns, F.lit(3)), *columns).limit(sample).toArrow()
+    near = distance // trees if reach is None else reach
+    built, parts = [], []
+    for w, name in enumerate(columns[:indexed]):
+        for tree in forest(few.column(name).to_numpy().view(np.uint64), near * trees, trees, depth):
+            built.append((w, tree))
+            parts.append([(w, m) for m in _parts(int(tree.mask), near + 1)])
+    shipped = fps.sparkSession.sparkContext.broadcast(built)
+    names = list(dict.fromkeys([node, *columns]))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False)
-            for t, tree in enumerate(built):
-                got = list(tree.shards(own.view(np.uint64)))
+            for t, (w, tree) in enumerate(shipped.value):
+                got = list(tree.shards(batch.column(columns[w]).to_numpy(zero_copy_only=False).view(np.uint64)))
                 if not got:
                     continue
                 idx = np.concatenate([i for _, i in got])
@@ -152,35 +238,32 @@ def close_pairs_forest(fps: DataFrame, distance: int, trees: int, leaf: int, sam
                     [
                         pa.array(np.full(len(idx), t, np.int32)),
                         pa.array(leaves.astype(np.int32)),
-                        pa.array(own[idx]),
+                        *(batch.column(c).take(pa.array(idx)) for c in names),
                     ],
-                    names=["tree", "leaf", "fp"],
+                    names=["tree", "leaf", *names],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_bucket(batches):
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            block = table.column("block").to_numpy()
-            cross = table.column("cross")[0].as_py()
-            i, j = [], []
-            for at in range(0, len(fp), 256):
-                some = slice(at, at + 256)
-                near = np.bitwise_count(fp[some, None] ^ fp[None, at:]) <= distance
-                if cross:
-                    near &= block[some, None] != block[None, at:]
-                p, q = np.nonzero(near)
-                apart = p < q
-                i.append(p[apart] + at)
-                j.append(q[apart] + at)
-            label = roots(len(fp), np.concatenate(i), np.concatenate(j))
-            moved = np.flatnonzero(label != np.arange(len(fp)))
+            codes = np.stack([table.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
+            block = table.column("block").to_numpy() if table.column("cross")[0].as_py() else None
+            label = close_pairs_in(codes, parts[table.column("tree")[0].as_py()], distance, block)
+            moved = np.flatnonzero(label != np.arange(len(codes)))
             if len(moved):
-                ends = fp.view(np.int64)
+                ends = table.column(node).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(ends[moved]), pa.array(ends[label[moved]])], names=["a", "b"])
 
-    routed = fps.mapInArrow(route, "tree int, leaf int, fp long")
-    dealt = split_buckets(routed, ["tree", "leaf"], "fp", BLOCK)
-    return sorted_by_bucket(dealt.drop("tree", "leaf")).mapInArrow(link, "a long, b long")
+    longs = ", ".join(f"{c} long" for c in names)
+    routed = fps.select(*names).mapInArrow(route, f"tree int, leaf int, {longs}")
+    dealt = split_buckets(routed, ["tree", "leaf"], node, BLOCK)
+    return sorted_by_bucket(dealt.drop("leaf")).mapInArrow(link, "a long, b long")
+
+
+def _parts(mask: int, parts: int) -> list[np.uint64]:
+    """The mask's bits in so many groups: of values that differ in fewer bits than groups, one group agrees."""
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    cuts = np.linspace(0, len(bits), parts + 1).astype(int)
+    return [np.uint64(sum(1 << b for b in bits[x:y])) for x, y in zip(cuts[:-1], cuts[1:])]
 
 
 def near_duplicates(
@@ -190,9 +273,10 @@ def near_duplicates(
     shingle: int = 4,
     distance: int = 4,
     trees: int = 3,
-    leaf: int = 512,
+    leaf: int = 4096,
     sample: int = 16384,
     keep_row: bool = False,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Link documents whose fingerprints differ in at most ``distance`` bits, and name their components.
 
@@ -200,6 +284,11 @@ def near_duplicates(
     reachable), kept (true for one row of each component: the one with that doc_id) and, with
     ``keep_row``, the input row as struct ``record``.
 
+    With ``similarity``, fingerprints of ``WIDE`` words estimate the Jaccard similarity of the
+    shingles, and documents link if the estimate is at least ``similarity`` (``distance`` is
+    not read). Of such pairs a few escape the forest, whose trees each reach one bit of 21 or
+    22; the README has the measured recall. The fingerprint returned is the first word.
+
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat a
     doc_id are rows of their own. A null doc_id sorts after all others. Other columns of the
     input are not read and may have any name.
@@ -208,20 +297,25 @@ def near_duplicates(
     if keep_row:
         record = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("record")
         own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), record)
-    marked = fingerprints(own, "text", shingle).drop("text").withColumn("uid", F.monotonically_increasing_id())
+    words = 1 if similarity is None else WIDE
+    columns = word_columns(words)
+    marked = fingerprints(own, "text", shingle, words).drop("text").withColumn("uid", F.monotonically_increasing_id())
     marked = stash(marked, "fingerprints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    classes = stash(marked.groupBy("fp").agg(F.min(order).alias("first")), "classes")
-    edges = close_pairs_forest(classes.select("fp"), distance, trees, leaf, sample)
-    labels = connected_components(edges, "a", "b")
-    named = classes.join(labels, classes["fp"] == labels["node"], "left").select(
-        classes["fp"], "first", F.coalesce("component", classes["fp"]).alias("component")
-    )
-    named = stash(named, "named")
-    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
-    members = stash(named.drop("first").join(firsts, "component").select("fp", "first"), "members")
-    discard(classes, named)
-    out = marked.join(members, "fp")
+    classes = marked.groupBy(*columns).agg(F.min(order).alias("first"), F.min("uid").alias("node"))
+    classes = stash(classes, "classes")
+    if similarity is None:
+        edges = close_pairs_forest(classes, distance, trees, leaf, sample, "node")
+    else:
+        far = distance_of(similarity, BITS * words)
+        edges = close_pairs_forest(classes, far, trees, 2 * leaf, sample, "node", words, INDEXED, reach=1)
+    labels = stash(connected_components(edges, "a", "b").join(classes.select("node", "first"), "node"), "labels")
+    firsts = labels.groupBy("component").agg(F.min("first").alias("least"))
+    least = salted_join(labels.select("node", "component"), firsts, ["component"], "node").select("node", "least")
+    members = classes.join(least, "node", "left").select(*columns, F.coalesce("least", "first").alias("first"))
+    members = stash(members, "members")
+    discard(classes, labels)
+    out = marked.join(members, columns)
     return out.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -609,6 +609,52 @@ def test_forest_finds_isolated_pairs_in_deep_trees(spark):
     assert len(lost) == 0
 
 
+def jaccard(one, two, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (one.split(), two.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [1 << 17, 64])
+def test_similar_documents_link_against_brute_force(spark, monkeypatch, block):
+    """Originals with edited copies at many similarities: what is clearly above 0.8 links, what is clearly below never does."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        texts.append(base)
+        for edits in (0.004, 0.01, 0.02, 0.05, 0.1):
+            texts.append([rng.choice(words) if rng.random() < edits else w for w in base])
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(9000, None, "en", "s", 0), (9001, "", "en", "s", 0), (9002, "w1 w2", None, None, None), (9002, "w1 w2", "en", "s", 0)]
+    got = rows_of(simhash.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=5, similarity=0.8, leaf=16))
+    comp = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == len(rows) and comp[9000] == comp[9001] == 9000 and comp[9002] == 9002
+    assert sum(r["kept"] for r in got) == len(set(comp.values()))
+    near, missed = 0, 0
+    for k in range(0, len(texts), 6):
+        own = [" ".join(t) for t in texts[k : k + 6]]
+        for i in range(6):
+            assert comp[k + i] in range(k, k + 6)  # other originals stay apart
+            for j in range(i):
+                if jaccard(own[i], own[j]) >= 0.8:
+                    near += 1
+                    missed += comp[k + i] != comp[k + j]
+            if all(jaccard(own[i], own[j]) < 0.6 for j in range(6) if j != i):
+                assert comp[k + i] == k + i and sum(comp[k + j] == k + i for j in range(6)) == 1
+    assert near > 100 and missed <= 0.05 * near
+
+
+def test_unions_settle_in_parts():
+    rng = np.random.default_rng(1)
+    i, j = rng.integers(0, 500, (2, 400))
+    unions = groups.Unions(500, most=37)
+    for k in range(0, 400, 10):
+        unions.add(i[k : k + 10], j[k : k + 10])
+    assert (unions.settle() == groups.roots(500, i, j)).all()
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     hub = [(1000, 1001 + i) for i in range(80)]
