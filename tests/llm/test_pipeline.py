@@ -55,6 +55,41 @@ def test_exact_and_near_copies_go(spark, docs):
     assert sorted(near["doc_id"]) == sorted(rows[c]["doc_id"] for c in set(comp))
 
 
+def test_the_near_stage_takes_five_words_and_a_similarity_of_0_8(spark, docs):
+    """Against the exact similarity of all pairs: clear cases on either side of 0.8 are decided right."""
+    left = corpus_pipeline.drop_copies(spark, docs, SF)
+    rows = {r["doc_id"]: " ".join((r["text"] or "").lower().split()).split() for r in left.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in rows.items()}
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, left, SF).collect()}
+    ids = sorted(rows)
+    similar = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
+    assert any(s >= 0.8 for s in similar.values())
+    for (a, b), s in similar.items():
+        if s >= 0.8:
+            assert not {a, b} <= kept
+    for i in ids:
+        if all(s < 0.6 for p, s in similar.items() if i in p):
+            assert i in kept
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4])
+def test_stages_take_odd_rows_and_clashing_columns(spark, docs, n):
+    """Nulls in every column, empty and long texts, repeated rows and columns named like an operator's own."""
+    odd = [(9001, None, None, None, None), (9002, "", "en", "src1", 0), (9003, "fine words of a text " * 20_000, "en", "src1", 1),
+           (9004, "short", "en", None, 5), (9004, "short", "en", None, 5), (None, "no id", "de", "src2", 5)]
+    frame = docs.where("doc_id < 60").unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in ("score", "record", "fp", "uid", "digest", "evidence", "toxicity score", "host", "ids"):
+        frame = frame.withColumn(name, F.lit(name))
+    out = corpus_pipeline.STAGES[n][1](spark, frame, SF)
+    ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+    if n < 4:
+        assert out.columns == frame.columns and out.where("score != 'score' or record != 'record' or fp != 'fp'").count() == 0
+        assert len(ids) == len(set(ids)) or n < 2
+    assert 9003 in ids or n == 0
+    if n == 4:
+        assert {9001, 9002, 9003, 9004, None} <= set(ids)
+
+
 def test_whole_run(spark):
     pieces = corpus_pipeline.run(spark, SF)
     got = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("want"))
