@@ -712,6 +712,20 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert embdedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_buckets_do_not_grow_with_the_rows():
+    for rows in (1, 5_000, 1_000_000, 60_000_000):
+        tables, bits = embdedup.tables_for(rows, 0.98)
+        assert rows / 2**bits <= 2 * embdedup.BUCKET_ROWS and 4 <= tables <= 24
+    assert embdedup.tables_for(100, 1.0) == (1, embdedup.LEAST_BITS)
+
+
+def test_signed_zeros_and_one_hot_vector(spark):
+    rows = [(i, [1.0, 0.0 if i % 2 else -0.0, 2.0], 1) for i in range(40)] + [(50, [1.0, 0.01, 2.0], 1), (51, [-1.0, 5.0, 0.0], 1)]
+    got = {r["vec_id"]: r for r in rows_of(embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")))}
+    assert len(got) == 42 and all(got[i]["n_links"] == 40 and got[i]["component_id"] == 0 for i in [*range(40), 50])
+    assert got[51]["n_links"] == 0 and got[51]["kept"]
+
+
 def test_rotation_is_orthogonal_and_balanced():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 64)) * np.linspace(0.1, 3, 64)
