@@ -168,8 +168,9 @@ def evidence(docs: DataFrame, model: Evidence | None, into: str = "evidence") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            p = np.full(batch.num_rows, 0.5) if shipped.value is None else shipped.value.probability(texts)
+            p = np.full(batch.num_rows, 0.5)
+            for k in range(0, batch.num_rows if shipped.value else 0, 256):  # few texts at a time are Python strings
+                p[k : k + 256] = shipped.value.probability([t or "" for t in batch.column(at).slice(k, 256).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=out.names)
 
     return docs.mapInArrow(run, out)

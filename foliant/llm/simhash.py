@@ -88,7 +88,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [code(t, shingle, words) for t in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            fps = [code(t, shingle, words) for k in range(0, len(column), 256) for t in column.slice(k, 256).to_pylist()]
             table = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(table[:, w])) for w in range(words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=out.fieldNames())
