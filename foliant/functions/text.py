@@ -76,9 +76,23 @@ def language_bucket(language: Column) -> Column:
     return F.when(F.lower(F.trim(F.coalesce(language, F.lit("")))) == "eng", "en").otherwise("zh")
 
 
+def han_pairs(tokens: Column) -> Column:
+    """Tokens in which a run of Han characters becomes its pairs of neighbours; a single one stays.
+
+    Chinese has no spaces, and no dictionary is installed; pairs find the words of a query in
+    any clause. Tokens with Han beside other characters are cut where the script changes.
+    """
+    def cut(token: Column) -> Column:
+        runs = F.regexp_extract_all(token, F.lit(f"{HAN}+|[^{HAN[1:-1]}]+"), F.lit(0))
+        pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
+        return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{HAN}"), pairs(r)).otherwise(F.array(r))))
+
+    return F.when(F.exists(tokens, lambda t: t.rlike(HAN)), F.flatten(F.transform(tokens, cut))).otherwise(tokens)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of word characters in any script."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    """Lower-case runs of word characters in any script; of Han runs the pairs of neighbours."""
+    return han_pairs(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
 def hash_embedding(text: Column, dimensions: int = 8) -> Column:

@@ -73,6 +73,22 @@ def list_messages(messages: DataFrame, session_id: str) -> DataFrame:
     return messages.where(F.col("session_id") == session_id).orderBy("seq")
 
 
+def list_tokens(tokens: DataFrame, user_id: str) -> DataFrame:
+    """A user's access tokens, newest first, ties by id."""
+    return tokens.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), "token_id")
+
+
+def list_users(users: DataFrame, page: Page = Page()) -> DataFrame:
+    """Oldest first, ties by id."""
+    return page.of(users, "created_at", "user_id")
+
+
+def has_cover(books: DataFrame, book_id: str) -> DataFrame:
+    """One row: whether the book is there and has a cover."""
+    named = F.trim(F.coalesce("cover_path", F.lit(""))) != ""
+    return books.agg(F.coalesce(F.bool_or((F.col("book_id") == book_id) & named), F.lit(False)).alias("has_cover"))
+
+
 def oldest_queued(tasks: DataFrame, n: int = 1) -> DataFrame:
     queued = (F.col("type") == "ingest") & (F.col("status") == "pending") & F.col("dispatched_at").isNull()
     return tasks.where(queued).orderBy("created_at", "task_id").limit(n)
@@ -209,9 +225,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(last.select(key), key, "left_anti").unionByName(last)
 
 
-def replace_parts(rows: DataFrame, path: str) -> None:
-    """Replace all rows of the books in ``rows``, by overwriting just their partitions."""
+def replace_parts(rows: DataFrame, path: str, books: Sequence[str] = ()) -> None:
+    """Replace all rows of the books in ``rows``, by overwriting just their partitions.
+
+    ``books`` are ids to replace even by no rows: the partitions of those that ``rows`` lacks
+    are deleted after the write.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
+    if books:
+        spark = rows.sparkSession
+        ids = spark.createDataFrame([(str(b),) for b in books], "book_id string")
+        empty = ids.join(rows.select(F.col("book_id").cast("string").alias("book_id")), "book_id", "left_anti").distinct().collect()
+        jvm = spark._jvm
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in empty:  # at most the caller's ids
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/book_id={escaped(row['book_id'])}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bulk(ids: DataFrame, books: DataFrame) -> DataFrame:

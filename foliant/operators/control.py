@@ -62,13 +62,6 @@ def dispatch(tasks: DataFrame, cap: int = 1) -> DataFrame:
     return numbered.join(F.broadcast(running), how="cross").where(F.col("place") <= cap - F.col("running")).drop("running")
 
 
-def dispatch_run(tasks: DataFrame, cap: int = 1) -> DataFrame:
-    """(task_id, lane, turn) of a whole queue when tasks start in order on ``cap`` lanes and last alike."""
-    place = tasks.select("task_id", (F.row_number().over(Window.orderBy("created_at", "task_id")) - 1).alias("place"))
-    cap = max(cap, 1)
-    return place.select("task_id", (F.col("place") % cap).alias("lane"), F.floor(F.col("place") / cap).alias("turn"))
-
-
 def recover(tasks: DataFrame) -> DataFrame:
     """Orphans of a lost worker: ingests are queued again from 0, summaries fail; others stay."""
     orphan = F.col("status").isin(*ACTIVE)

@@ -170,6 +170,31 @@ SPLIT = f"""
 """
 
 
+def segment_steps(target: int, hard: int) -> str:
+    """The table ``segments`` (doc_id, segment_no, segment) of all documents, one segment a step."""
+    window = f"substring(rest, {target} + 1, {hard - target})"
+    return f"""step AS (
+                SELECT doc_id, text AS rest, 0 AS step_no, CAST(NULL AS VARCHAR) AS piece, length(text) > {hard} AS long FROM documents
+                UNION ALL
+                SELECT doc_id, substring(rest, cut + 1), step_no + 1, substring(rest, 1, cut), long FROM (
+                    SELECT doc_id, rest, step_no, long, CASE
+                        WHEN length(rest) <= {hard} THEN length(rest)
+                        WHEN strpos({window}, chr(10)) > 0 THEN {target} + strpos({window}, chr(10))
+                        WHEN regexp_matches({window}, '[。！？.!?]')
+                        THEN {target} + length(regexp_extract({window}, '(?s)^.*[。！？.!?]'))
+                        ELSE {hard} END AS cut
+                    FROM step WHERE length(rest) > 0
+                )
+            ),
+            cleaned AS (
+                SELECT doc_id, step_no, CASE WHEN long THEN {strip("piece")} ELSE piece END AS segment FROM step WHERE piece IS NOT NULL
+            ),
+            segments AS (
+                SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step_no) - 1 AS INTEGER) AS segment_no, segment
+                FROM cleaned WHERE segment <> ''
+            )"""
+
+
 def oracle_sql() -> dict[str, str]:
     messy = r"regexp_replace(text, '\n', ' ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10), 'g') || ' ' || chr(10)"
     tidy = rf"regexp_replace(regexp_replace({messy}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
@@ -190,25 +215,7 @@ def oracle_sql() -> dict[str, str]:
             FROM cut WHERE content <> ''
         """,
         "segment_documents": f"""
-            WITH RECURSIVE step AS (
-                SELECT doc_id, text AS rest, 0 AS step_no, CAST(NULL AS VARCHAR) AS piece, length(text) > {SHORT[1]} AS long FROM documents
-                UNION ALL
-                SELECT doc_id, substring(rest, cut + 1), step_no + 1, substring(rest, 1, cut), long FROM (
-                    SELECT doc_id, rest, step_no, long, CASE
-                        WHEN length(rest) <= {SHORT[1]} THEN length(rest)
-                        WHEN strpos(substring(rest, {SHORT[0]} + 1, {SHORT[1] - SHORT[0]}), chr(10)) > 0
-                        THEN {SHORT[0]} + strpos(substring(rest, {SHORT[0]} + 1, {SHORT[1] - SHORT[0]}), chr(10))
-                        WHEN regexp_matches(substring(rest, {SHORT[0]} + 1, {SHORT[1] - SHORT[0]}), '[。！？.!?]')
-                        THEN {SHORT[0]} + length(regexp_extract(substring(rest, {SHORT[0]} + 1, {SHORT[1] - SHORT[0]}), '(?s)^.*[。！？.!?]'))
-                        ELSE {SHORT[1]} END AS cut
-                    FROM step WHERE length(rest) > 0
-                )
-            ),
-            cleaned AS (
-                SELECT doc_id, step_no, CASE WHEN long THEN {strip("piece")} ELSE piece END AS segment FROM step WHERE piece IS NOT NULL
-            )
-            SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step_no) - 1 AS INTEGER) AS segment_no, length(segment) AS n, segment
-            FROM cleaned WHERE segment <> ''
+            WITH RECURSIVE {segment_steps(*SHORT)} SELECT doc_id, segment_no, length(segment) AS n, segment FROM segments
         """,
         "chapter_split": SPLIT,
         "chapter_split_lines": SPLIT,
@@ -281,9 +288,21 @@ def oracle_sql() -> dict[str, str]:
             FROM r
         """,
         "summaries_map_reduce": f"""
-            SELECT source AS book_id, doc_id AS chapter_id, doc_id AS sort_order,
-                {strip("substring('Summarize the chapter: t' || doc_id || chr(10) || chr(10) || substring(text, 1, 12000), 1, 60)")} AS summary
-            FROM documents WHERE {strip("text")} <> ''
+            WITH RECURSIVE {segment_steps(10_000, 12_000)},
+            counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM segments),
+            parts AS (
+                SELECT doc_id, segment_no, total, {strip("""substring(CASE WHEN total = 1 THEN 'Summarize the chapter: '
+                    ELSE 'Summarize part ' || (segment_no + 1) || '/' || total || ': ' END || 't' || doc_id || chr(10) || chr(10) || segment, 1, 60)""")} AS summary
+                FROM counted
+            ),
+            merged AS (
+                SELECT doc_id, total, min(summary) AS one, string_agg(
+                    '[' || (segment_no + 1) || '/' || total || '] ' || summary, chr(10) || chr(10) ORDER BY segment_no) AS body
+                FROM parts GROUP BY doc_id, total
+            )
+            SELECT source AS book_id, d.doc_id AS chapter_id, d.doc_id AS sort_order, CASE WHEN total = 1 THEN one ELSE
+                {strip("substring('Merge the summaries of the parts of t' || d.doc_id || chr(10) || chr(10) || body, 1, 60)")} END AS summary
+            FROM documents d JOIN merged m ON d.doc_id = m.doc_id WHERE {strip("text")} <> ''
         """,
         "pseudo_chunks": f"""
             WITH {BOOKS}, s AS (SELECT book_id, {strip("summary")} AS content FROM books)
@@ -380,8 +399,8 @@ def oracle_sql() -> dict[str, str]:
         """,
         "task_final_state": FINAL,
         "dispatch_queue": f"""
-            WITH {TASKS}, few AS (SELECT * FROM tasks WHERE status <> 'processing' AND (status <> 'pending' OR dispatched_at IS NULL))
-            SELECT task_id, created_at FROM few WHERE type = 'ingest' AND status = 'pending' ORDER BY created_at, task_id LIMIT 4
+            WITH {TASKS} SELECT task_id, created_at FROM tasks
+            WHERE type = 'ingest' AND status = 'pending' AND dispatched_at IS NULL ORDER BY created_at, task_id LIMIT 4
         """,
         "orphan_recovery": f"""
             WITH {TASKS} SELECT task_id, type,

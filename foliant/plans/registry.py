@@ -265,14 +265,14 @@ def keyword_cloud_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summaries_map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapter summaries by the stand-in model, gathered into each book's prompt."""
+    """Chapter summaries of whole texts by the stand-in model; long chapters are summarised by segment and merged."""
     docs = V.table(spark, sf_dir, "documents")
     chapters = docs.select(
         F.col("source").alias("book_id"),
         F.col("doc_id").alias("chapter_id"),
         F.col("doc_id").alias("sort_order"),
         F.concat(F.lit("t"), "doc_id").alias("title"),
-        F.substring("text", 1, 12_000).alias("content"),
+        F.col("text").alias("content"),
     )
     done = summarize.chapter_summaries(chapters, providers.ExtractiveModel(60), "en")
     return done.select("book_id", "chapter_id", "sort_order", "summary")
@@ -448,8 +448,10 @@ def task_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dispatch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = V.tasks(spark, sf_dir).where("status != 'processing' and (status != 'pending' or dispatched_at is null)")
-    return control.dispatch(few, 4).select("task_id", "created_at")
+    """The cap leaves four places beside the tasks that run."""
+    tasks = V.tasks(spark, sf_dir)
+    running = catalog.running_ingests(tasks).first()[0]
+    return control.dispatch(tasks, running + 4).select("task_id", "created_at")
 
 
 @query

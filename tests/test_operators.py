@@ -302,6 +302,50 @@ def test_replacing_a_books_parts_leaves_others(spark, tmp_path):
     assert {(r["book_id"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 5), ("b", 2)}
 
 
+def test_replacing_a_book_by_no_rows(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    catalog.replace_parts(spark.createDataFrame([("a:1", 1), ("b", 2), ("c", 3)], "book_id string, v int"), path)
+    catalog.replace_parts(spark.createDataFrame([("b", 7)], "book_id string, v int"), path, ["a:1", "b", "none"])
+    assert {(r["book_id"], r["v"]) for r in spark.read.parquet(path).collect()} == {("b", 7), ("c", 3)}
+
+
+def test_chinese_tokens_and_keywords(spark):
+    rows = [(1, "我们研究机器学习，机器学习很好。Deep学习 2024年"), (2, "今天天气很好"), (3, None), (4, "书")]
+    frame = spark.createDataFrame(rows, "id long, content string")
+    got = {r["id"]: r["t"] for r in frame.select("id", T.tokens(F.col("content")).alias("t")).collect()}
+    assert got[2] == ["今天", "天天", "天气", "气很", "很好"] and got[4] == ["书"] and got[3] == []
+    assert got[1][-4:] == ["deep", "学习", "2024", "年"]
+    hits = {r["id"] for r in retrieval.bm25_scores(frame.withColumn("book_id", F.lit("b")), "机器学习").where("raw > 0").collect()}
+    assert hits == {1}
+    top = keywords.term_topk(frame.select("id", F.col("content").alias("text")), ["id"], 3).where("id = 1").orderBy("rank").collect()
+    assert {"机器", "学习"} <= {r["term"] for r in top}
+
+
+def test_rolling_merge_in_order(spark):
+    rows = [("b", 0, 0, 1, "x", 3.0), ("b", 0, 0, 2, "y", 1.0), ("b", 0, 1, 1, "z", 2.0), ("b", 1, 0, 1, "y", 2.0), ("b", 1, 0, 2, "w", 2.0), (None, 0, 0, 1, "q", 1.0)]
+    frame = spark.createDataFrame(rows, "book_id string, sort_order int, segment_no int, rank int, term string, weight double").repartition(3)
+    got = [tuple(r) for r in keywords.rolling_merge(frame, 2).orderBy("book_id", "rank").collect()]
+    assert got == [(None, 1, "q", 1.0), ("b", 1, "x", 3.0), ("b", 2, "z", 2.0)]
+    assert keywords.rolling_merge(frame.limit(0), 2).count() == 0
+
+
+def test_a_chapter_of_three_segments_is_merged(spark):
+    text = ("sentence of a long chapter. " * 1200)[:33_000]
+    frame = spark.createDataFrame([("b", "c", 1, "t", text), ("b", "d", 2, "u", "short")], "book_id string, chapter_id string, sort_order int, title string, content string")
+    got = {r["chapter_id"]: r["summary"] for r in summarize.chapter_summaries(frame, providers.ExtractiveModel(300), "en").collect()}
+    assert got["d"].startswith("Summarize the chapter: u") and got["c"].startswith("Merge the summaries of the parts of t")
+    assert "[1/3] Summarize part 1/3: t" in got["c"]
+
+
+def test_users_tokens_and_covers(spark):
+    tokens = spark.createDataFrame([("t1", "u", 1), ("t2", "u", 2), ("t3", "v", 3)], "token_id string, user_id string, created_at long")
+    assert [r["token_id"] for r in catalog.list_tokens(tokens, "u").collect()] == ["t2", "t1"]
+    users = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1)], "user_id string, created_at long")
+    assert [r["user_id"] for r in catalog.list_users(users, catalog.Page(1, 2)).collect()] == ["c", "a"]
+    books = spark.createDataFrame([("1", "x.png"), ("2", " "), ("3", None)], "book_id string, cover_path string")
+    assert [catalog.has_cover(books, b).first()[0] for b in ("1", "2", "3", "4")] == [True, False, False, False]
+
+
 def test_last_admin(spark):
     frame = spark.createDataFrame([("1", "admin", "active"), ("2", "admin", "disabled"), ("3", "user", "active")], "user_id string, role string, status string")
     assert catalog.last_admin(frame, "1").first()[0] and not catalog.last_admin(frame, "3").first()[0]
