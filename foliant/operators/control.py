@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,32 +97,56 @@ def summarize_progress(done: Column, total: Column) -> Column:
     return (F.lit(5) + F.floor(F.lit(80) * done / F.greatest(total, F.lit(1)))).cast("int")
 
 
+def _in_order(rows: DataFrame, key: str, order: list[str], fresh: Callable[[], Callable[..., object]], out: str) -> DataFrame:
+    """(key, ``order``'s last column, ``out``) with what the key's own step says of each of its rows in order.
+
+    ``fresh`` makes a step, which keeps the state of one key; rows stream through the task that
+    has their key, so a key with a third of all rows is long but takes no memory.
+    """
+    kinds = dict(rows.dtypes)
+    name = out.split()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, step = object(), None
+        for batch in batches:
+            keys, *columns = (batch.column(c).to_pylist() for c in (key, *order))
+            said = []
+            for k, *values in zip(keys, *columns):
+                if k != held:
+                    held, step = k, fresh()
+                said.append(step(*values))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), batch.column(order[-1]), pa.array(said, pa.bool_())], names=[key, order[-1], name]
+            )
+
+    sorted_rows = rows.select(key, *order).repartition(key)
+    sorted_rows = sorted_rows.sortWithinPartitions(key, *(F.asc_nulls_last(c) for c in order))
+    return sorted_rows.mapInArrow(run, f"{key} {kinds[key]}, {order[-1]} {kinds[order[-1]]}, {out}")
+
+
 def rate_limit(requests: DataFrame, capacity: float = CAPACITY, refill: float = REFILL) -> DataFrame:
     """(client, event_id, allowed) by a token bucket for each client that starts full.
 
     ``requests``: client, event_id, ts (seconds as double). Each request first refills the
     bucket by the time since the last one; with at least one token it is allowed and takes it,
-    else it is denied and takes none. The fold runs over each client's own requests in order.
+    else it is denied and takes none. A request without a time comes last and refills nothing.
     """
-    start = F.struct(
-        F.lit(float(capacity)).alias("level"),
-        F.lit(None).cast("double").alias("last"),
-        F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"),
-    )
 
-    def step(state: Column, request: Column) -> Column:
-        since = F.coalesce(request["ts"] - state["last"], F.lit(0.0))
-        level = F.least(F.lit(float(capacity)), state["level"] + since * F.lit(float(refill)))
-        allowed = level >= 1.0
-        decided = F.struct(request["event_id"].alias("event_id"), allowed.alias("allowed"))
-        return F.struct(
-            F.when(allowed, level - 1.0).otherwise(level).alias("level"),
-            request["ts"].alias("last"),
-            F.concat(state["out"], F.array(decided)).alias("out"),
-        )
+    def fresh() -> Callable[..., bool]:
+        level, last = float(capacity), None
+
+        def step(ts: float | None, _: object) -> bool:
+            nonlocal level, last
+            if ts is not None and last is not None:
+                level = min(float(capacity), level + (ts - last) * float(refill))
+            last = ts
+            allowed = level >= 1.0
+            level -= allowed
+            return allowed
 
-    ordered = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("all"))
-    return ordered.select("client", F.inline(F.aggregate("all", start, step, lambda s: s["out"])))
+        return step
+
+    return _in_order(requests, "client", ["ts", "event_id"], fresh, "allowed boolean")
 
 
 def active_sessions(sessions: DataFrame, now: Column, hours: int = SESSION_HOURS) -> DataFrame:
@@ -128,15 +155,21 @@ def active_sessions(sessions: DataFrame, now: Column, hours: int = SESSION_HOURS
 
 
 def throttle(ticks: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """Progress ticks (task_id, ts, seq) at least ``seconds`` after the last one that was let through."""
-    ordered = ticks.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq"))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(state: Column, tick: Column) -> Column:
-        through = state["last"].isNull() | (tick["ts"] - state["last"] >= seconds)
-        return F.struct(
-            F.when(through, tick["ts"]).otherwise(state["last"]).alias("last"),
-            F.when(through, F.concat(state["out"], F.array(tick["seq"]))).otherwise(state["out"]).alias("out"),
-        )
-
-    return ordered.select("task_id", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("seq"))
+    """(task_id, seq) of progress ticks (task_id, ts, seq) at least ``seconds`` after the last one that was let through.
+
+    Ticks without a time come last and are held back; of a task without any times the first goes through.
+    """
+
+    def fresh() -> Callable[..., bool]:
+        last, any_yet = None, False
+
+        def step(ts: float | None, _: object) -> bool:
+            nonlocal last, any_yet
+            through = not any_yet or (ts is not None and last is not None and ts - last >= seconds)
+            if through:
+                last, any_yet = ts, True
+            return through
+
+        return step
+
+    return _in_order(ticks, "task_id", ["ts", "seq"], fresh, "through boolean").where("through").select("task_id", "seq")

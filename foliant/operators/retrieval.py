@@ -146,16 +146,21 @@ def search(
     fulltext: bool = False,
     tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
-    """Hybrid search as one plan. An embedder that fails leaves the keyword signal alone."""
+    """Hybrid search as one plan. An embedder that fails leaves the keyword signal alone; where the
+    full-text signal can't be had, BM25 stands in for it."""
     corpus = of_books(chunks, book_ids)
     try:
         near = cosine_scores(vectors, embed_query(query), book_ids)
     except Exception:  # the provider may be out of reach
         log.exception("no query vector")
         near = None
+    raw = None
     if fulltext:
-        raw = fulltext_scores(corpus, query, max(4 * k, 50), tokenizer)
-    else:
+        try:
+            raw = fulltext_scores(corpus, query, max(4 * k, 50), tokenizer)
+        except Exception:
+            log.exception("no full-text scores")
+    if raw is None:
         raw = bm25_scores(corpus, query, tokenizer)
     return fuse(corpus, near, relative(raw), k, threshold)
 

@@ -264,6 +264,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT c.id, round(coalesce(k, 0), 6) AS score FROM corpus c LEFT JOIN kw ON c.id = kw.id
             WHERE coalesce(k, 0) >= 0 ORDER BY coalesce(k, 0) DESC, c.id LIMIT 10
         """,
+        "hybrid_fulltext": f"""
+            WITH {CORPUS}, hit AS (SELECT id, unnest({WORDS.format('content')}) AS term FROM corpus),
+            q AS (SELECT DISTINCT unnest({WORDS.format(f"'{DOCUMENT_QUERY}'")}) AS term),
+            tf AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM hit WHERE term IN (SELECT term FROM q) GROUP BY id, term),
+            bm AS (
+                SELECT id, sum(tf / (tf + 1)) AS raw FROM tf GROUP BY id HAVING count(*) = (SELECT count(*) FROM q)
+                ORDER BY sum(tf / (tf + 1)) DESC, id LIMIT 50
+            ), {KEYWORD}, {COSINE}, {FUSED}
+            SELECT id, round(score, 6) AS score FROM fused WHERE score >= 0 ORDER BY fused.score DESC, id LIMIT 10
+        """,
         "search_enriched": f"""
             {HYBRID}, best AS (SELECT * FROM fused WHERE score >= 0 ORDER BY score DESC, id LIMIT 10), {BOOKS}
             SELECT best.id, CASE WHEN best.book_id = 'src3' THEN '' ELSE upper(best.book_id) END AS book_title, b.title AS chapter_title,
@@ -412,6 +422,20 @@ def oracle_sql() -> dict[str, str]:
         """,
         "rate_limit_decisions": BUCKET,
         "stream_rate_limit": BUCKET,
+        "progress_throttle": """
+            WITH RECURSIVE req AS (
+                SELECT CAST(user_id AS VARCHAR) AS client, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS ts,
+                    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+                FROM events
+            ),
+            walk AS (
+                SELECT client, event_id, ts, n, ts AS last, true AS through FROM req WHERE n = 1
+                UNION ALL
+                SELECT r.client, r.event_id, r.ts, r.n, CASE WHEN r.ts - w.last >= 3600 THEN r.ts ELSE w.last END, r.ts - w.last >= 3600
+                FROM walk w JOIN req r ON r.client = w.client AND r.n = w.n + 1
+            )
+            SELECT client AS task_id, event_id AS seq FROM walk WHERE through
+        """,
         "active_sessions_ttl": f"SELECT event_id FROM events WHERE ts + INTERVAL 24 HOURS > TIMESTAMP '{NOW}'",
         "stream_task_states": FINAL,
     }

@@ -377,6 +377,27 @@ def test_throttle(spark):
     assert sorted(r["seq"] for r in control.throttle(frame).collect()) == [0, 3, 5]
 
 
+def test_ordered_folds_take_odd_rows(spark):
+    rows = [("a", 2, None), ("a", 1, 0.0), (None, 3, 5.0), (None, 3, 5.0), ("b", 4, None), ("b", 5, None)]
+    frame = spark.createDataFrame(rows, "client string, event_id long, ts double").repartition(3)
+    got = sorted((r["client"] or "", r["event_id"], r["allowed"]) for r in control.rate_limit(frame, 1.0, 1.0).collect())
+    assert got == [("", 3, False), ("", 3, True), ("a", 1, True), ("a", 2, False), ("b", 4, True), ("b", 5, False)]
+    ticks = frame.selectExpr("client AS task_id", "event_id AS seq", "ts")
+    assert sorted(r["seq"] for r in control.throttle(ticks).collect()) == [1, 3, 4]
+    assert control.rate_limit(frame.limit(0)).count() == control.throttle(ticks.limit(0)).count() == 0
+
+
+def test_bm25_stands_in_for_full_text(spark, monkeypatch):
+    def fails(*_):
+        raise RuntimeError("no index")
+
+    frame = spark.createDataFrame([("1", "b", "red fox"), ("2", "b", "blue fox")], "id string, book_id string, content string")
+    vectors = spark.createDataFrame([("1", "b", [1.0, 0.0])], "id string, book_id string, vector array<double>")
+    want = retrieval.search(frame, vectors, "red", lambda q: [1.0, 0.0]).collect()
+    monkeypatch.setattr(retrieval, "fulltext_scores", fails)
+    assert retrieval.search(frame, vectors, "red", lambda q: [1.0, 0.0], fulltext=True).collect() == want
+
+
 def test_stream_twins_equal_their_batches(spark, tmp_path):
     frame = spark.createDataFrame([("a", i, i * 0.3) for i in range(60)] + [("b", 100 + i, i * 50_000.0) for i in range(6)], "client string, event_id long, ts double")
     frame.repartition(1).write.parquet(str(tmp_path / "in"))
