@@ -20,21 +20,21 @@ def chunks(chapters: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame
     """Overlapping windows over each chapter's content, positions counted through the book.
 
     ``chapters``: book_id, chapter_id, sort_order, content. Returns chunk_id, book_id,
-    chapter_id, content, position, token_count. Windows are cut and filtered within the row,
-    so only one narrow row a chapter moves to number them, never the chunks' texts by book.
+    chapter_id, content, position, token_count. One narrow row a chapter is numbered within its
+    book; chapters get their first position by a join, and are cut after it, so what may move is
+    a chapter's content once, spread by chapter, never the overlapping chunks.
     """
     size, overlap = max(size, 1), max(overlap, 0)
     step = max(size - overlap, 1)
     content = F.coalesce("content", F.lit(""))
     starts = F.sequence(F.lit(0), F.greatest(F.length(content) - 1, F.lit(0)), F.lit(step))
     pieces = F.filter(F.transform(starts, lambda s: strip(F.substring(content, s + 1, F.lit(size)))), lambda p: p != "")
-    cut = chapters.select("book_id", "chapter_id", "sort_order", pieces.alias("pieces"))
     before = Window.partitionBy("book_id").orderBy("sort_order", "chapter_id").rowsBetween(Window.unboundedPreceding, -1)
     counted = chapters.select("book_id", "chapter_id", "sort_order", F.size(pieces).alias("n"))
-    first = counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = cut.join(first.select("book_id", "chapter_id", "first"), ["book_id", "chapter_id"])
+    first = counted.select("book_id", "chapter_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = chapters.select("book_id", "chapter_id", "content").join(first, ["book_id", "chapter_id"])
     return (
-        placed.select("book_id", "chapter_id", "first", F.posexplode("pieces").alias("at", "content"))
+        placed.select("book_id", "chapter_id", "first", F.posexplode(pieces).alias("at", "content"))
         .withColumn("position", (F.col("first") + F.col("at")).cast("int"))
         .select(
             F.concat_ws(":", "book_id", "position").alias("chunk_id"),
@@ -106,31 +106,32 @@ def chapters_of_text(books: DataFrame, skip_back_matter: bool = True) -> DataFra
     Lines before the first heading belong to a chapter with the book's title; chapters without
     content and, if asked, back matter are dropped; a book left without chapters is one chapter
     with its whole text. Returns book_id, chapter_id, title, level, sort_order, content. All
-    lines of a book stay in its row: the split is a fold over the row's own array.
+    lines of a book stay in its row: heading lines are found once, and each chapter is the slice
+    between two of them, so the work is linear in the book.
     """
     lines = F.split(F.regexp_replace(F.coalesce("content", F.lit("")), LINE_ENDS, "\n"), "\n")
-    kind = "struct<title:string,lines:array<string>>"
-    first = F.struct(F.col("title").alias("title"), F.array().cast("array<string>").alias("lines")).cast(kind)
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), first.alias("now"))
-
-    def step(state: F.Column, line: F.Column) -> F.Column:
-        new = F.struct(strip(line).alias("title"), F.array().cast("array<string>").alias("lines")).cast(kind)
-        more = F.struct(state["now"]["title"].alias("title"), F.concat(state["now"]["lines"], F.array(line)).alias("lines"))
-        heading = is_heading(line)
-        return F.struct(
-            F.when(heading, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
-            F.when(heading, new).otherwise(more.cast(kind)).alias("now"),
-        )
 
-    folded = F.aggregate(lines, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
-    parts = F.transform(
-        folded,
-        lambda c: F.struct(clean_title(c["title"]).alias("title"), strip(F.array_join(c["lines"], "\n")).alias("content")),
-    )
+    def chapters_between(row: F.Column, at: F.Column) -> F.Column:
+        """Chapters of the lines ``row`` with headings ``at``; the lines before all headings come first."""
+
+        def chapter(start: F.Column, number: F.Column) -> F.Column:
+            end = F.coalesce(F.get(at, number), F.size(row))
+            title = F.when(start < 0, F.col("title")).otherwise(strip(F.get(row, F.greatest(start, F.lit(0)))))
+            body = F.array_join(F.slice(row, start + 2, end - start - 1), "\n")
+            return F.struct(clean_title(title).alias("title"), strip(body).alias("content"))
+
+        return F.transform(F.concat(F.array(F.lit(-1)), at), chapter)
+
+    def headings(row: F.Column) -> F.Column:
+        return F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda i: is_heading(F.get(row, i)))
+
+    # an array of one value binds it to a name, so that it is computed once a book
+    parts = F.transform(F.array(lines), lambda row: F.transform(F.array(headings(row)), lambda at: chapters_between(row, at))[0])[0]
     kept = F.filter(parts, lambda c: (c["content"] != "") & (~is_back_matter(c["title"]) if skip_back_matter else F.lit(True)))
     whole = F.array(F.struct(clean_title(F.col("title")).alias("title"), strip(F.col("content")).alias("content")))
-    return books.select(
-        "book_id", F.posexplode(F.when(F.size(kept) > 0, kept).otherwise(whole)).alias("sort_order", "chapter")
+    split = books.select("book_id", whole.alias("whole"), kept.alias("kept"))
+    return split.select(
+        "book_id", F.posexplode(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("whole"))).alias("sort_order", "chapter")
     ).select(
         "book_id",
         F.concat_ws("#", "book_id", "sort_order").alias("chapter_id"),

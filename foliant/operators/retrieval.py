@@ -117,22 +117,28 @@ def fuse(
 ) -> DataFrame:
     """Weighted sum of both signals for every record, best first.
 
-    ``corpus`` has id and more columns; a missing score is 0. Without any vector scores the
-    keyword score stands alone. The threshold is inclusive; ties go by id.
+    ``corpus`` has one row an id and more columns; a missing score is 0. Without any vector
+    scores the keyword score stands alone. The threshold is inclusive; ties go by id. Ids and
+    scores alone are joined and cut to the best k, which are then broadcast to fetch the other
+    columns, so contents never move.
     """
+    ids = corpus.select("id")
     keyword = keyword.select("id", F.col("score").alias("keyword_score"))
     if vector is None:
-        scored = corpus.withColumn("vector_score", F.lit(0.0)).withColumn("share", F.lit(0.0))
+        scored = ids.withColumn("vector_score", F.lit(0.0)).withColumn("share", F.lit(0.0))
     else:
         vector = vector.select("id", F.col("score").alias("vector_score"))
         some = vector.agg(F.when(F.count("*") > 0, VECTOR_WEIGHT).otherwise(0.0).alias("share"))
-        scored = corpus.join(vector, "id", "left").join(F.broadcast(some), how="cross")
+        scored = ids.join(vector, "id", "left").join(F.broadcast(some), how="cross")
     scored = scored.join(keyword, "id", "left")
     scored = scored.withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
     scored = scored.withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
     total = VECTOR_WEIGHT * F.col("vector_score") + KEYWORD_WEIGHT * F.col("keyword_score")
     scored = scored.withColumn("score", total / (F.col("share") + KEYWORD_WEIGHT)).drop("share")
-    return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k if k > 0 else 10)
+    best = scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k if k > 0 else 10)
+    if corpus.columns == ["id"]:
+        return best
+    return corpus.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
 
 def search(
