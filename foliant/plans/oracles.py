@@ -197,7 +197,9 @@ def segment_steps(target: int, hard: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     messy = r"regexp_replace(text, '\n', ' ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10), 'g') || ' ' || chr(10)"
-    tidy = rf"regexp_replace(regexp_replace({messy}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    tidy, tidy_content = (
+        rf"regexp_replace(regexp_replace({x}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')" for x in (messy, "content")
+    )
     title = "CASE doc_id % 7 WHEN 0 THEN ' In dex' WHEN 1 THEN ' Copyright page ' ELSE substring(text, 1, 30) END"
     sample = "substring(text, 1, 3) || CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '史' WHEN 2 THEN '機' WHEN 3 THEN 'の' WHEN 4 THEN 'é' ELSE '书' END"
     tail = "CASE doc_id % 6 WHEN 1 THEN 'zha' WHEN 2 THEN 'zha' WHEN 3 THEN 'jpn' WHEN 5 THEN 'zho' ELSE 'eng' END"
@@ -219,6 +221,23 @@ def oracle_sql() -> dict[str, str]:
         """,
         "chapter_split": SPLIT,
         "chapter_split_lines": SPLIT,
+        "ingest_vectors": f"""
+            WITH parts AS (
+                SELECT substring(sha256('/books/' || book_id || '.txt'), 1, 32) AS book_id, sort_order, {strip(tidy_content)} AS content
+                FROM ({SPLIT})
+            ),
+            cut AS (
+                SELECT book_id, sort_order, s, {strip("substring(content, s + 1, 500)")} AS content
+                FROM (SELECT *, unnest(range(0, length(content), 450)) AS s FROM parts)
+            ),
+            placed AS (
+                SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY sort_order, s) - 1 AS position FROM cut WHERE content <> ''
+            )
+            SELECT book_id || ':' || position AS id, book_id, book_id || '#' || sort_order AS chapter_id, content,
+                CAST(position AS INTEGER) AS position, length(content) AS token_count,
+                (CAST(('0x' || substring(sha256(content), 1, 2)) AS INTEGER) - 128) / CAST(128 AS DOUBLE) AS first
+            FROM placed
+        """,
         "title_rules": f"""
             SELECT doc_id, regexp_replace({title}, '[{SP}]+', '', 'g') AS title,
                 lower(regexp_replace({title}, '[{SP}]+', '', 'g')) IN ('索引', '参考书目', 'index', 'bibliography') AS back_matter,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import catalog, chunking, control, keywords, providers, qa, retrieval, summarize
+from foliant.operators import catalog, chunking, control, ingest, keywords, providers, qa, retrieval, summarize
 from foliant.plans.oracles import ALL_TERMS_QUERY, CHUNK_QUERY, DOCUMENT_QUERY, MERGE_CAP, NOW, QUERY_VECTOR, SHORT
 from foliant.sources import books as book_files
 from foliant.sources import views as V
@@ -232,6 +232,15 @@ def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", "book_id", "position", r6("score").alias("score"))
 
 
+@query
+def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files through parsing, cleaning, chunking and embedding: one row a chunk."""
+    docs = _headed(spark, sf_dir)
+    files = docs.select(F.concat(F.lit("/books/"), "book_id", F.lit(".txt")).alias("path"), F.encode("content", "utf-8").alias("content"))
+    vectors = ingest.ingest(book_files.read_text(files)).vectors
+    return vectors.select("id", "book_id", "chapter_id", "content", "position", "token_count", F.col("vector")[0].alias("first"))
+
+
 # Keywords and summaries -----------------------------------------------------------------------
 
 

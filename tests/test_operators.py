@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.vectors import cosine
-from foliant.operators import catalog, chunking, control, keywords, providers, qa, retrieval, summarize
+from foliant.operators import catalog, chunking, control, ingest, keywords, providers, qa, retrieval, summarize
 from foliant.sources import books as B
 from foliant.streaming import control as streams
 
@@ -445,3 +445,40 @@ def test_small_catalog_rules(spark, tmp_path):
     books = spark.createDataFrame([("b", "pending"), ("c", "ready")], "book_id string, status string")
     done = spark.createDataFrame([("b", "ingest", "completed", 2), ("b", "ingest", "processing", 1), ("c", "summarize", "failed", 1)], "book_id string, type string, status string, created_at int")
     assert {tuple(r) for r in control.book_states(books, done).collect()} == {("b", "ready"), ("c", "ready")}
+
+
+# Ingestion -------------------------------------------------------------------------------------
+
+
+def test_ingest_from_files(spark, tmp_path):
+    folder = tmp_path / "books"
+    folder.mkdir()
+    (folder / "one.txt").write_text("intro  \n\n\n\nmore\nChapter 1 First\n" + "abc " * 300 + "\nChapter 2\n \n", encoding="utf-8")
+    (folder / "two.txt").write_text("only", encoding="utf-8")
+    out = str(tmp_path / "out")
+    done = ingest.store(ingest.ingest(B.read_books(spark, str(folder))), out)
+    assert sorted((r.title, r.n_chapters) for r in done.books.collect()) == [("one", 2), ("two", 1)]
+    whole = {r.content for r in done.chapters.collect()}
+    assert whole == {"intro\n\nmore", ("abc " * 300).strip(), "only"}
+    rows = done.chunks.collect()
+    one = [r for r in rows if r.content != "only"]
+    assert sorted(r.position for r in one) == list(range(len(one))) and len(one) == 4
+    chapters, vectors = ingest.add_summaries(done, providers.ExtractiveModel(30), out, "en")
+    assert chapters.count() == 3
+    assert vectors.count() == len(rows) + 3 + 2
+    assert vectors.where("position = -1 and size(vector) != 8").count() == 0
+
+    (folder / "one.txt").write_text("short now", encoding="utf-8")  # a second run replaces a book's older parts
+    done = ingest.store(ingest.ingest(B.read_books(spark, str(folder))), out)
+    assert sorted(r.content for r in done.chunks.collect()) == ["only", "short now"]
+    assert sorted(r.n_chapters for r in done.books.collect()) == [1, 1]
+
+
+def test_chapters_of_long_book(spark):
+    lines = ["pre"] + [x for i in range(300) for x in (f"Chapter {i} t", f"body {i}", "", f"end {i}")] + ["Chapter 300", "Chapter 301", "z"]
+    book = spark.createDataFrame([("b", "Book", "\r\n".join(lines)), ("e", "Empty", None), ("h", "Heads", "Chapter 1\nChapter 2")], "book_id string, title string, content string")
+    rows = chunking.chapters_of_text(book).orderBy("book_id", "sort_order").collect()
+    got = [(r.title, r.content) for r in rows if r.book_id == "b"]
+    want = [("Book", "pre")] + [(f"Chapter{i}t", f"body {i}\n\nend {i}") for i in range(300)] + [("Chapter301", "z")]
+    assert got == want
+    assert [(r.title, r.content) for r in rows if r.book_id == "h"] == [("Heads", "Chapter 1\nChapter 2")]
