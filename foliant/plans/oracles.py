@@ -170,6 +170,24 @@ SPLIT = f"""
 """
 
 
+USERS = """
+    users AS (
+        SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS username, CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'user' END AS role,
+            CASE WHEN c_custkey % 3 = 0 THEN 'disabled' ELSE 'active' END AS status, 1704067200 + c_custkey * 13 % 997 AS created_at
+        FROM customer
+    )
+"""
+TOKENS = f"""
+    tokens AS (
+        SELECT event_id, user_id, {MICROS} AS created_at, event_type = 'error' AS is_revoked,
+            CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'never'
+                ELSE '2024-01-' || lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') || ' 12:00:00' END AS expires_at
+        FROM events
+    )
+"""
+STATE = "CASE status WHEN 'completed' THEN 'ready' WHEN 'failed' THEN 'failed' ELSE 'processing' END"
+
+
 def segment_steps(target: int, hard: int) -> str:
     """The table ``segments`` (doc_id, segment_no, segment) of all documents, one segment a step."""
     window = f"substring(rest, {target} + 1, {hard - target})"
@@ -195,10 +213,15 @@ def segment_steps(target: int, hard: int) -> str:
             )"""
 
 
+def _hashed(x: str) -> str:
+    """The vector of eight bytes of the text's digest."""
+    return f"list_transform(range(0, 8), lambda i: (CAST(('0x' || substring(sha256({x}), CAST(2 * i + 1 AS INTEGER), 2)) AS INTEGER) - 128) / CAST(128 AS DOUBLE))"
+
+
 def oracle_sql() -> dict[str, str]:
     messy = r"regexp_replace(text, '\n', ' ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10), 'g') || ' ' || chr(10)"
-    tidy, tidy_content = (
-        rf"regexp_replace(regexp_replace({x}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')" for x in (messy, "content")
+    tidy, tidy_content, tidy_text = (
+        rf"regexp_replace(regexp_replace({x}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')" for x in (messy, "content", "text")
     )
     title = "CASE doc_id % 7 WHEN 0 THEN ' In dex' WHEN 1 THEN ' Copyright page ' ELSE substring(text, 1, 30) END"
     sample = "substring(text, 1, 3) || CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '史' WHEN 2 THEN '機' WHEN 3 THEN 'の' WHEN 4 THEN 'é' ELSE '书' END"
@@ -456,5 +479,100 @@ def oracle_sql() -> dict[str, str]:
             SELECT client AS task_id, event_id AS seq FROM walk WHERE through
         """,
         "active_sessions_ttl": f"SELECT event_id FROM events WHERE ts + INTERVAL 24 HOURS > TIMESTAMP '{NOW}'",
+        "chapters_list": "SELECT CAST(doc_id AS VARCHAR) AS chapter_id, CAST(doc_id % 7 AS INTEGER) AS sort_order, 't' || doc_id AS title FROM documents WHERE doc_id // 10 = 3",
+        "tokens_of_user": f"WITH {TOKENS} SELECT CAST(event_id AS VARCHAR) AS token_id, created_at, is_revoked FROM tokens WHERE user_id = 7",
+        "users_page": f"WITH {USERS} SELECT user_id, username, role, status FROM users ORDER BY created_at, user_id LIMIT 20 OFFSET 20",
+        "queued_oldest": f"""
+            WITH {TASKS} SELECT task_id, book_id FROM tasks
+            WHERE type = 'ingest' AND status = 'pending' AND dispatched_at IS NULL ORDER BY created_at, task_id LIMIT 3
+        """,
+        "orphan_tasks": f"WITH {TASKS} SELECT task_id, status FROM tasks WHERE type = 'summarize' AND status IN ('pending', 'processing')",
+        "tokens_valid": f"""
+            WITH {TOKENS} SELECT CAST(event_id AS VARCHAR) AS token_id, expires_at FROM tokens
+            WHERE NOT is_revoked AND coalesce(TRY_CAST(expires_at AS TIMESTAMP) > TIMESTAMP '{NOW}', true)
+        """,
+        "last_admin": f"WITH {USERS} SELECT count(*) = 0 AS last_admin FROM users WHERE role = 'admin' AND status = 'active' AND user_id <> '50'",
+        "name_taken": "SELECT count(*) > 0 AS taken FROM customer WHERE c_name = 'Customer#000000007'",
+        "book_cover": "SELECT count(*) > 0 AS has_cover FROM labels WHERE doc_id = 17 AND quality = 1",
+        "active_task": f"""
+            WITH {TASKS}, newest AS (SELECT * FROM tasks WHERE book_id = '7' ORDER BY created_at DESC, task_id LIMIT 5)
+            SELECT task_id, status, CASE WHEN status = 'pending' AND type = 'ingest' AND dispatched_at IS NULL THEN 'queued'
+                WHEN progress % 2 = 0 THEN 'embed' ELSE status END AS label
+            FROM newest WHERE status IN ('pending', 'processing') ORDER BY created_at DESC, task_id LIMIT 1
+        """,
+        "book_detail": """
+            SELECT 'b4' AS book_id, 't' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 60) ELSE '' END AS summary
+            FROM documents WHERE doc_id // 10 = 4
+        """,
+        "book_tags": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a|t' || doc_id ELSE '' END AS tags FROM documents",
+        "books_edited": f"""
+            WITH {BOOKS} SELECT book_id, CASE WHEN status = 'failed' THEN 'new ' || book_id ELSE title END AS title, author,
+                CASE WHEN status = 'failed' AND created_at % 2 = 1 THEN 'ita' ELSE language END AS language FROM books
+        """,
+        "users_upserted": f"""
+            WITH {USERS}, last AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events)
+            SELECT CAST(user_id AS VARCHAR) AS user_id, 'user' AS role, CASE WHEN event_type = 'error' THEN 'disabled' ELSE 'active' END AS status
+            FROM last WHERE back = 1
+            UNION ALL SELECT user_id, role, status FROM users WHERE CAST(user_id AS BIGINT) NOT IN (SELECT user_id FROM events)
+        """,
+        "parts_replaced": """
+            SELECT source AS book_id, CASE WHEN source = 'src1' THEN 'new ' ELSE '' END || doc_id AS chapter_id FROM documents WHERE source <> 'src2'
+        """,
+        "audit_appended": """
+            SELECT action, count(*) AS n, max(event_id) AS last FROM (
+                SELECT event_type AS action, event_id FROM events UNION ALL SELECT 'seen', event_id FROM events WHERE event_type = 'error'
+            ) GROUP BY action
+        """,
+        "status_map": f"""
+            WITH {BOOKS}, n AS (SELECT status, count(*) AS n FROM books GROUP BY status)
+            SELECT string_agg(status || '=' || n, ',' ORDER BY status) AS by_status, CAST(sum(n) AS BIGINT) AS total FROM n
+        """,
+        "book_states": f"""
+            WITH {BOOKS}, {TASKS}, last AS (
+                SELECT book_id, arg_max({STATE}, CAST(task_id AS BIGINT)) AS new FROM tasks WHERE type = 'ingest' GROUP BY book_id
+            )
+            SELECT b.book_id, coalesce(new, status) AS status FROM books b LEFT JOIN last l ON b.book_id = l.book_id
+        """,
+        "tasks_retried": f"""
+            WITH {TASKS}, t AS (SELECT *, CAST(task_id AS BIGINT) < 60 AND status = 'failed' AS again FROM tasks)
+            SELECT task_id, CASE WHEN again THEN 'pending' ELSE status END AS status, CASE WHEN again THEN 0 ELSE progress END AS progress,
+                again OR dispatched_at IS NULL AS queued FROM t
+        """,
+        "progress_values": """
+            SELECT event_id, CAST(least(60 + 35 * d // greatest(t, 1), 95) AS INTEGER) AS ingest, CAST(5 + 80 * d // greatest(t, 1) AS INTEGER) AS summarize
+            FROM (SELECT event_id, event_id % 40 AS d, user_id % 40 AS t FROM events)
+        """,
+        "chunk_search": f"""
+            WITH cut AS (
+                SELECT doc_id, s, {strip("substring(text, s + 1, 500)")} AS content FROM (
+                    SELECT doc_id, text, unnest(range(0, length(text), 450)) AS s FROM (SELECT doc_id, {strip(tidy_text)} AS text FROM documents)
+                )
+            ),
+            corpus AS (
+                SELECT doc_id || ':' || position AS id, CAST(doc_id AS VARCHAR) AS book_id, position, content FROM (
+                    SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS position FROM cut WHERE content <> ''
+                )
+            ),
+            {bm25('corpus', CHUNK_QUERY)}, {KEYWORD},
+            vec AS (SELECT id, list_cosine_similarity({_hashed("content")}, {_hashed(f"'{CHUNK_QUERY}'")}) AS v FROM corpus), {FUSED}
+            SELECT f.id, f.book_id, CAST(c.position AS INTEGER) AS position, round(f.score, 6) AS score
+            FROM fused f JOIN corpus c ON f.id = c.id WHERE f.score >= 0 ORDER BY f.score DESC, f.id LIMIT 10
+        """,
+        "stream_sessions": """
+            WITH RECURSIVE req AS (
+                SELECT CAST(user_id AS VARCHAR) AS client, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS ts,
+                    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+                FROM events
+            ),
+            walk AS (
+                SELECT client, n, ts AS opened_at FROM req WHERE n = 1
+                UNION ALL
+                SELECT r.client, r.n, CASE WHEN r.ts >= w.opened_at + 86400 THEN r.ts ELSE w.opened_at END
+                FROM walk w JOIN req r ON r.client = w.client AND r.n = w.n + 1
+            ),
+            opened AS (SELECT client, opened_at, count(*) AS n FROM walk GROUP BY client, opened_at)
+            SELECT client, round(opened_at, 6) AS opened_at, n FROM opened o
+            WHERE opened_at < (SELECT max(opened_at) FROM opened p WHERE p.client = o.client)
+        """,
         "stream_task_states": FINAL,
     }

@@ -439,6 +439,120 @@ def keywords_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = catalog.top_keywords(books, 3)
     return shown.select("doc_id", F.array_join(F.transform("keywords", lambda k: k["term"]), ",").alias("terms"))
 
+@query
+def chapters_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.list_chapters(V.chapters(spark, sf_dir), "b3").select("chapter_id", "sort_order", "title")
+
+
+@query
+def tokens_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.list_tokens(V.tokens(spark, sf_dir), "7").select("token_id", "created_at", "is_revoked")
+
+
+@query
+def users_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.list_users(V.users(spark, sf_dir), catalog.Page(2, 20)).select("user_id", "username", "role", "status")
+
+
+@query
+def queued_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.oldest_queued(V.tasks(spark, sf_dir), 3).select("task_id", "book_id")
+
+
+@query
+def orphan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.orphans(V.tasks(spark, sf_dir), "summarize").select("task_id", "status")
+
+
+@query
+def tokens_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.valid_tokens(V.tokens(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("token_id", "expires_at")
+
+
+@query
+def last_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.last_admin(V.users(spark, sf_dir), "50")
+
+
+@query
+def name_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.taken(V.users(spark, sf_dir), "Customer#000000007")
+
+
+@query
+def book_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(F.col("status") == "ready", F.concat(F.lit("covers/"), "book_id")).otherwise(" ")
+    return catalog.has_cover(V.books(spark, sf_dir).withColumn("cover_path", path), "17")
+
+
+@query
+def active_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task a book's page shows, with its label."""
+    log = F.array(F.struct(F.lit("parse").alias("stage")), F.struct(F.lit("embed").alias("stage")))
+    tasks = V.tasks(spark, sf_dir).withColumn("stages_log", F.when(F.col("progress") % 2 == 0, log).otherwise(F.slice(log, 1, 0)))
+    return catalog.active_task(tasks, "7").select("task_id", "status", "label")
+
+
+@query
+def book_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = V.books(spark, sf_dir).withColumn("book_id", F.concat(F.lit("b"), "book_id"))
+    found = catalog.book_detail(books, V.chapters(spark, sf_dir), "b4")
+    return found.select("book_id", F.explode("chapters").alias("c")).select("book_id", "c.title", "c.summary")
+
+
+@query
+def book_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('["a","t'), "doc_id", F.lit('"]'))).when(F.col("doc_id") % 3 == 1, "no list")
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(catalog.parsed_tags(tags), "|").alias("tags"))
+
+
+@query
+def books_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blank language leaves the old one."""
+    books = V.books(spark, sf_dir).select("book_id", "title", "author", "language")
+    edits = V.books(spark, sf_dir).where("status = 'failed'").select(
+        "book_id", F.concat(F.lit("new "), "book_id").alias("title"), F.when(F.col("created_at") % 2 == 0, " ").otherwise("ita").alias("language")
+    )
+    return catalog.edit_books(books, edits)
+
+
+@query
+def users_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = V.users(spark, sf_dir).select("user_id", "role", "status")
+    changes = V.tokens(spark, sf_dir).select(
+        "user_id", F.lit("user").alias("role"), F.when(F.col("is_revoked"), "disabled").otherwise("active").alias("status"), F.col("token_id").cast("long").alias("seq")
+    )
+    return catalog.upsert(users, changes, "user_id")
+
+
+@query
+def parts_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts are stored by book; then one book gets other parts, one none."""
+    path = streams.scratch(spark, "parts")
+    docs = V.table(spark, sf_dir, "documents")
+    parts = docs.select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("chapter_id"))
+    catalog.replace_parts(parts, path)
+    other = parts.where("book_id = 'src1'").select("book_id", F.concat(F.lit("new "), "chapter_id").alias("chapter_id"))
+    catalog.replace_parts(other, path, ["src1", "src2"])
+    return spark.read.schema("chapter_id string, book_id string").parquet(path)
+
+
+@query
+def audit_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after two entries of rows; the first stays."""
+    path = streams.scratch(spark, "audit")
+    log = V.audit(spark, sf_dir)
+    catalog.audit_entry(log, path)
+    catalog.audit_entry(log.where("action = 'error'").withColumn("action", F.lit("seen")), path)
+    return spark.read.schema(log.schema).parquet(path).groupBy("action").agg(F.count("*").alias("n"), F.max("entry_id").alias("last"))
+
+
+@query
+def status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = catalog.count_map(V.books(spark, sf_dir))
+    shown = F.array_join(F.transform(F.map_entries("by_status"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return counts.select(shown.alias("by_status"), "total")
+
 
 # Control --------------------------------------------------------------------------------------
 
@@ -486,6 +600,25 @@ def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = V.requests(spark, sf_dir).select(F.col("client").alias("task_id"), "ts", F.col("event_id").alias("seq"))
     return control.throttle(ticks, 3600.0)
 
+@query
+def book_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = V.tasks(spark, sf_dir).withColumn("created_at", F.col("task_id").cast("long"))  # times may be equal, ids are not
+    return control.book_states(V.books(spark, sf_dir), tasks).select("book_id", "status")
+
+
+@query
+def tasks_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = [str(n) for n in range(0, 60)]
+    return control.retry(V.tasks(spark, sf_dir), asked).select("task_id", "status", "progress", F.col("dispatched_at").isNull().alias("queued"))
+
+
+@query
+def progress_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, total = F.col("event_id") % 40, F.col("user_id") % 40
+    return V.table(spark, sf_dir, "events").select(
+        "event_id", control.ingest_progress(done, total).alias("ingest"), control.summarize_progress(done, total).alias("summarize")
+    )
+
 
 # Streams --------------------------------------------------------------------------------------
 

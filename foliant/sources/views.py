@@ -129,3 +129,44 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("detail"),
         micros("ts").alias("created_at"),
     )
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chapters, ten a book."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.concat(F.lit("b"), F.floor(F.col("doc_id") / 10)).alias("book_id"),
+        F.col("doc_id").cast("string").alias("chapter_id"),
+        (F.col("doc_id") % 7).cast("int").alias("sort_order"),
+        F.concat(F.lit("t"), "doc_id").alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 60)).otherwise("").alias("summary"),
+        F.col("text").alias("content"),
+    )
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user a customer."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").cast("string").alias("user_id"),
+        F.col("c_name").alias("username"),
+        F.when(F.col("c_custkey") % 50 == 0, "admin").otherwise("user").alias("role"),
+        F.when(F.col("c_custkey") % 3 == 0, "disabled").otherwise("active").alias("status"),
+        (F.lit(FIRST) + F.col("c_custkey") * 13 % 997).alias("created_at"),
+    )
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One access token an event; ends are times, empty or no time at all."""
+    e = table(spark, sf_dir, "events")
+    day = F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0")
+    end = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, "never").otherwise(
+        F.concat(F.lit("2024-01-"), day, F.lit(" 12:00:00"))
+    )
+    return e.select(
+        F.col("event_id").cast("string").alias("token_id"),
+        F.col("user_id").cast("string").alias("user_id"),
+        micros("ts").alias("created_at"),
+        end.alias("expires_at"),
+        (F.col("event_type") == "error").alias("is_revoked"),
+    )
