@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import stash
@@ -17,6 +17,34 @@ BUCKET_BYTES = 32 << 20
 TASKS = 1 << 15
 
 
+def text_bytes(docs: DataFrame, text: str) -> Column:
+    return (F.coalesce(F.octet_length(docs[f"`{text}`"]), F.lit(0)) + 64).cast("long")
+
+
+def row_bytes(docs: DataFrame, text: str) -> Column:
+    """``text_bytes`` and what the other columns hold: strings' and binaries' own bytes, nested ones as JSON text."""
+    size = text_bytes(docs, text)
+    for name, kind in docs.dtypes:
+        c = docs[f"`{name}`"]
+        if kind in ("string", "binary") and name != text:
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return size
+
+
+def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> int:
+    """Buckets of about ``bucket_bytes`` of text, doubled while whole rows would fill them more than twice.
+
+    So a small column more or less leaves the order as it is, and wide ones don't make buckets large.
+    """
+    own, whole = docs.agg(F.sum(text_bytes(docs, text)), F.sum(row_bytes(docs, text))).first()
+    buckets = max(1, -(-(own or 0) // bucket_bytes))
+    while (whole or 0) > 2 * bucket_bytes * buckets:
+        buckets *= 2
+    return int(buckets)
+
+
 def shuffled(docs: DataFrame, text: str, seed: int, bucket_bytes: int, tasks: int = TASKS) -> DataFrame:
     """(bucket, pos, record): every row in a random place of a random bucket, written as a table.
 
@@ -27,8 +55,7 @@ def shuffled(docs: DataFrame, text: str, seed: int, bucket_bytes: int, tasks: in
     There are as many tasks as buckets, at most ``tasks``.
     """
     record = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
-    size = docs.agg(F.sum(F.coalesce(F.octet_length(docs[f"`{text}`"]), F.lit(0)) + 64)).first()[0] or 0
-    buckets = int(max(1, -(-size // bucket_bytes)))
+    buckets = bucket_count(docs, text, bucket_bytes)
     rows = docs.select(record.alias("record"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("draw"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(buckets)))
 
