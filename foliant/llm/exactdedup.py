@@ -24,8 +24,6 @@ BYTES = {
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
-#: Rank of a null identifier: after all others.
-LAST = 2**63 - 1
 
 
 def normalised(text: Column) -> Column:
@@ -36,12 +34,13 @@ def normalised(text: Column) -> Column:
 def dedup_state(digests: DataFrame) -> DataFrame:
     """What the keyed state retains for each digest of a stream of (digest, doc_id, locator).
 
-    keep_id: the least identifier; keep_locator: where its row is; group_size: rows seen. The
+    keep_id: the least identifier; keep_locator: where its row is; group_size: rows seen.
+    Identifiers may be of any ordered type; a null one counts only where there is no other. The
     state never expires, so a stream may meet a copy at any later time.
     """
     return digests.groupBy("digest").agg(
         F.min("doc_id").alias("keep_id"),
-        F.min_by("locator", F.coalesce("doc_id", F.lit(LAST))).alias("keep_locator"),
+        F.coalesce(F.min_by("locator", "doc_id"), F.min("locator")).alias("keep_locator"),
         F.count("*").alias("group_size"),
     )
 
@@ -97,8 +96,9 @@ def exact_duplicates(
     grouped again by digest and whole text, which combines copies before any shuffle. If two
     texts share a digest, the stream runs again with the next digest. Only the state of texts
     with copies meets the rows again; a row that finds none stands alone.
-    Null text counts as empty; a null doc_id sorts after all others; rows that repeat a doc_id
-    are rows of their own, of which one is kept; other columns may have any name.
+    Null text counts as empty; doc_id is of any ordered type, a null one sorts after all others;
+    rows that repeat a doc_id are rows of their own, of which any one is kept; other columns may
+    have any name.
     """
     rows, content = pick(docs, doc_id=doc_id, text=text), F.col("text")
     if keep_row:
