@@ -96,6 +96,35 @@ def test_equal_scores_keep_the_longest_last_piece():
     assert c.search("aé") == (3, -101.0)  # an unknown character is its bytes
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("extra", [True, False])
+def test_counts_of_models_that_normalise(tmp_path, fallback, extra):
+    """The library normalises, the Unigram tokenizer counts."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    from tokenizers import Tokenizer, models
+
+    model = proto.ModelProto()
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
+    model.trainer_spec.byte_fallback = fallback
+    if not fallback:
+        for piece in model.pieces:
+            if piece.type == proto.ModelProto.SentencePiece.BYTE:
+                piece.type = proto.ModelProto.SentencePiece.UNUSED
+    model.normalizer_spec.precompiled_charsmap = double_array({b"T": b"t", b"th": b"the", "é".encode(): b"e", b"\t": b" "})
+    model.normalizer_spec.remove_extra_whitespaces = extra
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = [*random_texts(400, 9), "", " ", "  This  thé \t end ", "🎉🎉 🎉", "Thth ththe"]
+    counter = tokencount.Counter(str(path))
+    whole = Tokenizer(models.Unigram(list(zip(counter.model.pieces, counter.model.scores)), 0, fallback))
+    want = [len(whole.encode(n).ids) if n else 0 for n in map(library.normalize, texts)]
+    assert counter.batch(pa.array(texts)).tolist() == want
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 
@@ -384,6 +413,14 @@ def test_shards(spark, docs, empty):
     assert sharding.placement(sharding.shard(empty)).count() == 0
 
 
+def test_wide_columns_make_more_buckets(spark):
+    frame = spark.createDataFrame([(i, "t", "en", "s", 0) for i in range(100)], DOCS)
+    assert sharding.bucket_count(frame, "text", 8000) == 1
+    wide = frame.withColumn("more", F.array(F.repeat(F.lit("w"), 1000))).withColumn("and more", F.repeat(F.lit("w"), 1000))
+    assert sharding.bucket_count(wide, "text", 8000) == 16  # 200 kB in buckets of at most twice 8 kB
+    assert sharding.shard(wide, bucket_bytes=8000).select("record.doc_id").distinct().count() == 100
+
+
 def test_written_shards(spark, tmp_path):
     frame = spark.createDataFrame([(i, f"t{i}", "en", "s", 0) for i in range(50)], DOCS)
     sharding.write_shards(sharding.shard(frame, shards=4), str(tmp_path / "out"))
@@ -460,7 +497,7 @@ def double_array(entries):
             fill(at ^ base ^ b, node[b])
 
     fill(0, trie)
-    n = max(units) + 1
+    n = -(-(max(units) + 1) // 256) * 256  # the library takes whole kilobytes only
     return struct.pack(f"<I{n}I", 4 * n, *(units.get(k, 0) for k in range(n))) + strings
 
 
@@ -754,6 +791,16 @@ def test_repeated_ids_keep_one_row(spark):
     assert sum(r["kept"] for r in got) == 2 and got[0]["record"]["text"] in ("a b", "c")
 
 
+def test_identifiers_of_any_ordered_type(spark):
+    rows = [("b", "x  y"), ("a", "x y"), (None, "x\ty"), (None, "z")]
+    got = rows_of(exactdedup.exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string")))
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == [
+        ("None", "None", 1, True), ("None", "a", 3, False), ("a", "a", 3, True), ("b", "a", 3, False)
+    ]
+    largest = spark.createDataFrame([(None, "t"), (2**63 - 1, "t")], "doc_id long, text string")
+    assert [r["doc_id"] for r in rows_of(exactdedup.exact_duplicates(largest)) if r["kept"]] == [2**63 - 1]
+
+
 def test_shared_digests_are_settled_by_bytes(spark, docs):
     weak = (lambda norm: F.substring(F.sha2(norm.cast("binary"), 256), 1, 1), exactdedup.DIGESTS[0])
     want = sorted(map(str, rows_of(exactdedup.exact_duplicates(docs))))
@@ -773,6 +820,33 @@ def test_state_outlives_batches(spark, tmp_path):
     assert {d: (r["keep_id"], r["keep_locator"], r["group_size"]) for d, r in got.items()} == {f"d{i}": (i, i, 6) for i in range(4)}
 
 
+# Long texts ------------------------------------------------------------------------------------
+
+
+def test_texts_of_a_megabyte(spark, labels):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    text = " ".join(rng.choice(words) for _ in range(170_000))
+    assert len(text.encode()) > 1 << 20
+    frame = spark.createDataFrame([(1, text, "en", "s", 0), (2, text.replace(" ", "\n\t", 1), "en", "s", 0), (3, "short", "en", "s", 0)], DOCS)
+    model, tokenizer = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    encoded = {r["doc_id"]: r["ids"] for r in rows_of(spm.encode(frame, model).select("doc_id", "ids"))}
+    assert encoded[1] == library.encode(text)
+    counts = {r["doc_id"]: r["n_tokens"] for r in rows_of(tokencount.token_counts(frame, model))}
+    assert 0 < counts[1] and abs(counts[1] - counts[2]) < 10
+    pieces = [r for r in rows_of(packing.piece_digest(packing.pack(frame, tokenizer))) if r["doc_id"] == 1]
+    n = len(Tokenizer.from_file(tokenizer).encode(text, add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in pieces) == n == pieces[0]["doc_tokens"]
+    assert sharding.shard(frame, bucket_bytes=1000).count() == 3
+    assert {r["doc_id"]: r["group_size"] for r in rows_of(exactdedup.exact_duplicates(frame))} == {1: 2, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(simhash.near_duplicates(frame))}[2] == 1
+    assert quality.classify(frame, labels).count() == toxicity.toxicity(frame, labels).count() == 3
+
+
 # Clashing names --------------------------------------------------------------------------------
 
 
