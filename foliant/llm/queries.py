@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import embdedup, exactdedup, html, packing, quality, sharding, simhash, spm, tokencount, toxicity
+from foliant.llm import contamination, embdedup, exactdedup, html, packing, quality, resample, sharding, simhash, spm, tokencount, toxicity
+from foliant.llm import oracles as sql
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +63,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         f.__name__: f
@@ -76,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_simhash,
             op9_embeddings,
             op10_exact_dedup,
+            op11_importance_resampling,
+            op12_decontamination,
         )
     }
     if importlib.util.find_spec("corpus_pipeline"):
@@ -118,4 +129,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
             FROM t JOIN g ON t.norm = g.norm
         """,
+        "op11_importance_resampling": sql.RESAMPLE,
+        "op12_decontamination": sql.CONTAMINATED,
     }
