@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import contamination, embdedup, exactdedup, html, packing, quality, resample, sharding, simhash, spm, tokencount, toxicity
+from foliant.llm import collocations, contamination, embdedup, exactdedup, html, packing, quality, resample, sharding, simhash, spm, tokencount, toxicity
 from foliant.llm import oracles as sql
 
 
@@ -71,6 +71,10 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         f.__name__: f
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_exact_dedup,
             op11_importance_resampling,
             op12_decontamination,
+            op13_collocations,
         )
     }
     if importlib.util.find_spec("corpus_pipeline"):
@@ -131,4 +136,5 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op11_importance_resampling": sql.RESAMPLE,
         "op12_decontamination": sql.CONTAMINATED,
+        "op13_collocations": sql.COLLOCATIONS,
     }
