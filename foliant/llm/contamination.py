@@ -15,6 +15,8 @@ from foliant.llm.common import pick, stash
 from foliant.llm.words import PLAIN, batched, runs
 
 WINDOW = 10
+#: So many words of phrases are broadcast, some 100 MB at most.
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -95,15 +97,25 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return texts.mapInArrow(run, f"item_id {kind}, words array<string>").distinct()
 
 
-def ranked_terms(index: Index, phrases: DataFrame) -> DataFrame:
-    """(phrase, terms) of the phrases (phrase, words) of which all words are in the index.
+def sub_index(index: Index, phrases: DataFrame) -> DataFrame:
+    """The lists of the words of the phrases (phrase, words) alone, as a table: what a search reads of the index, once.
+
+    The words are broadcast where they are at most BROADCAST_TERMS; beyond that lists and words
+    meet in a shuffle.
+    """
+    asked = stash(phrases.select(F.explode("words").alias("term")).distinct(), "terms")
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return stash(index.lists.join(F.broadcast(asked) if few else asked, "term", "left_semi"), "sub-index")
+
+
+def ranked_terms(lists: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, terms) of the phrases (phrase, words) of which all words are in ``lists``.
 
     ``terms`` are (n, offset, term) with the rarest first, by their number of occurrences in the
     whole corpus; a word that a phrase has twice is there for each offset.
     """
     each = phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
-    asked = each.select("term").distinct()
-    n = index.lists.select("term", "n").join(asked, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    n = lists.groupBy("term").agg(F.sum("n").alias("n"))
     found = each.join(n, "term").groupBy("phrase", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
     return found.where(F.size("terms") == F.col("size")).drop("size")
 
@@ -158,16 +170,14 @@ def near(lists: dict[str, np.ndarray], cuts: np.ndarray, terms: list[dict], with
     return starts[least], ends[least]
 
 
-def _by_block(index: Index, ranked: DataFrame, schema: str, names: list[str], work: Callable) -> DataFrame:
+def _by_block(lists: DataFrame, docs: DataFrame, ranked: DataFrame, schema: str, names: list[str], work: Callable) -> DataFrame:
     """Run ``work`` for each phrase in each block that has its rarest term.
 
     A block's lists of the phrases' terms meet there first, phrases stream after them, so a task
     holds the asked-for lists of one block and no more, however many the phrases.
     """
     anchors = ranked.select("phrase", "terms", F.col("terms")[0]["term"].alias("term"))
-    asked = ranked.select(F.explode("terms.term").alias("term")).distinct()
-    lists = index.lists.select("term", "block", "gaps").join(asked, "term", "left_semi")
-    met = index.lists.select("term", "block").join(anchors, "term")
+    met = lists.select("term", "block").join(anchors, "term")
     none = {
         "term": F.lit(None).cast("string"), "gaps": F.lit(None).cast("array<int>"), "phrase": F.lit(None).cast(dict(ranked.dtypes)["phrase"]),
         "terms": F.lit(None).cast(ranked.schema["terms"].dataType),
@@ -177,7 +187,7 @@ def _by_block(index: Index, ranked: DataFrame, schema: str, names: list[str], wo
         columns = (F.col(own[c]).alias(c) if c in own else v.alias(c) for c, v in none.items())
         return rows.select(F.col("block").alias("bucket"), F.lit(kind).alias("kind"), *columns)
 
-    wanted = index.docs.join(met.select("block").distinct(), "block", "left_semi")
+    wanted = docs.join(met.select("block").distinct(), "block", "left_semi")
     both = part(wanted, 0, gaps="cuts").unionAll(part(lists, 1, term="term", gaps="gaps")).unionAll(part(met, 2, phrase="phrase", terms="terms"))
     ordered = both.repartition("bucket").sortWithinPartitions("bucket", "kind")
 
@@ -227,7 +237,9 @@ def occurrences(index: Index, phrases: DataFrame, within: int | None = None) ->
         return [(block + d, phrase, a - c, b - c) for d, a, b, c in zip(doc.tolist(), first.tolist(), last.tolist(), cuts[doc].tolist())]
 
     names = ["uid", "phrase", "first", "last"]
-    return _by_block(index, ranked_terms(index, phrases), f"uid long, phrase {kind}, first long, last long", names, work)
+    lists = sub_index(index, phrases)
+    ranked = stash(ranked_terms(lists, phrases), "ranked")
+    return _by_block(lists, index.docs, ranked, f"uid long, phrase {kind}, first long, last long", names, work)
 
 
 def documents(index: Index) -> DataFrame:
