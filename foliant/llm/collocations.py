@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import discard, pick, stash
 from foliant.llm.groups import by_bucket, sorted_by_bucket
-from foliant.llm.words import BATCH_BYTES, BREAK, batched, kinds, runs
+from foliant.llm.words import BREAK, batched, kinds, runs
 
 LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 UNDEFINED = "und"
 #: Bytes between words, and those that end a piece of text.
 PIECES = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 STATE, COUNTS, TOTALS = 0, 1, 2
+#: Bytes of text of a block; longer texts are cut where a piece ends.
+BLOCK_BYTES = 8 << 20
 #: Slices of the counts for each task that reads or shuffles them.
 SLICES = 4
 
@@ -42,11 +44,11 @@ def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
 
 
 def _parts(text: pa.Array) -> Iterator[pa.Array]:
-    """One long text in parts of about BATCH_BYTES that end where a piece ends."""
+    """One long text in parts of about BLOCK_BYTES that end where a piece ends."""
     raw = np.frombuffer(text[0].as_buffer(), np.uint8)
     at = 0
     while at < len(raw):
-        stop = at + BATCH_BYTES
+        stop = at + BLOCK_BYTES
         while stop < len(raw) and not (breaks := np.flatnonzero(PIECES[raw[stop : stop + 65536]] == BREAK)).size:
             stop += 65536
         stop = len(raw) if stop >= len(raw) else stop + int(breaks[0]) + 1
@@ -79,10 +81,12 @@ def word_lists(docs: DataFrame, slices: int) -> DataFrame:
         lang = np.array([number[x] for x in langs])[text]
         words = coded.dictionary.to_pylist()
         terms, code = np.unique(lang * len(words) + coded.indices.to_numpy(), return_inverse=True)
+        total = np.bincount(lang, minlength=len(names))
+        code = code.astype(np.int32)
+        del coded, text, broken, new, lang
         keys = [f"{names[t // len(words)]}\0{words[t % len(words)]}" for t in terms.tolist()]
         of = np.fromiter((zlib.crc32(k.encode("utf-8")) % slices for k in keys), np.int64, len(keys))
         n, places = _lists(code, at, len(keys))
-        total = np.bincount(lang, minlength=len(names))
         yield _rows(schema, [
             {"kind": STATE, "bucket": block, "block": block, "words_n": n.tobytes(), "words_at": places.tobytes()},
             {"kind": TOTALS, "bucket": block, "block": block, "key": names, "f": total.tolist()},
@@ -92,12 +96,13 @@ def word_lists(docs: DataFrame, slices: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batched(batches):
+        for batch in batched(batches, most=BLOCK_BYTES):
             texts, langs = batch.column("text"), batch.column("lang").to_pylist()
-            whole = len(texts) > 1 or texts.nbytes < 2 * BATCH_BYTES
+            whole = len(texts) > 1 or texts.nbytes < 2 * BLOCK_BYTES
             for part in [texts] if whole else _parts(texts):
                 yield from rows_of(block, part, langs)
                 block += 1
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, LEVEL)
 
@@ -199,8 +204,9 @@ class Block:
             here = np.zeros(len(self.word_at), bool)
             here[self.at] = True
             ok &= here[self.at + 1]
-        owner = np.repeat(np.arange(len(self.n)), self.n)[ok]
-        return self.at[ok], owner * len(self.word_ids) + following[ok]
+        pair = np.repeat(np.arange(len(self.n)) * len(self.word_ids), self.n)[ok]
+        pair += following[ok]
+        return self.at[ok], pair
 
     def grown(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> Block:
         """The lists of the phrases of one more word, those with ``ids``: phrase ``a`` and word ``b``."""

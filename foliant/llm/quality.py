@@ -16,6 +16,8 @@ from foliant.llm.common import stash, with_field
 from foliant.llm.labelled import labelled_sample
 
 TRAIN_ROWS = 8000
+#: And so many bytes of text.
+TRAIN_BYTES = 128 << 20
 THRESHOLD = 0.5
 #: How much of a site's log odds against the corpus a document takes over.
 SITE_WEIGHT = 0.5
@@ -125,7 +127,7 @@ class Evidence:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Evidence | None:
-    """The classifier of ``rows`` labelled rows at most; None without labels of both kinds.
+    """The classifier of at most ``rows`` labelled rows and TRAIN_BYTES of text; None without labels of both kinds.
 
     The tasks reduce each text to its shape and n-gram buckets; one task learns from these, and
     the driver gets the model alone.
@@ -138,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Evidenc
             g = pa.array([grams(t) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x, g, batch.column("label")], names=["doc_id", "x", "g", "label"])
 
-    sample = labelled_sample(docs, labels, "quality", rows)
+    sample = labelled_sample(docs, labels, "quality", rows, most_bytes=TRAIN_BYTES)
     kind = sample.schema["doc_id"].dataType.simpleString()
     shapes = sample.mapInArrow(shape, f"doc_id {kind}, x array<double>, g array<int>, label int")
 
@@ -149,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Evidenc
         own = pa.Table.from_batches(held).sort_by("doc_id")
         y = own.column("label").to_numpy()
         if len(set(y.tolist())) == 2:
-            each = [np.asarray(g, np.int64) for g in own.column("g").to_pylist()]
+            each = [g for c in own.column("g").chunks for g in np.split(c.flatten().to_numpy(), c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py())]
             model = Evidence.learn(np.array(own.column("x").to_pylist()), each, y)
             yield pa.RecordBatch.from_pylist([{k: np.asarray(v, float).tobytes() for k, v in vars(model).items()}])
 

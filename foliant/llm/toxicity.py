@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import crc_remainder, pick, with_field
+from foliant.llm.groups import by_bucket, sorted_by_bucket
 from foliant.llm.labelled import labelled_sample
 from foliant.llm.words import batched, gather, split
 
@@ -21,9 +22,14 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
 #: Words of a bag; one begins at every word. A document is as toxic as its most toxic bag, so long texts don't dilute one.
 BAG = 8
-TRAIN_ROWS = 8000
-#: Of the training rows, every so many-th sets where the threshold lies, not the vectors.
-CALIBRATION = 5
+#: The training sample: at most so many labelled rows, and so many bytes of text.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 64 << 20
+#: The threshold is set by the scores of rows from models that were fitted without them, of so many folds.
+FOLDS = 4
+#: Of the clean rows at most this share may be above the threshold; with few toxic rows the cut shrinks to even odds, as if from so many.
+CLEAN_SHARE, PRIOR_ROWS = 0.02, 20
+#: An n-gram's first weight is its log odds after so many texts without evidence.
+PRIOR_TEXTS = 10.0
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -103,8 +109,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
     """Train embeddings and softmax jointly on whole texts and their labels.
 
     Each epoch takes the most toxic bag of every text by the model so far, and a random bag of
-    a quarter of the texts that are not toxic, and makes an Adam step on the logistic loss of their averages.
-    The first coordinate starts from the log odds of the n-gram among toxic texts.
+    a quarter of the texts that are not toxic, and makes an Adam step on the expected error of their
+    averages, which rows with a wrong label bend less than they bend the logistic loss. The first
+    coordinate starts from the log odds of the n-gram among toxic texts, shrunk where it is rare.
     """
     rng = np.random.default_rng(seed)
     numbers: dict[str, int] = {}
@@ -124,11 +131,12 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
         own = np.unique(flat[a:b])
         g, _ = gather(grams, gram_ends - counts, counts, own)
         seen[int(y), np.unique(g)] += 1
-    odds = np.log((seen[1] + 0.5) / (bad + 1)) - np.log((seen[0] + 0.5) / (good + 1))
+    share = bad / (bad + good)
+    odds = np.log((seen[1] + PRIOR_TEXTS * share) / (seen[0] + PRIOR_TEXTS * (1 - share))) - np.log(share / (1 - share))
     model = SubwordModel(rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (2, DIMENSIONS)), -4.0)
-    model.embeddings[:, 0] = np.where(seen.sum(axis=0) > 0, np.clip(odds, -3, 3), 0)
+    model.embeddings[:, 0] = np.where(seen.sum(axis=0) > 0, np.clip(odds, -4, 4), 0)
     model.softmax[:, 0] = (-6.0, 6.0)
-    weight = np.where(labels == 1, good / bad, 1.0)
+    weight = np.where(labels == 1, (good / bad) ** 0.5, 1.0)
     steps = [np.zeros_like(model.embeddings), np.zeros_like(model.embeddings), np.zeros((2, 2, DIMENSIONS)), np.zeros(2)]
     n = np.diff(cuts)
     for epoch in range(1, epochs + 1):
@@ -148,10 +156,11 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
         of = np.repeat(bag, counts[bag_words])
         mean = np.stack([np.bincount(of, share * model.embeddings[g, d], len(start)) for d in range(DIMENSIONS)], axis=1)
         logit = mean @ (model.softmax[1] - model.softmax[0]) + model.bias
-        err = (1 / (1 + np.exp(-logit)) - y) * weight[owner] / len(owner)
+        p = 1 / (1 + np.exp(-logit))
+        err = (p - y) * np.where(y == 1, p, 1 - p) * weight[owner] / len(owner)
         direction = model.softmax[1] - model.softmax[0]
         per_bucket = np.bincount(g, share * err[of], BUCKETS)
-        grads = per_bucket[:, None] * direction + 1e-6 * model.embeddings
+        grads = per_bucket[:, None] * direction + 1e-5 * model.embeddings
         to_softmax = err @ mean
         grad_softmax = np.stack([-to_softmax, to_softmax]) + 1e-4 * model.softmax
         m, v, s, b = steps
@@ -168,46 +177,78 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> SubwordModel:
-    """The model of at most ``rows`` rows whose crc32 remainder is not the held-out one.
+def logits(model: SubwordModel, texts: list[str]) -> np.ndarray:
+    p = np.clip(model.scores(pa.array(texts, pa.string())), 1e-15, 1 - 1e-15)
+    return np.log(p) - np.log1p(-p)
 
-    One task trains it on that bounded sample; the driver gets the arrays alone.
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = FOLDS) -> SubwordModel:
+    """The model of at most ``rows`` rows (and TRAIN_BYTES of text) whose crc32 remainder is not the held-out one.
+
+    All rows train it. Its threshold comes from ``folds`` more models, each fitted without the rows
+    that it then scores. Each model is one task over that bounded sample; the driver gets the
+    arrays and the scores alone.
     """
-    sample = labelled_sample(docs, labels, "toxic", rows, held_out=(3, 1))
+    sample = labelled_sample(docs, labels, "toxic", rows, held_out=(3, 1), most_bytes=TRAIN_BYTES)
+    sample = sample.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(folds)).cast("int"))
+    sample = sample.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(folds))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        own = pa.Table.from_batches(held).sort_by("doc_id")
-        del held
-        texts, y = own.column("text").to_pylist(), own.column("label").to_numpy()
-        aside = np.arange(len(y)) % CALIBRATION == 0
-        model = fit([t for t, a in zip(texts, aside) if not a], y[~aside])
-        model = calibrate(model, pa.array([t for t, a in zip(texts, aside) if a], pa.string()), y[aside])
-        parts = model.embeddings.astype(np.float32).tobytes(), model.softmax.tobytes(), float(model.bias)
-        yield pa.RecordBatch.from_pylist([dict(zip(("embeddings", "softmax", "bias"), parts))])
-
-    got = sample.coalesce(1).mapInArrow(run, "embeddings binary, softmax binary, bias double").collect()
-    if not got:
+        for table in by_bucket(batches, 1):
+            own, fold = table.sort_by("doc_id"), table.column("bucket")[0].as_py()
+            texts, y = own.column("text").to_pylist(), own.column("label").to_numpy()
+            out = own.column("own").to_numpy() == fold
+            model = fit([t for t, o in zip(texts, out) if not o], y[~out])
+            said = {"labels": y[out].tolist(), "logits": logits(model, [t for t, o in zip(texts, out) if o]).tolist()}
+            if fold == folds:
+                said = {"embeddings": model.embeddings.astype(np.float32).tobytes(), "softmax": model.softmax.tobytes(), "bias": float(model.bias)}
+            yield pa.RecordBatch.from_arrays([pa.array([said.get(f.name)], f.type) for f in schema], schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = "labels array<int>, logits array<double>, embeddings binary, softmax binary, bias double"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    got = sorted_by_bucket(sample).mapInArrow(run, ddl).collect()
+    whole = next((r for r in got if r["embeddings"] is not None), None)
+    if whole is None:
         return SubwordModel(np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((2, DIMENSIONS)), -4.0)
-    embeddings = np.frombuffer(got[0]["embeddings"], np.float32).reshape(BUCKETS, DIMENSIONS)
-    return SubwordModel(embeddings, np.frombuffer(got[0]["softmax"]).reshape(2, DIMENSIONS), got[0]["bias"])
+    embeddings = np.frombuffer(whole["embeddings"], np.float32).reshape(BUCKETS, DIMENSIONS)
+    model = SubwordModel(embeddings, np.frombuffer(whole["softmax"]).reshape(2, DIMENSIONS), whole["bias"])
+    z, y = (np.array([x for r in got for x in r[c] or ()]) for c in ("logits", "labels"))
+    return shifted(model, best_cut(z, y))
+
+
+def best_cut(z: np.ndarray, labels: np.ndarray) -> float:
+    """The logit that separates these rows best by F0.5 (precision counts more), halfway in its gap.
+
+    Only cuts with at most CLEAN_SHARE of the clean rows above them count. The cut shrinks to
+    even odds, 0, as far as there are few toxic rows to set it by.
+    """
+    order = np.lexsort((labels, -z))
+    z, toxic = z[order], labels[order] == 1
+    hits, taken = np.cumsum(toxic), np.arange(1, len(z) + 1)
+    n = int(hits[-1]) if len(z) else 0
+    if not n or n == len(z):
+        return 0.0
+    fitness = np.where(taken - hits <= CLEAN_SHARE * (len(z) - n), 1.25 * hits / (taken + 0.25 * n), -1.0)
+    best = int(np.argmax(fitness))
+    if fitness[best] <= 0:
+        return max(0.0, float(z[0]))
+    below = z[best + 1] if best + 1 < len(z) else z[best] - 1
+    return float(n * (z[best] + below) / 2 / (n + PRIOR_ROWS))
+
+
+def shifted(model: SubwordModel, cut: float, at: float = THRESHOLD) -> SubwordModel:
+    """The model whose score is ``at`` where the logit is ``cut``."""
+    return SubwordModel(model.embeddings, model.softmax, model.bias + np.log(at / (1 - at)) - cut)
 
 
 def calibrate(model: SubwordModel, texts: pa.Array, labels: np.ndarray, at: float = THRESHOLD) -> SubwordModel:
-    """Shift the bias so that score ``at`` separates these texts best by F0.5 (precision counts more), halfway in the gap."""
+    """Shift the bias so that score ``at`` is the best cut of these texts; without both labels it stays."""
     if not (labels == 1).any() or not (labels == 0).any():
         return model
-    p = model.scores(texts)
-    logit = np.log(p) - np.log1p(-p)
-    order = np.argsort(-logit)
-    hits = np.cumsum(labels[order] == 1)
-    fitness = 1.25 * hits / (np.arange(1, len(order) + 1) + 0.25 * hits[-1])
-    best = int(np.argmax(fitness))
-    below = logit[order[best + 1]] if best + 1 < len(order) else logit[order[best]] - 1
-    cut = (logit[order[best]] + below) / 2
-    return SubwordModel(model.embeddings, model.softmax, model.bias + np.log(at / (1 - at)) - cut)
+    return shifted(model, best_cut(logits(model, texts.to_pylist()), labels), at)
 
 
 def score(docs: DataFrame, model: SubwordModel, text: str = "text", into: str = "score") -> DataFrame:

@@ -203,7 +203,7 @@ def test_collocations_equal_a_plain_count(spark, least, longest, top, covered, v
 
 
 def test_long_texts_are_cut_where_pieces_end(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "BATCH_BYTES", 300)
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 300)
     text = ". ".join("left right middle" for _ in range(400)) + " left right middle" * 30
     parts = [p[0].as_py() for p in collocations._parts(pa.array([text]))]
     assert "".join(parts) == text and len(parts) > 5 and all(p.endswith(".") for p in parts[:-1])
