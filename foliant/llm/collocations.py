@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,13 +25,44 @@ STATE, COUNTS, TOTALS = 0, 1, 2
 #: Bytes of text of a block; longer texts are cut where a piece ends.
 BLOCK_BYTES = 8 << 20
 #: Slices of the counts for each task that reads or shuffles them.
-SLICES = 4
+SLICES = 3
 
 # ``bucket`` is a block for a state and a slice for counts. Lists of a state: places of all
-# phrases one after another (``at``), the number of each (``n``) and their ids, as bytes.
-LEVEL = "kind int, bucket long, block long, words_n binary, words_at binary, words_id binary, n binary, at binary, id binary, " \
-    "own array<int>, key array<string>, a array<long>, b array<long>, f array<long>"
-KEPT = "kind int, bucket long, own array<int>, key array<string>, a array<long>, b array<long>, id array<long>, f array<long>"
+# phrases one after another (``at``, as gaps), the number and id of each (``phrases``).
+# Entries of a slice are packed: word of the block and count, or phrase, word and count. What is
+# frequent comes back to a block as word or phrase and word, and the new id.
+LEVEL = "kind int, bucket long, block long, words binary, words_at binary, phrases binary, at binary, entries binary, " \
+    "key array<string>, f array<long>"
+KEPT = "kind int, bucket long, entries binary, key array<string>, a array<long>, b array<long>, id array<long>, f array<long>"
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes, plane by plane of their bytes, compressed; the first is best in rising order."""
+    rows = np.array([np.diff(columns[0].astype(np.int64), prepend=0), *columns[1:]], np.int64)
+    planes = rows.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(packed: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(columns, 8, -1)
+    rows = planes.transpose(0, 2, 1).copy().view(np.int64).reshape(columns, -1)
+    rows[0] = np.cumsum(rows[0])
+    return rows
+
+
+def pack_lists(n: np.ndarray, at: np.ndarray) -> bytes:
+    """Places by list, each list rising, as bytes."""
+    starts = (np.cumsum(n) - n)[n > 0]
+    gaps = np.diff(at, prepend=0)
+    gaps[starts] = at[starts]
+    return pack(np.cumsum(gaps, dtype=np.int64))
+
+
+def unpack_lists(n: np.ndarray, packed: bytes) -> np.ndarray:
+    ends = np.cumsum(n)
+    sums = unpack(packed, 1)[0]
+    before = np.r_[0, sums][ends - n]
+    return (sums - np.repeat(before, n)).astype(np.int32)
 
 
 def _types(ddl: str) -> pa.Schema:
@@ -88,11 +121,11 @@ def word_lists(docs: DataFrame, slices: int) -> DataFrame:
         of = np.fromiter((zlib.crc32(k.encode("utf-8")) % slices for k in keys), np.int64, len(keys))
         n, places = _lists(code, at, len(keys))
         yield _rows(schema, [
-            {"kind": STATE, "bucket": block, "block": block, "words_n": n.tobytes(), "words_at": places.tobytes()},
+            {"kind": STATE, "bucket": block, "block": block, "words": pack(np.arange(len(n)), n), "words_at": pack_lists(n, places)},
             {"kind": TOTALS, "bucket": block, "block": block, "key": names, "f": total.tolist()},
         ])
         order = np.argsort(of, kind="stable")
-        yield _counts(schema, block, of[order], f=n[order].astype(np.int64), own=order.astype(np.int32), key=pa.array(keys).take(pa.array(order)))
+        yield _counts(schema, block, of[order], order, n[order], key=pa.array(keys).take(pa.array(order)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -107,20 +140,19 @@ def word_lists(docs: DataFrame, slices: int) -> DataFrame:
     return docs.mapInArrow(run, LEVEL)
 
 
-def _counts(schema: pa.Schema, block: int, of: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row for each slice in ``of`` (in order), with the slice's entries of the columns as arrays."""
+def _counts(schema: pa.Schema, block: int, of: np.ndarray, *columns: np.ndarray, key: pa.Array | None = None) -> pa.RecordBatch:
+    """One row for each slice in ``of`` (in order), with the slice's entries of the columns packed."""
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
     cuts = np.r_[starts, len(of)].astype(np.int32)
-    arrays = []
-    for f in schema:
-        if f.name in columns:
-            values = columns[f.name]
-            arrays.append(pa.ListArray.from_arrays(cuts, values if isinstance(values, pa.Array) else pa.array(values, f.type.value_type)))
-        elif f.name in ("kind", "bucket", "block"):
-            arrays.append(pa.array({"kind": np.full(len(starts), COUNTS), "bucket": of[starts], "block": np.full(len(starts), block)}[f.name], f.type))
-        else:
-            arrays.append(pa.nulls(len(starts), f.type))
-    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+    said = {
+        "kind": pa.array(np.full(len(starts), COUNTS, np.int32)),
+        "bucket": pa.array(of[starts]),
+        "block": pa.array(np.full(len(starts), block)),
+        "entries": pa.array([pack(*(c[i:j] for c in columns)) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()),
+    }
+    if key is not None:
+        said["key"] = pa.ListArray.from_arrays(cuts, key)
+    return pa.RecordBatch.from_arrays([said[f.name] if f.name in said else pa.nulls(len(starts), f.type) for f in schema], names=schema.names)
 
 
 def frequent(level: DataFrame, least: int, slices: int) -> DataFrame:
@@ -131,19 +163,19 @@ def frequent(level: DataFrame, least: int, slices: int) -> DataFrame:
     """
     schema = _types(KEPT)
 
-    def flat(table: pa.Table, name: str) -> pa.Array:
-        return pa.concat_arrays([c.flatten() for c in table.column(name).chunks])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_bucket(batches, 1):
             bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_numpy()
-            f = flat(table, "f").to_numpy()
-            sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table.column("f").chunks])
             words = table.column("key").null_count == 0
+            each = [unpack(x, 2 if words else 3) for x in table.column("entries").to_pylist()]
+            sizes = np.array([e.shape[1] for e in each])
+            entries = np.concatenate(each, axis=1)
+            del each
+            f = entries[-1]
             if words:
-                coded = flat(table, "key").dictionary_encode()
+                coded = pa.concat_arrays([c.flatten() for c in table.column("key").chunks]).dictionary_encode()
             else:
-                pair = [flat(table, c).dictionary_encode() for c in ("a", "b")]
+                pair = [pa.array(x).dictionary_encode() for x in entries[:2]]
                 wide = len(pair[1].dictionary)
                 coded = pa.array(pair[0].indices.to_numpy().astype(np.int64) * wide + pair[1].indices.to_numpy()).dictionary_encode()
             code = coded.indices.to_numpy()
@@ -153,7 +185,7 @@ def frequent(level: DataFrame, least: int, slices: int) -> DataFrame:
                 continue
             if words:
                 keys = coded.dictionary.take(pa.array(good))
-                order = pa.compute.sort_indices(keys).to_numpy()
+                order = pc.sort_indices(keys).to_numpy()
                 named = {"key": keys.take(pa.array(order))}
             else:
                 keys = coded.dictionary.to_numpy()[good]
@@ -168,16 +200,12 @@ def frequent(level: DataFrame, least: int, slices: int) -> DataFrame:
             found = place[code][entry]
             of = np.repeat(np.arange(len(sizes)), sizes)[entry]
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            cuts = pa.array(np.r_[starts, len(of)].astype(np.int32))
-            columns = {"id": ids[found]}
-            columns |= {"own": flat(table, "own").to_numpy()[entry]} if words else {c: named[c].to_numpy()[found] for c in ("a", "b")}
-            arrays = {n: pa.ListArray.from_arrays(cuts, pa.array(v)) for n, v in columns.items()}
-            arrays |= {"kind": pa.array(np.full(len(starts), COUNTS)), "bucket": pa.array(blocks[of[starts]])}
-            yield pa.RecordBatch.from_arrays(
-                [arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(len(starts), f.type) for f in schema], schema=schema
-            )
+            said = [entries[0][entry], ids[found]] if words else [entries[0][entry], entries[1][entry], ids[found]]
+            yield _rows(schema, [
+                {"kind": COUNTS, "bucket": int(blocks[of[i]]), "entries": pack(*(c[i:j] for c in said))} for i, j in zip(starts, np.r_[starts[1:], len(of)])
+            ])
 
-    counts = level.where(F.col("kind") == COUNTS).select("bucket", "block", "own", "key", "a", "b", "f")
+    counts = level.where(F.col("kind") == COUNTS).select("bucket", "block", "entries", "key")
     return sorted_by_bucket(counts).mapInArrow(run, KEPT)
 
 
@@ -236,46 +264,51 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def grow(level: DataFrame, kept: DataFrame, k: int, slices: int) -> DataFrame:
+def grow(level: DataFrame, kept: DataFrame, k: int, last: int, slices: int) -> DataFrame:
     """From the lists of ``k`` words (0: of all words) and what is frequent of one more: its lists, and counts of the next extension.
 
-    A block's row and the frequent phrases that it has meet in one task; no other block's do.
+    A block's row and the frequent phrases that it has meet in one task; no other block's do. The
+    lists are kept if phrases of ``last`` words need them.
     """
     schema = _types(LEVEL)
-    state = ["words_n", "words_at", "words_id", "n", "at", "id"]
+    state = ["words", "words_at", "phrases", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_bucket(batches, 2):
-            at = table.column("kind").to_pylist().index(STATE)
-            held = {c: np.frombuffer(v, np.int64 if c.endswith("id") else np.int32) for c in state if (v := table.column(c)[at].as_py()) is not None}
-            said = {c: np.concatenate([x.flatten().to_numpy() for x in table.column(c).chunks]) for c in (["own"] if k == 0 else ["a", "b"])}
-            ids = np.concatenate([x.flatten().to_numpy() for x in table.column("new").chunks])
-            block = table.column("bucket")[0].as_py()
+            own_row = table.column("kind").to_pylist().index(STATE)
+            held = {c: table.column(c)[own_row].as_py() for c in state}
+            said = np.concatenate([unpack(x, 2 if k == 0 else 3) for x in table.column("entries").to_pylist() if x is not None], axis=1)
+            block, ids = table.column("bucket")[0].as_py(), said[-1]
+            word_ids, words_n = unpack(held["words"], 2)
+            words_at = unpack_lists(words_n, held["words_at"])
             if k == 0:
-                number = np.full(len(held["words_n"]), -1, np.int64)
+                number = np.full(len(words_n), -1, np.int32)
                 order = np.argsort(ids)
-                number[said["own"][order]] = np.arange(len(ids))
-                code = np.repeat(number, held["words_n"])
-                n, places = _lists(code[code >= 0], held["words_at"][code >= 0], len(ids))
+                number[said[0][order]] = np.arange(len(ids))
+                code = np.repeat(number, words_n)
+                n, places = _lists(code[code >= 0], words_at[code >= 0], len(ids))
                 own = Block(1, (ids[order], n, places), (ids[order], n, places))
             else:
-                words = held["words_id"], held["words_n"], held["words_at"]
-                own = Block(k, words, (held["id"], held["n"], held["at"]) if "id" in held else words).grown(said["a"], said["b"], ids)
-            kept_lists = {"words_n": own.words_n, "words_at": own.words_at, "words_id": own.word_ids}
-            kept_lists |= {"n": own.n, "at": own.at, "id": own.ids} if own.k > 1 else {}
-            yield _rows(schema, [{"kind": STATE, "bucket": block, "block": block, **{c: v.tobytes() for c, v in kept_lists.items()}}])
+                words = phrase_lists = word_ids, words_n, words_at
+                if held["phrases"] is not None:
+                    phrase_ids, n = unpack(held["phrases"], 2)
+                    phrase_lists = phrase_ids, n, unpack_lists(n, held["at"])
+                own = Block(k, words, phrase_lists).grown(said[0], said[1], ids)
+            kept_lists = {"words": pack(own.word_ids, own.words_n), "words_at": pack_lists(own.words_n, own.words_at)}
+            kept_lists |= {"phrases": pack(own.ids, own.n), "at": pack_lists(own.n, own.at)} if own.k > 1 else {}
+            if own.k + 1 < last:
+                yield _rows(schema, [{"kind": STATE, "bucket": block, "block": block, **kept_lists}])
             _, pair = own.extended()
             pairs, f = np.unique(pair, return_counts=True)
             a, b = own.ids[pairs // max(len(own.word_ids), 1)], own.word_ids[pairs % max(len(own.word_ids), 1)]
             of = (_mixed(a, b) % np.uint64(slices)).astype(np.int64)
             order = np.argsort(of, kind="stable")
-            yield _counts(schema, block, of[order], a=a[order], b=b[order], f=f[order])
+            yield _counts(schema, block, of[order], a[order], b[order], f[order])
+            pa.default_memory_pool().release_unused()
 
-    none = {"own": "array<int>", "a": "array<long>", "b": "array<long>", "new": "array<long>"}
-    states = level.where(F.col("kind") == STATE).select("kind", "bucket", *state, *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
-    found = kept.where(F.col("kind") == COUNTS).select(
-        "kind", "bucket", *(F.lit(None).cast("binary").alias(c) for c in state), "own", "a", "b", F.col("id").alias("new")
-    )
+    none = F.lit(None).cast("binary")
+    states = level.where(F.col("kind") == STATE).select("kind", "bucket", *state, none.alias("entries"))
+    found = kept.where(F.col("kind") == COUNTS).select("kind", "bucket", *(none.alias(c) for c in state), "entries")
     return sorted_by_bucket(states.unionAll(found)).mapInArrow(run, LEVEL)
 
 
@@ -308,7 +341,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tupl
             )
         known.append(stash(new, "phrases"))
         if k < longest:
-            longer = stash(grow(level, kept, k - 1, slices), "places")
+            longer = stash(grow(level, kept, k - 1, longest, slices), "places")
             discard(level)
             level = longer
         discard(kept)
