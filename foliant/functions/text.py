@@ -68,8 +68,8 @@ def title_language(title: Column) -> Column:
 
 
 def book_language(declared: Column, title: Column) -> Column:
-    """The declared language, else that of the title, else English."""
-    return F.coalesce(F.nullif(declared, F.lit("")), title_language(title), F.lit("eng"))
+    """The language of the title where its characters tell, else the declared one, else English: files often declare a wrong one."""
+    return F.coalesce(title_language(title), F.nullif(declared, F.lit("")), F.lit("eng"))
 
 
 def language_bucket(language: Column) -> Column:
@@ -79,20 +79,27 @@ def language_bucket(language: Column) -> Column:
 def han_pairs(tokens: Column) -> Column:
     """Tokens in which a run of Han characters becomes its pairs of neighbours; a single one stays.
 
-    Chinese has no spaces, and no dictionary is installed; pairs find the words of a query in
-    any clause. Tokens with Han beside other characters are cut where the script changes.
+    Chinese has no spaces; pairs find the words of a query in any clause, where no dictionary is
+    at hand (``operators.lattice`` learns one). Tokens with Han beside other characters are cut
+    where the script changes.
     """
     def cut(token: Column) -> Column:
         runs = F.regexp_extract_all(token, F.lit(f"{HAN}+|[^{HAN[1:-1]}]+"), F.lit(0))
         pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
         return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{HAN}"), pairs(r)).otherwise(F.array(r))))
 
-    return F.when(F.exists(tokens, lambda t: t.rlike(HAN)), F.flatten(F.transform(tokens, cut))).otherwise(tokens)
+    return F.flatten(F.transform(tokens, cut))
+
+
+def with_han_pairs(text: Column, tokens: Column) -> Column:
+    """``tokens`` of ``text``, with pairs of Han characters if the text has any: it is asked once, not each token."""
+    return F.when(text.rlike(HAN), han_pairs(tokens)).otherwise(tokens)
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of word characters in any script; of Han runs the pairs of neighbours."""
-    return han_pairs(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
+    text = F.coalesce(text, F.lit(""))
+    return with_han_pairs(text, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
 def hash_embedding(text: Column, dimensions: int = 8) -> Column:

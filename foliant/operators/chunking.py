@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import clean_title, is_back_matter, is_heading, strip
@@ -16,6 +16,24 @@ SENTENCE_ENDS = "。！？.!?"
 LINE_ENDS = r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def windows(content: Column, size: int, overlap: int) -> Column:
+    """The stripped windows of ``size`` characters, each ``overlap`` into the next, without blank ones.
+
+    The text is cut into steps once, by one pattern, and a window is the end of some neighbours
+    put together, so the work is linear in the text however long it is.
+    """
+    size, overlap = max(size, 1), max(overlap, 0)
+    step = max(size - overlap, 1)
+    beyond = -(-size // step)  # steps that a window reaches into
+
+    def cut(parts: Column) -> Column:
+        whole = F.transform(parts, lambda _, i: F.substring(F.array_join(F.slice(parts, i + 1, F.lit(beyond)), ""), 1, size))
+        return F.filter(F.transform(whole, strip), lambda p: p != "")
+
+    steps = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return F.transform(F.array(steps), cut)[0]  # an array of one value binds it to a name, so that it is cut once
+
+
 def chunks(chapters: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Overlapping windows over each chapter's content, positions counted through the book.
 
@@ -24,17 +42,12 @@ def chunks(chapters: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame
     book; chapters get their first position by a join, and are cut after it, so what may move is
     a chapter's content once, spread by chapter, never the overlapping chunks.
     """
-    size, overlap = max(size, 1), max(overlap, 0)
-    step = max(size - overlap, 1)
-    content = F.coalesce("content", F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.length(content) - 1, F.lit(0)), F.lit(step))
-    pieces = F.filter(F.transform(starts, lambda s: strip(F.substring(content, s + 1, F.lit(size)))), lambda p: p != "")
     before = Window.partitionBy("book_id").orderBy("sort_order", "chapter_id").rowsBetween(Window.unboundedPreceding, -1)
-    counted = chapters.select("book_id", "chapter_id", "sort_order", F.size(pieces).alias("n"))
+    counted = chapters.select("book_id", "chapter_id", "sort_order", F.size(windows(F.col("content"), size, overlap)).alias("n"))
     first = counted.select("book_id", "chapter_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     placed = chapters.select("book_id", "chapter_id", "content").join(first, ["book_id", "chapter_id"])
     return (
-        placed.select("book_id", "chapter_id", "first", F.posexplode(pieces).alias("at", "content"))
+        placed.select("book_id", "chapter_id", "first", F.posexplode(windows(F.col("content"), size, overlap)).alias("at", "content"))
         .withColumn("position", (F.col("first") + F.col("at")).cast("int"))
         .select(
             F.concat_ws(":", "book_id", "position").alias("chunk_id"),
@@ -49,12 +62,8 @@ def chunks(chapters: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame
 
 def document_chunks(documents: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Chunks of books of one chapter: no window, no join, no shuffle."""
-    size, overlap = max(size, 1), max(overlap, 0)
-    step = max(size - overlap, 1)
-    content = F.coalesce("content", F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.length(content) - 1, F.lit(0)), F.lit(step))
-    pieces = F.filter(F.transform(starts, lambda s: strip(F.substring(content, s + 1, F.lit(size)))), lambda p: p != "")
-    return documents.select("book_id", F.posexplode(pieces).alias("position", "content")).select(
+    pieces = F.posexplode(windows(F.col("content"), size, overlap))
+    return documents.select("book_id", pieces.alias("position", "content")).select(
         F.concat_ws(":", "book_id", "position").alias("chunk_id"),
         "book_id",
         F.col("book_id").alias("chapter_id"),

@@ -283,7 +283,28 @@ def oracle_sql() -> dict[str, str]:
         "cosine_topk_filtered": f"""
             WITH {COSINE} SELECT id, '' AS book_id, round(v, 6) AS score FROM vec WHERE book_id IN ('src1', 'src3') ORDER BY v DESC, id LIMIT 7
         """,
+        "cosine_topk_cells": f"""
+            WITH {COSINE} SELECT id, round(v, 6) AS score FROM vec WHERE book_id IN ('src1', 'src3') ORDER BY v DESC, id LIMIT 7
+        """,
         "bm25_scores": f"WITH {CORPUS}, {bm25('corpus', DOCUMENT_QUERY)} SELECT id, round(raw, 6) AS raw FROM bm",
+        "index_scores": f"WITH {CORPUS}, {bm25('corpus', DOCUMENT_QUERY)} SELECT id, round(raw, 6) AS raw FROM bm",
+        "index_topk": f"WITH {CORPUS}, {bm25('corpus', DOCUMENT_QUERY)} SELECT id, round(raw, 6) AS raw FROM bm ORDER BY bm.raw DESC, id LIMIT 12",
+        "index_proximity": f"""
+            WITH {CORPUS},
+            asked AS (SELECT DISTINCT unnest({WORDS.format(f"'{ALL_TERMS_QUERY}'")}) AS term),
+            tok AS (SELECT id, {WORDS.format("content")} AS w FROM corpus),
+            place AS (SELECT * FROM (SELECT id, unnest(w) AS term, unnest(range(0, len(w))) AS at_word FROM tok) WHERE term IN (SELECT term FROM asked)),
+            ends AS (
+                SELECT p.id, p.at_word, count(*) AS held, min(last_at) AS first_at FROM (
+                    SELECT p.id, p.at_word, q.term, max(q.at_word) AS last_at FROM place p JOIN place q ON p.id = q.id AND q.at_word <= p.at_word
+                    GROUP BY p.id, p.at_word, q.term
+                ) p GROUP BY p.id, p.at_word
+            ),
+            spans AS (SELECT id, min(at_word - first_at + 1) AS span FROM ends WHERE held = (SELECT count(*) FROM asked) GROUP BY id),
+            tf AS (SELECT id, count(*) AS tf FROM place GROUP BY id)
+            SELECT id, span, round(CAST((SELECT count(*) FROM asked) AS DOUBLE) / span, 6) AS raw
+            FROM spans JOIN tf USING (id) ORDER BY span, tf DESC, id LIMIT 25
+        """,
         "bm25_filtered": f"""
             WITH {CORPUS}, part AS (SELECT * FROM corpus WHERE book_id IN ('src1', 'src3')), {bm25('part', DOCUMENT_QUERY)}, {KEYWORD}
             SELECT id, round(k, 6) AS score FROM kw

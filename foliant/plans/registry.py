@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import catalog, chunking, control, ingest, keywords, providers, qa, retrieval, summarize
+from foliant.operators import catalog, cells, chunking, control, ingest, keywords, providers, qa, retrieval, summarize, textindex
 from foliant.plans.oracles import ALL_TERMS_QUERY, CHUNK_QUERY, DOCUMENT_QUERY, MERGE_CAP, NOW, QUERY_VECTOR, SHORT
 from foliant.sources import books as book_files
 from foliant.sources import views as V
@@ -147,6 +147,13 @@ def cosine_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("id", "book_id" if "book_id" in top.columns else F.lit("").alias("book_id"), r6("score").alias("score"))
 
 
+@query
+def cosine_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored cells give the exact rows where all of them are read."""
+    index = cells.build(V.vectors(spark, sf_dir), streams.scratch(spark, "cells"))
+    return cells.topk(index, QUERY_VECTOR, 7, ["src1", "src3"], share=1.0).select("id", r6("score").alias("score"))
+
+
 @query
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_scores(V.corpus(spark, sf_dir), DOCUMENT_QUERY).select("id", r6("raw").alias("raw"))
@@ -164,6 +171,29 @@ def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
+def _text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """An index of half the documents to which a change adds the others and takes the old ones of two sources."""
+    docs = V.corpus(spark, sf_dir)
+    index = textindex.build(docs.where("cast(id as long) % 2 = 0 or book_id in ('src1', 'src3')").withColumn("id", F.concat("id", F.when(F.col("book_id").isin("src1", "src3"), "old").otherwise(""))), streams.scratch(spark, "index"))
+    return textindex.replace_books(index, docs.where("cast(id as long) % 2 = 1 or book_id in ('src1', 'src3')"), ["src1", "src3"])
+
+
+@query
+def index_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 from the kept index after a change equals that over the corpus."""
+    return textindex.scores(_text_index(spark, sf_dir), DOCUMENT_QUERY).select("id", r6("raw").alias("raw"))
+
+
+@query
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textindex.topk(_text_index(spark, sf_dir), DOCUMENT_QUERY, 12).select("id", r6("raw").alias("raw"))
+
+
+@query
+def index_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textindex.near(_text_index(spark, sf_dir), ALL_TERMS_QUERY, 25).select("id", "span", r6("raw").alias("raw"))
+
+
 @query
 def fulltext_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fulltext_scores(V.corpus(spark, sf_dir), ALL_TERMS_QUERY, 20).select("id", r6("raw").alias("raw"))
