@@ -305,6 +305,42 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, span, round(CAST((SELECT count(*) FROM asked) AS DOUBLE) / span, 6) AS raw
             FROM spans JOIN tf USING (id) ORDER BY span, tf DESC, id LIMIT 25
         """,
+        "keywords_tfidf_topk": f"""
+            WITH {topk(1_000_000)},
+            df AS (SELECT lower(word) AS term, CAST(count(DISTINCT doc_id) AS DOUBLE) AS df FROM word GROUP BY lower(word)),
+            weighed AS (
+                SELECT doc_id, c.term, c.weight * ln((SELECT CAST(count(*) AS DOUBLE) FROM documents) / df) AS weight, first_place
+                FROM counted c JOIN df ON c.term = df.term
+            ),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, first_place) AS rank FROM weighed)
+            SELECT doc_id, term, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank <= 5
+        """,
+        "learnt_words": r"""
+            WITH docs AS (SELECT replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', (SELECT string_agg(chr(CAST(19968 + k AS INTEGER)), '' ORDER BY k) FROM range(26) r(k))), ' ', '') AS t FROM documents),
+            runs AS (SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all(t, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]+')) AS run FROM docs) GROUP BY run),
+            spots AS (SELECT run, times, i, unnest([1, 2, 3]) AS k FROM (SELECT run, times, unnest(range(1, length(run) + 1)) AS i FROM runs)),
+            grams AS (
+                SELECT substring(run, i, k) AS gram, CASE WHEN i > 1 THEN substring(run, i - 1, 1) ELSE '' END AS before,
+                    substring(run, i + k, 1) AS after, sum(times) AS c
+                FROM spots WHERE i + k - 1 <= length(run) GROUP BY ALL
+            ),
+            n AS (SELECT gram, CAST(sum(c) AS DOUBLE) AS n FROM grams GROUP BY gram HAVING sum(c) >= 20),
+            size AS (SELECT CAST(sum(c) AS DOUBLE) AS size FROM grams WHERE length(gram) = 1),
+            bound AS (
+                SELECT g.gram, g.n, min(ln(g.n) + ln(size) - ln(l.n) - ln(r.n)) AS cohesion
+                FROM (SELECT gram, n, unnest(range(1, length(gram))) AS cut FROM n) g
+                JOIN n l ON l.gram = substring(g.gram, 1, cut) JOIN n r ON r.gram = substring(g.gram, cut + 1), size GROUP BY g.gram, g.n
+            ),
+            edges AS (
+                SELECT gram, side, CAST(ln(sum(c)) AS DOUBLE) - sum(CASE WHEN x <> '' THEN c * ln(c) ELSE 0 END) / sum(c) AS free FROM (
+                    SELECT gram, 1 AS side, before AS x, CAST(sum(c) AS DOUBLE) AS c FROM grams GROUP BY gram, before
+                    UNION ALL SELECT gram, 2, after, CAST(sum(c) AS DOUBLE) FROM grams GROUP BY gram, after
+                ) GROUP BY gram, side
+            ),
+            freedom AS (SELECT gram, min(free) AS freedom FROM edges GROUP BY gram)
+            SELECT gram AS word, CAST(n AS BIGINT) AS n, round(cohesion, 6) AS cohesion, round(freedom, 6) AS freedom
+            FROM bound JOIN freedom USING (gram) WHERE cohesion >= 2.5 AND freedom >= 1.0
+        """,
         "bm25_filtered": f"""
             WITH {CORPUS}, part AS (SELECT * FROM corpus WHERE book_id IN ('src1', 'src3')), {bm25('part', DOCUMENT_QUERY)}, {KEYWORD}
             SELECT id, round(k, 6) AS score FROM kw

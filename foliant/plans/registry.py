@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import catalog, cells, chunking, control, ingest, keywords, providers, qa, retrieval, summarize, textindex
+from foliant.operators import catalog, cells, chunking, control, ingest, keywords, lattice, providers, qa, retrieval, summarize, textindex
 from foliant.plans.oracles import ALL_TERMS_QUERY, CHUNK_QUERY, DOCUMENT_QUERY, MERGE_CAP, NOW, QUERY_VECTOR, SHORT
 from foliant.sources import books as book_files
 from foliant.sources import views as V
@@ -274,11 +274,26 @@ def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Keywords and summaries -----------------------------------------------------------------------
 
 
+@query
+def learnt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents, found again where their letters are Han characters and the spaces are gone."""
+    words = lattice.learn(V.unspaced(spark, sf_dir), longest=3, least=20)
+    return words.select("word", "n", r6("cohesion").alias("cohesion"), r6("freedom").alias("freedom"))
+
+
 @query
 def keywords_tf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.term_topk(V.table(spark, sf_dir, "documents"), ["doc_id"], 5)
 
 
+@query
+def keywords_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term counts weighed by what the corpus says of each term."""
+    docs = V.table(spark, sf_dir, "documents")
+    top = keywords.term_topk(docs, ["doc_id"], 5, weight=keywords.inverse_frequencies(docs))
+    return top.select("doc_id", "term", r6("weight").alias("weight"), "rank")
+
+
 def _candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("sort_order"), F.lit(0).alias("segment_no"), "text")

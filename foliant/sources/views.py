@@ -170,3 +170,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         end.alias("expires_at"),
         (F.col("event_type") == "error").alias("is_revoked"),
     )
+
+
+#: Letters and the Han characters that stand for them in ``unspaced``.
+LETTERS, HAN_LETTERS = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + k) for k in range(26))
+
+
+def unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose letters are Han characters and whose spaces are gone: text that must be cut into words."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.translate(F.lower("text"), LETTERS + " ", HAN_LETTERS).alias("text"))
