@@ -188,6 +188,19 @@ TOKENS = f"""
 STATE = "CASE status WHEN 'completed' THEN 'ready' WHEN 'failed' THEN 'failed' ELSE 'processing' END"
 
 
+#: Tasks of users that are silent for two days.
+LOST = """
+    WITH beats AS (
+        SELECT CAST(user_id AS VARCHAR) AS task_id, user_id, event_type, epoch_us(ts) AS ts,
+            lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following
+        FROM events
+    )
+    SELECT task_id, ts AS last_seen, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'requeued' END AS action FROM beats
+    WHERE event_type NOT IN ('error', 'purchase')
+        AND coalesce(following > ts + 172800000000, ts + 172800000000 < (SELECT max(ts) FROM beats) - 3600000000)
+"""
+
+
 def segment_steps(target: int, hard: int) -> str:
     """The table ``segments`` (doc_id, segment_no, segment) of all documents, one segment a step."""
     window = f"substring(rest, {target} + 1, {hard - target})"
@@ -631,5 +644,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT client, round(opened_at, 6) AS opened_at, n FROM opened o
             WHERE opened_at < (SELECT max(opened_at) FROM opened p WHERE p.client = o.client)
         """,
+        "stream_sessions_ended": """
+            WITH RECURSIVE req AS (
+                SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+            ),
+            walk AS (
+                SELECT client, n, ts AS opened_at FROM req WHERE n = 1
+                UNION ALL
+                SELECT r.client, r.n, CASE WHEN r.ts >= w.opened_at + 86400000000 THEN r.ts ELSE w.opened_at END
+                FROM walk w JOIN req r ON r.client = w.client AND r.n = w.n + 1
+            ),
+            opened AS (SELECT client, opened_at, count(*) AS n FROM walk GROUP BY client, opened_at)
+            SELECT client, opened_at, n FROM opened o
+            WHERE opened_at < (SELECT max(opened_at) FROM opened p WHERE p.client = o.client)
+                OR ceil((opened_at + 86400000000) / 1000.0) <= (SELECT max(ts) // 1000 FROM req) - 3600000
+        """,
+        "stream_lost_tasks": LOST,
+        "lost_tasks": LOST,
         "stream_task_states": FINAL,
     }

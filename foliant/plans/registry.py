@@ -13,6 +13,7 @@ from foliant.plans.oracles import ALL_TERMS_QUERY, CHUNK_QUERY, DOCUMENT_QUERY,
 from foliant.sources import books as book_files
 from foliant.sources import views as V
 from foliant.streaming import control as streams
+from foliant.streaming import timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -697,3 +698,27 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed sessions of users; the open ones are state."""
     rows = streams.run_query(streams.sessions_alive(_request_stream(spark, sf_dir), 24), "sessions")
     return rows.select("client", r6("opened_at").alias("opened_at"), "n")
+
+
+@query
+def stream_sessions_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that a later event or the passing of time ends."""
+    logins = streams.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("client"), F.timestamp_micros(V.micros("ts")).alias("ts"))
+    rows = timers.run(timers.sessions(logins, 24), "sessions-ended")
+    return rows.select("client", F.unix_micros("opened_at").alias("opened_at"), "n")
+
+
+@query
+def stream_lost_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks without an event for two days."""
+    rows = timers.run(timers.lost_tasks(V.heartbeats(streams.event_stream(spark, sf_dir)), 2_880.0), "lost-tasks")
+    return rows.select("task_id", F.unix_micros("last_seen").alias("last_seen"), "action")
+
+
+@query
+def lost_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a batch, as known an hour before the last event."""
+    events = V.heartbeats(V.table(spark, sf_dir, "events"))
+    until = events.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("until"))
+    rows = timers.lost_tasks_batch(events.join(F.broadcast(until), how="cross"), F.col("until"), 2_880.0)
+    return rows.select("task_id", F.unix_micros("last_seen").alias("last_seen"), "action")

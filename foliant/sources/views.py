@@ -100,6 +100,18 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def heartbeats(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as signs of life of a task a user."""
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("processing")
+    return events.select(
+        F.col("user_id").cast("string").alias("task_id"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("user_id") % 3 == 0, "summarize").otherwise("ingest").alias("type"),
+        status.alias("status"),
+        F.timestamp_micros(micros("ts")).alias("ts"),
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").cast("string").alias("client"), "event_id", (micros("ts") / 1e6).alias("ts"))
