@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import html as entities
 import re
@@ -72,6 +73,8 @@ SUBSTANTIAL = 200
 BONUS = 1.5
 #: Votes of a host's further winning paths against its first one's.
 ALSO = 0.1
+#: And it wins only with votes of this share of the host's pages, so a page's own names win nowhere.
+OF_PAGES = 0.05
 #: Winning paths that hold less of a page than its own best container by this share follow another template.
 ENOUGH = 0.8
 
@@ -356,6 +359,7 @@ class Page:
         _cut_noise(self.root, self.events)
         self.blocks: list[tuple[int, str, float, bool]] = []  # place, text, worth, whether a first heading
         self.containers: list[tuple[float, Node]] = []
+        self.marked: list[Node] = []  # main and article elements
         self._read()
 
     def _read(self) -> None:
@@ -393,6 +397,8 @@ class Page:
                 if counted > node.best_child and not leaf:
                     self.containers.append((counted, node))
                     node.best_child = counted
+                if node.mark & (MAIN | ARTICLE):
+                    self.marked.append(node)
                 if up is not None:
                     up.value += node.value
                     up.best_child = max(up.best_child, node.best_child)
@@ -425,21 +431,29 @@ class Page:
 
     def text(self, winners: list[str] | None = None) -> str:
         own = max(self.containers, key=lambda c: c[0], default=(0.0, None))[1]
-        if own is None or own.value <= 0:
+        none = own is None or own.value <= 0
+        if none and not self.marked:
             return "\n".join(text for _, text, worth, _ in self.blocks if worth >= 0)
-        chosen: list[Node] = []
-        if winners:
+        chosen, ends = [], []  # disjoint, in page order
+        if winners and not none:
             by_key: dict[str, list[Node]] = {}
             for v, x in self.containers:
                 if v > 0:
                     by_key.setdefault(x.key, []).append(x)
-            for key in winners:
+            for key in dict.fromkeys(winners):
                 for x in sorted(by_key.get(key, ()), key=lambda x: x.start):
-                    if all(x.end < c.start or x.start > c.end for c in chosen):
-                        chosen.append(x)
-        if sum(x.value for x in chosen) < ENOUGH * own.value:
+                    k = bisect.bisect_left(ends, x.start)  # the first that does not end before x
+                    if k == len(ends) or chosen[k].start > x.end:
+                        chosen.insert(k, x)
+                        ends.insert(k, x.end)
+        if none:
+            chosen = self.marked  # a main part of links alone is kept whole
+        elif sum(x.value for x in chosen) < ENOUGH * own.value:
             chosen = [own]
-        inside = sorted((x.start, x.end) for x in chosen)
+        inside: list[tuple[int, int]] = []
+        for x in sorted(chosen, key=lambda x: (x.start, -x.end)):
+            if not inside or x.start > inside[-1][1]:  # not inside of the one before
+                inside.append((x.start, x.end))
         got, first, k = [], [], 0
         for at, text, _, heading in self.blocks:
             while k < len(inside) and inside[k][1] < at:
@@ -464,7 +478,8 @@ def page_text(html: str, winners: list[str] | None = None) -> str:
     The containers of the winning paths are taken in the order of votes, each unless it holds
     or lies in one taken before. A page on which they hold less than ``ENOUGH`` of what its own
     best container holds follows another template, and its own container counts. A page
-    without a container of worth gives all its blocks that are not links.
+    without a container of worth gives all blocks of its main and article elements, without
+    these all its blocks that are not links.
     """
     return Page(html).text(winners)
 
@@ -473,6 +488,24 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+#: The path that has a vote of every page.
+EACH = ""
+
+
+def winning_paths(votes: DataFrame) -> DataFrame:
+    """(host, winners) of summed votes (host, path, votes): the leading path first, and those with ``ALSO`` of its votes.
+
+    A path needs ``OF_PAGES`` of the host's pages in votes. A page's votes are at most as many as
+    its containers, so the winners of a host are bounded by the containers of a page.
+    """
+    paths = votes.where(F.col("path") != EACH)
+    most = paths.groupBy("host").agg(F.max("votes").alias("most"))
+    n = votes.where(F.col("path") == EACH).select("host", F.col("votes").alias("pages"))
+    ranked = paths.join(most, "host").join(n, "host").where((F.col("votes") >= ALSO * F.col("most")) & (F.col("votes") >= OF_PAGES * F.col("pages")))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path")))
+    return ranked.groupBy("host").agg(F.transform(order, lambda s: s["path"]).alias("winners"))
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its main text and the number of its code points.
 
@@ -491,7 +524,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
             for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
-                for path, share in page_votes(page or ""):
+                for path, share in [(EACH, 1.0), *page_votes(page or "")]:
                     sums[host, path] = sums.get((host, path), 0.0) + share
             hosts, paths = zip(*sums) if sums else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -501,12 +534,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     votes = own.select("host", "html").mapInArrow(vote, "host string, path string, votes double")
     votes = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    votes = stash(votes, "votes")
-    most = votes.groupBy("host").agg(F.max("votes").alias("most"))
-    ranked = votes.join(most, "host").where(F.col("votes") >= ALSO * F.col("most")).groupBy("host")
-    order = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path")))
     # as a table, the join's two sides are plain exchanges, and a host with very many pages can be split
-    winners = stash(ranked.agg(F.transform(order, lambda s: s["path"]).alias("winners")), "winners")
+    winners = stash(winning_paths(stash(votes, "votes")), "winners")
 
     kind = pages.schema[page_id].dataType.simpleString()
 

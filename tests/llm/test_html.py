@@ -105,6 +105,38 @@ def test_several_paths_of_a_host_win(spark):
     assert all(r["text"] == f"first part {r['page_id']} has these words.\nsecond part {r['page_id']} too." for r in got) and len(got) == 20
 
 
+def test_names_of_single_pages_do_not_win(spark):
+    """Each page has classes of its own: no path of them wins, and what the pages share still does."""
+    page = "<body class=post-{0}><div class=css-{0}><section class=shared><p>words of page {1} are here, and more.</p></section></div><nav>x</nav></body>"
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    pages = [(k, f"http://h/{k}", page.format(name(k), k)) for k in range(2000)]
+    votes = [("h", html.EACH, 2000.0)]
+    for _, _, p in pages:
+        votes += [("h", path, share) for path, share in html.page_votes(p)]
+    frame = spark.createDataFrame(votes, "host string, path string, votes double").groupBy("host", "path").agg({"votes": "sum"})
+    (row,) = html.winning_paths(frame.toDF("host", "path", "votes")).collect() or [None]
+    assert row is None or len(row["winners"]) < 50
+    got = html.extract(spark.createDataFrame(pages[:200], "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"words of page {r['page_id']} are here, and more." for r in got) and len(got) == 200
+
+
+def test_large_tables_take_linear_time():
+    rows = "".join(f"<tr><td>Row {k} of the table says this.</td></tr>" for k in range(50_000))
+    page = f"<body><table>{rows}</table></body>"
+    winners = [*dict.fromkeys(path for path, _ in html.page_votes(page))]
+    begun = time.process_time()
+    read = html.Page(page)
+    middle = time.process_time()
+    text = read.text(winners[::-1])
+    assert text.count("\n") == 49_999 and time.process_time() - middle < 2 and middle - begun < 20
+
+
+def test_a_main_part_of_links_is_kept():
+    items = "".join(f'<li><a href="/{k}">Source number {k}</a></li>' for k in range(5))
+    page = f"<body><nav><a href=/>Home</a></nav><main><h1>Sources</h1><ul>{items}</ul></main><footer>f</footer></body>"
+    assert html.page_text(page) == "Sources\n" + "\n".join(f"Source number {k}" for k in range(5))
+
+
 def test_clashing_columns_nulls_and_repeated_rows(spark):
     rows = [(1, None, None, "w", 1), (2, "http://h/", "", "x", 2), (2, "http://h/", "", "x", 2), (None, "", f"<p>{'long ' * 40_000}</p>", "", 3)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, text int")).collect()

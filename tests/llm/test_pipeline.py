@@ -98,7 +98,7 @@ def test_whole_run(spark):
 
 def test_every_operator_has_a_query():
     names = registered.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(registered.oracle_sql()) <= set(names)
 
 
