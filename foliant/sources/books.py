@@ -242,24 +242,33 @@ def _cover(package: list, items: dict[str, dict]) -> str:
 
 
 def read_epub(rows: DataFrame, skip_back_matter: bool = True) -> DataFrame:
-    """Chapters of EPUB rows (path, content), with the book's metadata in each row."""
+    """Chapters of EPUB rows (path, content), with the book's metadata in each row.
+
+    A file that can't be read is one row with the reason in ``error`` and without content, and
+    all other files go on.
+    """
+    columns = ["path", "book_title", "author", "language", "title", "level", "sort_order", "content", "cover", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                book = parse_epub(bytes(content), skip_back_matter)
+                try:
+                    book = parse_epub(bytes(content), skip_back_matter)
+                except Exception as e:  # whatever a broken archive or document raises is that book's
+                    yield pd.DataFrame([(path, "", "", "", "", 1, 0, None, None, f"{type(e).__name__}: {e}")], columns=columns)
+                    continue
                 yield pd.DataFrame(
                     [
-                        (path, book["title"], book["author"], book["language"], title, 1, order, text, book["cover"] if order == 0 else None)
+                        (path, book["title"], book["author"], book["language"], title, 1, order, text, book["cover"] if order == 0 else None, None)
                         for order, (title, text) in enumerate(book["chapters"])
                     ],
-                    columns=["path", "book_title", "author", "language", "title", "level", "sort_order", "content", "cover"],
+                    columns=columns,
                 )
 
     return rows.mapInPandas(
         run,
         "path string, book_title string, author string, language string, title string, level int, sort_order int, "
-        "content string, cover binary",
+        "content string, cover binary, error string",
     )
 
 
@@ -283,6 +292,7 @@ def read_text(rows: DataFrame, skip_back_matter: bool = True) -> DataFrame:
         F.col("sort_order").cast("int").alias("sort_order"),
         "content",
         F.lit(None).cast("binary").alias("cover"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 
