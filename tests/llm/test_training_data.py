@@ -567,6 +567,52 @@ def test_a_score_does_not_depend_on_other_rows():
         assert model.scores(pa.array([texts[k] for k in order], pa.string())).tolist() == [alone[k] for k in order]
 
 
+def test_scores_equal_a_plain_computation():
+    """Word by word: n-gram vectors averaged, bags of BAG words from every word on, the most toxic one counts."""
+    import math
+    import re
+
+    model = toxicity.fit(["plain words here", "some other words", "vile", "a vile thing"] * 20, np.array([0, 0, 1, 1] * 20), epochs=3)
+    lean = model.embeddings @ (model.softmax[1] - model.softmax[0])
+
+    def word_score(word):
+        marked = [ord(c) for c in f"<{word}>"]
+        grams = [marked[i : i + n] for n in toxicity.SIZES for i in range(len(marked) - n + 1)]
+        total = 0.0
+        for g in grams:
+            h = 1469598103934665603 + len(g)
+            for c in g:
+                h = (h ^ c) * 1099511628211 % 2**64
+            total += lean[(h ^ h >> 29) % toxicity.BUCKETS]
+        return total / max(len(grams), 1)
+
+    texts = ["vile", "a Vile thing, said so", "", " - ", "Éa 漢字 under_score x" + " plain" * 30 + " vile", *random_texts(30, 5)]
+    for text, got in zip(texts, model.scores(pa.array(texts))):
+        words = [word_score(w) for chunk in text.split(" ") for w in re.findall(r"\w+", chunk.lower())]
+        bags = [sum(words[i : i + toxicity.BAG]) / toxicity.BAG for i in range(len(words))]
+        assert got == pytest.approx(1 / (1 + math.exp(-(max(bags, default=0.0) + model.bias))))
+
+
+def test_the_cut_keeps_clean_rows_and_shrinks_where_labels_are_few():
+    z = np.array([5.0, 4.0, 3.5, 3.0, -1.0, -2.0] + [-4.0] * 94)
+    y = np.array([1, 1, 0, 1, 1, 0] + [0] * 94)
+    # one clean row of 96 may be above; taking two or five rows is as good, and the fewer are taken
+    assert toxicity.best_cut(z, y) == pytest.approx((4.0 + 3.5) / 2 * 4 / (4 + toxicity.PRIOR_ROWS))
+    assert toxicity.best_cut(z, np.zeros(100)) == toxicity.best_cut(np.zeros(0), np.zeros(0)) == 0.0
+    many = toxicity.best_cut(np.repeat([6.0, 2.0], 1000), np.repeat([1, 0], 1000))
+    assert 3.8 < many < 4.0
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    from foliant.llm.labelled import labelled_sample
+
+    frame = spark.createDataFrame([(i, "x" * 100, "en", "s", 0) for i in range(50)], DOCS)
+    labels = frame.select("doc_id", F.lit(0).alias("toxic"))
+    assert labelled_sample(frame, labels, "toxic", 40, most_bytes=1050).count() == 10
+    assert labelled_sample(frame, labels, "toxic", 40, most_bytes=5).count() == 1
+    assert labelled_sample(frame, labels, "toxic", 40, most_bytes=1 << 20).count() == 40
+
+
 def test_training_never_reads_held_out_labels(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(300)], DOCS)
     labels = frame.select("doc_id", F.lit(0).alias("toxic"))
