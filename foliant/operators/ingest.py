@@ -173,13 +173,13 @@ def add_summaries(
 ) -> tuple[DataFrame, DataFrame]:
     """What follows ingestion: (summaries by chapter, vectors with the summaries' pseudo chunks).
 
-    Summaries are written under ``folder`` and read again, so that the model is asked once
-    for each. Pseudo chunks of an earlier run of these chapters and books are replaced.
+    Model calls are kept under ``folder`` as they are made, so that a run that dies or is made
+    again asks nothing twice; summaries are written there and read again. Pseudo chunks of an earlier run of these chapters and books are replaced.
     """
     spark = done.books.sparkSession
-    summarize.chapter_summaries(done.chapters, model, language).write.mode("overwrite").parquet(f"{folder}/chapter_summaries")
+    summarize.chapter_summaries(done.chapters, model, language, calls=f"{folder}/calls").write.mode("overwrite").parquet(f"{folder}/chapter_summaries")
     chapters = spark.read.parquet(f"{folder}/chapter_summaries")
-    summarize.book_summaries(chapters, model, language).write.mode("overwrite").parquet(f"{folder}/book_summaries")
+    summarize.book_summaries(chapters, model, language, f"{folder}/calls").write.mode("overwrite").parquet(f"{folder}/book_summaries")
     books = spark.read.parquet(f"{folder}/book_summaries")
     new = providers.embed_chunks(summarize.pseudo_chunks(chapters, books), embedder).select(*done.vectors.columns)
     ids = done.chapters.select(F.col("chapter_id").alias("id")).union(done.books.select("book_id"))

@@ -97,6 +97,32 @@ def complete_column(prompts: DataFrame, column: str, model: LanguageModel, into:
     return prompts.withColumn(into, run(column))
 
 
+#: Parts in which stored calls are made: what a run that dies loses is one part.
+PARTS = 16
+
+
+def complete_stored(prompts: DataFrame, column: str, model: LanguageModel, into: str, path: str, parts: int = PARTS) -> DataFrame:
+    """``complete_column`` with a table of calls (digest, answer) under ``path``: no prompt that it has is asked again.
+
+    Distinct prompts are written first, then asked in ``parts``, each appended when it is done. A
+    lost executor repeats its task alone; a run that died goes on with the parts that lack. A plan
+    may hold each ``path`` once: Spark takes two reads of one path for the same rows.
+    """
+    spark = prompts.sparkSession
+    key = F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
+    asked = prompts.where(F.coalesce(F.col(column), F.lit("")) != "").select(key.alias("digest"), F.col(column).alias("prompt"))
+    asked.dropDuplicates(["digest"]).write.mode("overwrite").parquet(f"{path}/asked")
+    asked = spark.read.parquet(f"{path}/asked")
+    spark.createDataFrame([], "digest string, answer string").write.mode("append").parquet(f"{path}/answers")
+    answers = lambda: spark.read.schema("digest string, answer string").parquet(f"{path}/answers")
+    for part in range(parts):
+        todo = asked.where(F.pmod(F.xxhash64("digest"), F.lit(parts)) == part).join(answers().select("digest"), "digest", "left_anti")
+        complete_column(todo, "prompt", model, "answer").select("digest", "answer").write.mode("append").parquet(f"{path}/answers")
+    found = answers().dropDuplicates(["digest"])
+    out = prompts.withColumn("call digest", key).join(found.withColumnRenamed("digest", "call digest"), "call digest", "left")
+    return out.select(*prompts.columns, F.coalesce("answer", F.lit("")).alias(into))
+
+
 def tool_arguments(call: dict) -> dict:
     """Arguments of a tool call, which may be JSON text; what can't be read counts as none."""
     arguments = call.get("arguments")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import strip
 from foliant.operators.chunking import segments
-from foliant.operators.providers import LanguageModel, complete_column
+from foliant.operators.providers import LanguageModel, complete_column, complete_stored
 
 UNNAMED = "(untitled chapter)"
 #: Prompt parts by language bucket.
@@ -27,11 +27,18 @@ def to_summarize(chapters: DataFrame, restart: bool) -> DataFrame:
     return rows if restart else rows.where(strip(F.coalesce("summary", F.lit(""))) == "")
 
 
-def chapter_summaries(chapters: DataFrame, model: LanguageModel, language: str = "zh", restart: bool = True) -> DataFrame:
+def _completed(prompts: DataFrame, model: LanguageModel, into: str, calls: str | None) -> DataFrame:
+    return complete_stored(prompts, "prompt", model, into, calls) if calls else complete_column(prompts, "prompt", model, into)
+
+
+def chapter_summaries(
+    chapters: DataFrame, model: LanguageModel, language: str = "zh", restart: bool = True, calls: str | None = None
+) -> DataFrame:
     """(book_id, chapter_id, sort_order, title, summary) of all usable chapters.
 
     A chapter of one segment is one call. Others are a call a segment and one that merges the
-    segments' summaries in order. Kept summaries of a continued run are passed through.
+    segments' summaries in order. Kept summaries of a continued run are passed through. With
+    ``calls``, a folder, all calls are made at once and kept there, and none is made twice.
     """
     whole, part, merge, _ = PROMPTS[language]
     todo = to_summarize(chapters, restart)
@@ -44,7 +51,7 @@ def chapter_summaries(chapters: DataFrame, model: LanguageModel, language: str =
     prompt = F.when(F.col("total") == 1, F.concat(F.lit(f"{whole}: "), "title", F.lit("\n\n"), "segment")).otherwise(
         F.concat(F.lit(f"{part} "), label, F.lit(": "), "title", F.lit("\n\n"), "segment")
     )
-    mapped = complete_column(rows.withColumn("prompt", prompt), "prompt", model, "summary")
+    mapped = _completed(rows.withColumn("prompt", prompt), model, "summary", calls and f"{calls}/parts")
     parts = mapped.groupBy("book_id", "chapter_id", "sort_order", "title", "total").agg(
         F.array_sort(F.collect_list(F.struct("segment_no", "summary"))).alias("parts")
     )
@@ -53,7 +60,7 @@ def chapter_summaries(chapters: DataFrame, model: LanguageModel, language: str =
         "\n\n",
     )
     reduce = F.when(F.col("total") > 1, F.concat(F.lit(f"{merge} "), "title", F.lit("\n\n"), joined)).otherwise("")
-    reduced = complete_column(parts.withColumn("prompt", reduce), "prompt", model, "merged")
+    reduced = _completed(parts.withColumn("prompt", reduce), model, "merged", calls and f"{calls}/merged")
     summary = F.when(F.col("total") > 1, F.col("merged")).otherwise(F.col("parts")[0]["summary"])
     new = reduced.select("book_id", "chapter_id", "sort_order", "title", summary.alias("summary"))
     if restart:
@@ -71,8 +78,8 @@ def book_prompts(summaries: DataFrame, language: str = "zh") -> DataFrame:
     return rows.select("book_id", F.concat(F.lit(f"{PROMPTS[language][3]}:\n\n"), F.array_join(body, "\n\n")).alias("prompt"))
 
 
-def book_summaries(summaries: DataFrame, model: LanguageModel, language: str = "zh") -> DataFrame:
-    return complete_column(book_prompts(summaries, language), "prompt", model, "summary").select("book_id", "summary")
+def book_summaries(summaries: DataFrame, model: LanguageModel, language: str = "zh", calls: str | None = None) -> DataFrame:
+    return _completed(book_prompts(summaries, language), model, "summary", calls and f"{calls}/books").select("book_id", "summary")
 
 
 def pseudo_chunks(summaries: DataFrame, books: DataFrame) -> DataFrame:
