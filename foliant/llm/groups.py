@@ -120,3 +120,59 @@ class Unions:
             self.label = roots(len(self.label), i, j)
             self.held, self.size = [], 0
         return self.label
+
+
+class Forests:
+    """The ``count`` best spanning forests of weighted links between items: at most that many links an item.
+
+    The first is a minimum spanning forest, each next one that of the links not taken yet. So
+    of the links that join two parts of the items the ``count`` least distant are always among
+    them. Ties go to the lower items. At most ``most`` links beside them are held at a time.
+    """
+
+    def __init__(self, count: int, most: int = 1 << 20):
+        self.count, self.most = count, most
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        """Links of items i < j."""
+        if len(i):
+            self.held.append(np.stack([distance, i, j]).astype(np.int64))
+            self.size += len(i)
+            if self.size > self.most:
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of the links taken."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        links = np.unique(np.concatenate(self.held, axis=1), axis=1)
+        items, ends = np.unique(links[1:], return_inverse=True)
+        ends = ends.reshape(2, -1)
+        left, taken = np.arange(links.shape[1]), []
+        for _ in range(self.count):
+            took = left[_spanning(len(items), *ends[:, left])]
+            taken.append(took)
+            left = np.setdiff1d(left, took, assume_unique=True)
+        kept = links[:, np.concatenate(taken)]
+        self.held, self.size = [kept], 0
+        return kept[1], kept[2]
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The links, by number, of the spanning forest of n items that prefers links of low number."""
+    chosen = np.zeros(0, np.int64)
+    open_ = np.arange(len(i))
+    label = np.arange(n)
+    while True:
+        a, b = label[i[open_]], label[j[open_]]
+        apart = a != b
+        open_ = open_[apart]
+        if not len(open_):
+            return chosen
+        best = np.full(n, len(i))
+        np.minimum.at(best, a[apart], open_)
+        np.minimum.at(best, b[apart], open_)
+        chosen = np.union1d(chosen, best[best < len(i)])
+        label = roots(n, i[chosen], j[chosen])

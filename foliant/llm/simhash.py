@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import discard, pick, stash, with_field
 from foliant.llm.components import connected_components
-from foliant.llm.groups import Unions, by_bucket, salted_join, sorted_by_bucket, split_buckets
+from foliant.llm.groups import Forests, Unions, by_bucket, salted_join, sorted_by_bucket, split_buckets
 
 BITS = 64
 #: Rows of a bucket block; a bucket beyond it is compared by more than one task.
@@ -21,17 +21,43 @@ BLOCK = 1 << 17
 PAIRS = 1 << 21
 #: Words of a fingerprint that estimates similarities, and those of them that have trees.
 WIDE, INDEXED = 8, 4
+#: Spanning forests of a shard's links whose pairs are compared exactly.
+FORESTS = 3
+#: Pairs of one text that a task compares exactly; a text with more is sent to more tasks.
+MANY = 256
 
 
 def distance_of(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of ``bits`` bits differ at this Jaccard similarity of their shingles, and one standard error.
+    """Bits in which fingerprints of ``bits`` bits differ at this Jaccard similarity of their shingles, and two standard errors.
 
-    Sets of similarity s have the cosine 2s / (1 + s), and a bit differs with the share of
-    their angle in a half turn. With 512 bits the standard error at 0.8 is 8 bits, or 0.025 of
-    similarity; so five of six pairs at just that similarity are within the distance.
+    Sets of similarity s have the cosine 2s / (1 + s) if they are of one size, and a bit
+    differs with the share of their angle in a half turn. With 512 bits the standard error at
+    0.8 is 8 bits, or 0.025 of similarity; so 49 of 50 pairs at just that similarity are
+    within the distance.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return round(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
+
+
+def same_share(one: str | None, other: str | None, shingle: int) -> float:
+    """The exact Jaccard similarity of the sets of word shingles of two texts.
+
+    Words and shingles are those of ``fingerprint``. Two texts without words are equal.
+    """
+    a, b = ((t or "").encode("utf-8", "replace").lower().split() for t in (one, other))
+    if not a or not b:
+        return float(len(a) == len(b))
+    if min(len(a), len(b)) < shingle:  # a short text has one shingle: all its words
+        sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} for w in (a, b)]
+        return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    words = pa.array([*a, *b], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    codes = words
+    for k in range(1, shingle):  # runs of k words are numbered; with the next word they are runs of k + 1
+        codes = np.unique(codes[:-1] * len(words) + words[k:], return_inverse=True)[1]
+    seen = np.zeros((2, codes.max() + 1), bool)
+    seen[0, codes[: len(a) - shingle + 1]] = True
+    seen[1, codes[len(a) :]] = True
+    return float((seen[0] & seen[1]).sum() / (seen[0] | seen[1]).sum())
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -43,8 +69,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(code(text, shingle)[0])
 
 
-def code(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """``fingerprint`` as an array; more words than one take their bits from the same hashes, mixed again."""
+def code(text: str | None, shingle: int = 4, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """``fingerprint`` as an array; more words than one take their bits from the same hashes, mixed again.
+
+    With ``distinct``, a shingle that repeats counts once.
+    """
     own = (text or "").encode("utf-8", "replace").lower().split()
     if not own:
         return np.zeros(words, np.uint64)
@@ -57,6 +86,9 @@ def code(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
     n = len(own) - k + 1
     spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist())
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+    if distinct:
+        hashes = np.unique(hashes)
+        n = len(hashes)
     for at in range(0, n, 65536):
         part = hashes[at : at + 65536]
         for w in range(words):
@@ -79,7 +111,7 @@ def word_columns(words: int) -> list[str]:
     return ["fp", *(f"fp{w}" for w in range(1, words))]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
     """``docs`` plus ``fp`` (and ``fp1``, ...), the fingerprint of the text as signed longs."""
     out = docs.schema
     at = out.fieldNames().index(text)
@@ -89,7 +121,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
-            fps = [code(t, shingle, words) for k in range(0, len(column), 256) for t in column.slice(k, 256).to_pylist()]
+            fps = [code(t, shingle, words, distinct) for k in range(0, len(column), 256) for t in column.slice(k, 256).to_pylist()]
             table = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(table[:, w])) for w in range(words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=out.fieldNames())
@@ -165,20 +197,27 @@ def forest(sample: np.ndarray, distance: int, trees: int, depth: int) -> list[Va
     return [VantageTree(sample, m, distance // trees, depth, seed=i) for i, m in enumerate(masks)]
 
 
-def close_pairs_in(codes: np.ndarray, parts: list[tuple[int, np.uint64]], distance: int, block: np.ndarray | None) -> np.ndarray:
-    """For each row of ``codes`` (rows, words) the least row that it reaches by close pairs of these rows.
+def close_pairs_in(
+    codes: np.ndarray, parts: list[tuple[int, np.uint64]], distance: int, block: np.ndarray | None, forests: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between rows of ``codes`` (rows, words) that join what close pairs of these rows join.
+
+    They lead from each row to the least one that it reaches. With ``forests`` they are close
+    pairs themselves, those of so many spanning forests of the least distances.
 
     Two rows that a tree's reach joins agree in one of ``parts`` (word, mask) of its bits, so
     only rows that do are compared, over all words. With ``block``, only rows of different
     blocks are.
     """
-    unions = Unions(len(codes))
+    unions, best = Unions(len(codes)), Forests(forests)
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
-        near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=-1, dtype=np.int64) <= distance
+        apart = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=-1, dtype=np.int64)
+        near = (apart <= distance) & (i < j)
         if block is not None:
             near &= block[i] != block[j]
-        unions.add(*(x[near] for x in np.broadcast_arrays(i, j)))
+        ends = [x[near] for x in np.broadcast_arrays(i, j)]
+        best.add(*ends, apart[near]) if forests else unions.add(*ends)
 
     for word, mask in parts:
         value = codes[:, word] & mask
@@ -199,11 +238,24 @@ def close_pairs_in(codes: np.ndarray, parts: list[tuple[int, np.uint64]], distan
                 some = max(1, PAIRS // (len(rows) * codes.shape[1]))
                 for k in range(0, len(rows), some):
                     compare(rows[k : k + some, None], rows[None, k:])
-    return unions.settle()
+    if forests:
+        return best.settle()
+    label = unions.settle()
+    moved = np.flatnonzero(label != np.arange(len(codes)))
+    return moved, label[moved]
 
 
 def close_pairs_forest(
-    fps: DataFrame, distance: int, trees: int, leaf: int, sample: int, node: str = "fp", words: int = 1, indexed: int = 1, reach: int | None = None
+    fps: DataFrame,
+    distance: int,
+    trees: int,
+    leaf: int,
+    sample: int,
+    node: str = "fp",
+    words: int = 1,
+    indexed: int = 1,
+    reach: int | None = None,
+    forests: int = 0,
 ) -> DataFrame:
     """Edges (a, b) between the nodes of distinct fingerprints that connect those within ``distance``.
 
@@ -212,7 +264,7 @@ def close_pairs_forest(
     With it, pairs are found that differ by at most ``reach`` bits in one of all these groups.
     Vantage points come from at most ``sample`` fingerprints of least hash, which bounds what
     the driver holds; every fingerprint is indexed. A shard emits a spanning forest of its
-    links, never all its pairs.
+    links, never all its pairs; with ``forests`` so many of them, and all edges are close pairs.
     """
     columns = word_columns(words)
     n = fps.count()
@@ -246,13 +298,14 @@ def close_pairs_forest(
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_bucket(batches):
+            if forests:  # equal distances are decided alike in all shards
+                table = table.sort_by(node)
             codes = np.stack([table.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
             block = table.column("block").to_numpy() if table.column("cross")[0].as_py() else None
-            label = close_pairs_in(codes, parts[table.column("tree")[0].as_py()], distance, block)
-            moved = np.flatnonzero(label != np.arange(len(codes)))
-            if len(moved):
+            i, j = close_pairs_in(codes, parts[table.column("tree")[0].as_py()], distance, block, forests)
+            if len(i):
                 ends = table.column(node).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ends[moved]), pa.array(ends[label[moved]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ends[i]), pa.array(ends[j])], names=["a", "b"])
 
     longs = ", ".join(f"{c} long" for c in names)
     routed = fps.select(*names).mapInArrow(route, f"tree int, leaf int, {longs}")
@@ -267,6 +320,34 @@ def _parts(mask: int, parts: int) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in bits[x:y])) for x, y in zip(cuts[:-1], cuts[1:])]
 
 
+def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts have this exact similarity of their word shingles, or more.
+
+    ``texts`` has one row (node, text) a node. Only texts of an edge are moved, and a text with
+    more than ``MANY`` edges goes to one more task for each so many.
+    """
+    edges = stash(edges.distinct(), "pairs")
+    dealt, sent = edges, []
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = edges.groupBy(side).agg(F.ceil(F.count("*") / MANY).cast("int").alias("tasks"))
+        dealt = salted_join(dealt, counts.where("tasks > 1"), [side], other, "left")
+        task = F.pmod(F.xxhash64(other, F.lit(11)), F.coalesce("tasks", F.lit(1))).cast("int")
+        dealt = dealt.withColumn(f"task_{side}", task).drop("tasks")
+        own = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).join(counts, side)
+        sent.append((side, own.withColumn(f"task_{side}", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")))
+    for side, own in sent:
+        dealt = dealt.join(own, [side, f"task_{side}"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = batch.column("text_a"), batch.column("text_b")
+            pairs = ((x.as_py(), y.as_py()) for x, y in zip(one, other))
+            alike = np.array([same_share(x, y, shingle) >= similarity for x, y in pairs], bool)
+            yield batch.select(["a", "b"]).filter(pa.array(alike))
+
+    return dealt.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -285,10 +366,14 @@ def near_duplicates(
     reachable), kept (true for one row of each component: the one with that doc_id) and, with
     ``keep_row``, the input row as struct ``record``.
 
-    With ``similarity``, fingerprints of ``WIDE`` words estimate the Jaccard similarity of the
-    shingles, and documents link if the estimate is at least ``similarity`` (``distance`` is
-    not read). Of such pairs a few escape the forest, whose trees each reach one bit of 21 or
-    22; the README has the measured recall. The fingerprint returned is the first word.
+    With ``similarity``, documents link if the Jaccard similarity of their sets of shingles is
+    at least that (``distance`` is not read). Fingerprints of ``WIDE`` words, where a shingle
+    counts once, find the candidates, and each link is confirmed on the whole texts, so no row
+    goes without a text that similar. Texts with equal fingerprints of all words link without
+    that. Of the pairs a few escape the forest, whose trees each reach one bit of 21 or 22, and
+    where more than ``FORESTS`` pairs of a shard might join two groups, those of the nearest
+    fingerprints are tried; the README has the measured recall. The fingerprint returned is
+    the first word.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat a
     doc_id are rows of their own. A null doc_id sorts after all others. Other columns of the
@@ -300,7 +385,9 @@ def near_duplicates(
         own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), record)
     words = 1 if similarity is None else WIDE
     columns = word_columns(words)
-    marked = fingerprints(own, "text", shingle, words).drop("text").withColumn("uid", F.monotonically_increasing_id())
+    marked = fingerprints(own, "text", shingle, words, similarity is not None).withColumn("uid", F.monotonically_increasing_id())
+    if similarity is None or keep_row:  # the record holds the text already
+        marked = marked.drop("text")
     marked = stash(marked, "fingerprints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = marked.groupBy(*columns).agg(F.min(order).alias("first"), F.min("uid").alias("node"))
@@ -309,7 +396,9 @@ def near_duplicates(
         edges = close_pairs_forest(classes, distance, trees, leaf, sample, "node")
     else:
         far = distance_of(similarity, BITS * words)
-        edges = close_pairs_forest(classes, far, trees, 2 * leaf, sample, "node", words, INDEXED, reach=1)
+        edges = close_pairs_forest(classes, far, trees, 2 * leaf, sample, "node", words, INDEXED, reach=1, forests=FORESTS)
+        whole = F.col("record")[text] if keep_row else F.col("text")
+        edges = confirmed(edges, marked.select(F.col("uid").alias("node"), whole.alias("text")), shingle, similarity)
     labels = stash(connected_components(edges, "a", "b").join(classes.select("node", "first"), "node"), "labels")
     firsts = labels.groupBy("component").agg(F.min("first").alias("least"))
     least = salted_join(labels.select("node", "component"), firsts, ["component"], "node").select("node", "least")
