@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SIZES = (3, 4, 5, 6)
 BAG = 8
 #: The training sample: at most so many labelled rows, and so many bytes of text.
 TRAIN_ROWS, TRAIN_BYTES = 8000, 64 << 20
+#: Words whose bags are compared at a time.
+BLOCK_WORDS = 1 << 20
 #: The threshold is set by the scores of rows from models that were fitted without them, of so many folds.
 FOLDS = 4
 #: Of the clean rows at most this share may be above the threshold; with few toxic rows the cut shrinks to even odds, as if from so many.
@@ -85,7 +88,19 @@ class SubwordModel:
         flat = np.fromiter((numbers[w] for ws in per_chunk for w in ws), np.int64, int(sizes.sum()))
         flat, ends = gather(flat, np.cumsum(sizes) - sizes, sizes, codes)
         cuts = np.r_[0, ends][offsets]
-        return 1 / (1 + np.exp(-self.top_bags(each[flat], cuts)[0]))
+        return 1 / (1 + np.exp(-self.bags(each, flat, cuts)[0]))
+
+    def bags(self, each: np.ndarray, flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``top_bags`` of texts whose words are numbers ``flat`` with scores ``each``, some texts of BLOCK_WORDS words or one longer at a time."""
+        tops, firsts = [np.zeros(0)], [np.zeros(0, cuts.dtype)]
+        a = 0
+        while a < len(cuts) - 1:
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + BLOCK_WORDS, side="right")) - 1)
+            top, first = self.top_bags(each[flat[cuts[a] : cuts[b]]], cuts[a : b + 1] - cuts[a])
+            tops.append(top)
+            firsts.append(first + cuts[a])
+            a = b
+        return np.concatenate(tops), np.concatenate(firsts)
 
     def top_bags(self, z: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logit, first word) of the most toxic bag of each text whose words' scores are z[cuts[i]:cuts[i+1]]."""
@@ -105,7 +120,7 @@ class SubwordModel:
         return top, first
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.3, seed: int = 0) -> SubwordModel:
+def fit(texts: Iterable[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.3, seed: int = 0) -> SubwordModel:
     """Train embeddings and softmax jointly on whole texts and their labels.
 
     Each epoch takes the most toxic bag of every text by the model so far, and a random bag of
@@ -143,7 +158,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 20, rate: float = 0.
         per_gram = (model.embeddings @ (model.softmax[1] - model.softmax[0]))[grams]
         sums = np.r_[0.0, np.cumsum(per_gram)]
         z = (sums[gram_ends] - sums[gram_ends - counts]) / np.maximum(counts, 1)
-        _, first = model.top_bags(z[flat], cuts)
+        _, first = model.bags(z, flat, cuts)
         some = np.flatnonzero((labels == 0) & (n > 0))[epoch % 4 :: 4]
         start = np.r_[first[n > 0], cuts[some] + rng.integers(0, np.maximum(n[some], 1))]
         owner = np.r_[np.flatnonzero(n > 0), some]
@@ -195,11 +210,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_bucket(batches, 1):
-            own, fold = table.sort_by("doc_id"), table.column("bucket")[0].as_py()
-            texts, y = own.column("text").to_pylist(), own.column("label").to_numpy()
-            out = own.column("own").to_numpy() == fold
-            model = fit([t for t, o in zip(texts, out) if not o], y[~out])
-            said = {"labels": y[out].tolist(), "logits": logits(model, [t for t, o in zip(texts, out) if o]).tolist()}
+            fold, order = table.column("bucket")[0].as_py(), pc.sort_indices(table.column("doc_id")).to_numpy()
+            texts = table.column("text")  # read one by one: no second copy of the sample
+            y = table.column("label").to_numpy()[order]
+            out = table.column("own").to_numpy()[order] == fold
+            model = fit((texts[k].as_py() for k in order[~out].tolist()), y[~out])
+            others = order[out].tolist()
+            z = [logits(model, [texts[k].as_py() for k in others[a : a + 256]]) for a in range(0, len(others), 256)]
+            said = {"labels": y[out].tolist(), "logits": np.concatenate([np.zeros(0), *z]).tolist()}
             if fold == folds:
                 said = {"embeddings": model.embeddings.astype(np.float32).tobytes(), "softmax": model.softmax.tobytes(), "bias": float(model.bias)}
             yield pa.RecordBatch.from_arrays([pa.array([said.get(f.name)], f.type) for f in schema], schema=schema)
