@@ -128,6 +128,8 @@ class Encoder(dict):
         self.bytes = m.byte_ids()
         if any(t in (USER_DEFINED, UNUSED) for _, _, t in kinds) or any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("pieces that cross words, are user-defined or are unused are not supported")
+        if not m.byte_fallback:  # an unknown run would be one piece of any length
+            raise ValueError("models without byte fallback are not supported")
         value = {i: bytes([b]) for b, i in self.bytes.items()}
         text = [p.replace(SPACE, " ").encode() if t == NORMAL else value.get(i, b"") for i, (p, _, t) in enumerate(kinds)]
         text[m.unknown] = " \u2047 ".encode()
@@ -189,10 +191,8 @@ class Encoder(dict):
             known = self.id.get(part)
             if known is not None:
                 ids.append(known)
-            elif self.model.byte_fallback:
-                ids += [self.bytes[b] for b in part.encode("utf-8")]
             else:
-                ids.append(self.model.unknown)
+                ids += [self.bytes[b] for b in part.encode("utf-8")]
         value = array("i", ids).tobytes()
         if len(self) < self.most:
             self[segment] = value
@@ -205,8 +205,6 @@ class Encoder(dict):
         if not len(ids):
             return ids, np.zeros(1, np.int32)
         sizes = self.normal_bytes[ids]
-        if self.model.unknown in ids:  # its length is that of the character it stands for
-            raise ValueError("models without byte fallback are not supported")
         return ids, origin[np.r_[0, np.cumsum(sizes)]].astype(np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
