@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliant.functions.text import clean_title, is_back_matter, is_heading, strip
 
@@ -96,17 +97,21 @@ def cuts(text: str, target: int = 10_000, hard: int = 12_000) -> list[str]:
 def segments(chapters: DataFrame, target: int = 10_000, hard: int = 12_000) -> DataFrame:
     """(book_id, chapter_id, segment_no, segment) of each chapter's content."""
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.fillna("").map(lambda t: cuts(t, target, hard))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # a text at a time, so that a task holds one text's segments
+                parts = cuts(batch.column("content")[at].as_py(), target, hard)
+                own = [batch.column(c).take(pa.array([at] * len(parts), pa.int64())) for c in ("book_id", "chapter_id")]
+                columns = [*own, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["book_id", "chapter_id", "segment_no", "segment"])
 
     whole = F.coalesce("content", F.lit(""))
     short = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
     # the common short chapter never leaves the JVM
     near = chapters.where(F.length(whole) <= hard).select("book_id", "chapter_id", short.alias("s"))
-    far = chapters.where(F.length(whole) > hard).select("book_id", "chapter_id", cut(whole).alias("s"))
-    return near.union(far).select("book_id", "chapter_id", F.posexplode("s").alias("segment_no", "segment"))
+    far = chapters.where(F.length(whole) > hard).select("book_id", "chapter_id", "content")
+    out = StructType([*far.schema.fields[:2], *StructType.fromDDL("segment_no int, segment string")])
+    return near.select("book_id", "chapter_id", F.posexplode("s").alias("segment_no", "segment")).union(far.mapInArrow(cut, out))
 
 
 def chapters_of_text(books: DataFrame, skip_back_matter: bool = True) -> DataFrame:
