@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from foliant.functions.lists import WORDS, gathered, sizes, slices
 from foliant.functions.text import tokens
 from foliant.operators.retrieval import EPSILON, K1, B, Tokenizer, of_books, query_tokens
 
 #: Folders of terms, postings of a block, and postings of a term that are numbered together.
 FOLDERS, BLOCK, SHARE = 64, 128, 100_000
+#: Words that a task gathers at a time.
+TOKENS = WORDS
 #: What a list is ordered by, the most telling first; a search's bounds don't depend on it.
 USUAL_LENGTH = 100.0
 
@@ -67,47 +72,67 @@ def load(spark: SparkSession, path: str) -> TextIndex:
 
 
 def _positions(chunks: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(id, book_id, doc_len, term, tf, positions) of every term of every chunk."""
+    """(term, id, book_id, doc_len, positions) of every term of every chunk, as arrays of some neighbouring chunks: nothing is shuffled yet."""
     split = chunks.select("id", "book_id", tokenizer(F.col("content")).alias("tokens"))
-    each = split.select("id", "book_id", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("at", "term"))
-    found = each.groupBy("id", "book_id", "doc_len", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    return found.withColumn("tf", F.size("positions"))
+    kinds = dict(split.dtypes)
+    out = f"term string, id array<{kinds['id']}>, book_id array<{kinds['book_id']}>, doc_len array<int>, positions array<array<int>>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "tokens", TOKENS)):
+            tokens = batch.column("tokens")
+            row, term, starts, places = gathered(tokens)
+            lists = term.dictionary_encode()  # a term's postings are neighbours
+            code = lists.indices.to_numpy(zero_copy_only=False)
+            ends = pa.array(np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)]), len(code)], pa.int32())
+            positions = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(places, pa.int32()))
+            held = [batch.column(c).take(pa.array(row)) for c in ("id", "book_id")]
+            columns = [pa.ListArray.from_arrays(ends, c) for c in (*held, pa.array(sizes(tokens)[row], pa.int32()), positions)]
+            yield pa.RecordBatch.from_arrays([lists.dictionary, *columns], names=["term", "id", "book_id", "doc_len", "positions"])
 
-def _blocks(postings: DataFrame) -> DataFrame:
+    return split.mapInArrow(run, out)
+
+
+def _blocks(postings: DataFrame, counts: DataFrame) -> DataFrame:
     """Postings of each term in blocks of BLOCK, with what bounds their scores: the greatest tf and the least length.
 
-    The most telling postings come first. A term with many postings is numbered in as many parts
-    as SHARE asks for, so no term is one task's.
+    The most telling postings come first. A term with many postings, by ``counts`` (term, n), is numbered in as many
+    parts as SHARE asks for, so no term is one task's; those terms are few and are broadcast. Postings are shuffled once,
+    by folder and part.
     """
-    parts = postings.groupBy("term").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
-    cut = postings.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+    parts = counts.select("term", F.ceil(F.col("n") / SHARE).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")  # neighbouring chunks stay together
+    cut = postings.join(F.broadcast(parts), "term", "left").withColumn("part", part).drop("parts").withColumn("folder", folder(F.col("term")))
+    cut = cut.repartition(FOLDERS, "folder", "part").select("folder", "part", "term", F.inline(F.arrays_zip("id", "book_id", "doc_len", "positions")))
+    cut = cut.withColumn("tf", F.size("positions"))
     impact = F.col("tf") / (F.col("tf") + K1 * (1.0 - B + B * F.col("doc_len") / USUAL_LENGTH))
-    place = F.row_number().over(Window.partitionBy("term", "part").orderBy(F.desc(impact), "id")) - 1
+    # grouped by folder too, so that Spark knows that the rows are where they must be
+    place = F.row_number().over(Window.partitionBy("folder", "part", "term").orderBy(F.desc(impact), "id")) - 1
     posting = F.struct("id", "book_id", "doc_len", "tf", "positions")
     return (
         cut.withColumn("block", F.floor(place / BLOCK).cast("int"))
-        .groupBy("term", "part", "block")
+        .groupBy("folder", "part", "term", "block")
         .agg(
             F.max("tf").alias("most_tf"),
             F.min("doc_len").alias("least_len"),
             F.count("*").alias("n"),
             F.array_sort(F.collect_list(posting)).alias("postings"),  # at most BLOCK
         )
-        .withColumn("folder", folder(F.col("term")))
     )
 
 
 def _write_postings(chunks: DataFrame, path: str, generation: int, tokenizer: Tokenizer) -> None:
+    """The postings of chunks whose documents are written."""
+    terms = chunks.sparkSession.read.parquet(f"{path}/documents/generation={generation}").select(F.explode("terms").alias("term"))
+    rows = _blocks(_positions(chunks, tokenizer), terms.groupBy("term").agg(F.count("*").alias("n")))
     # by term within a folder, so that a search reads the row groups of its terms alone
-    rows = _blocks(_positions(chunks, tokenizer)).repartition(FOLDERS, "folder").sortWithinPartitions("folder", "term", "part", "block")
-    rows.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings/generation={generation}")
+    rows = rows.select("term", "part", "block", "most_tf", "least_len", "n", "postings", "folder").sortWithinPartitions("folder", "term", "part", "block")
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/postings/generation={generation}")
 
 
 def _write_documents(chunks: DataFrame, path: str, generation: int, tokenizer: Tokenizer) -> None:
     split = chunks.select("id", "book_id", tokenizer(F.col("content")).alias("tokens"))
     rows = split.select("id", "book_id", F.size("tokens").alias("doc_len"), F.array_distinct("tokens").alias("terms"))
-    rows.write.mode("overwrite").parquet(f"{path}/documents/generation={generation}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/documents/generation={generation}")
 
 
 def _size(documents: DataFrame) -> tuple[int, int]:
@@ -130,8 +155,8 @@ def _write_stats(spark: SparkSession, path: str, generation: int, n: int, words:
 def build(chunks: DataFrame, path: str, tokenizer: Tokenizer = tokens) -> TextIndex:
     """Index chunks (id, book_id, content) under a new ``path``."""
     spark = chunks.sparkSession
-    _write_postings(chunks, path, 0, tokenizer)
     _write_documents(chunks, path, 0, tokenizer)
+    _write_postings(chunks, path, 0, tokenizer)
     first = TextIndex(spark, path, {"postings": [0], "documents": [0], "terms": [0], "stats": [0], "gone": [0]})
     spark.createDataFrame([], "id string, before int").write.mode("overwrite").parquet(f"{path}/gone/generation=0")
     postings = spark.read.schema(first.schema()).parquet(f"{path}/postings/generation=0")
@@ -150,8 +175,8 @@ def replace_books(index: TextIndex, chunks: DataFrame, book_ids: Sequence[str],
     spark, path, state, stats = index.spark, index.path, index.state, index.stats()
     new = max(max(v) for v in state.values()) + 1
     old = _live(index, index.table("documents"), book_ids) if book_ids else index.table("documents").limit(0)
-    _write_postings(chunks, path, new, tokenizer)
     _write_documents(chunks, path, new, tokenizer)
+    _write_postings(chunks, path, new, tokenizer)
     gone = old.select(F.col("id").cast("string").alias("id"), F.lit(new).alias("before"))
     gone.write.mode("overwrite").parquet(f"{path}/gone/generation={new}")
     added = spark.read.parquet(f"{path}/documents/generation={new}")
@@ -215,7 +240,9 @@ def scores(index: TextIndex, query: str, tokenizer: Tokenizer = tokens) -> DataF
 def _summed(index: TextIndex, live: DataFrame, asked: list[dict]) -> DataFrame:
     terms = index.spark.createDataFrame([(a["term"], a["times"] * a["idf"]) for a in asked], "term string, weight double")
     part = F.col("weight") * _gain(F.col("tf"), F.col("doc_len"), index.stats()["avgdl"])
-    return live.join(F.broadcast(terms), "term").groupBy("id").agg(F.sum(part).alias("raw"))
+    # added by term, so that equal chunks have equal scores to the last bit; a chunk has a row a term of the query
+    parts = F.array_sort(F.collect_list(F.struct("term", part.alias("part"))))
+    return live.join(F.broadcast(terms), "term").groupBy("id").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"]).alias("raw"))
 
 
 def topk(index: TextIndex, query: str, k: int = 10, book_ids: Sequence[str] | None = None, tokenizer: Tokenizer = tokens) -> DataFrame:

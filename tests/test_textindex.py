@@ -99,3 +99,27 @@ def test_an_empty_index(spark, tmp_path):
     assert textindex.scores(empty, "w1").count() == textindex.topk(empty, "w1").count() == textindex.near(empty, "w1").count() == 0
     grown = textindex.replace_books(empty, spark.createDataFrame([("a", "b", "w1 w2"), ("c", "b", "w3")], SCHEMA), [])
     assert [r["id"] for r in textindex.topk(grown, "w1").collect()] == ["a"]
+
+
+def test_equal_chunks_have_equal_scores(spark, tmp_path, monkeypatch):
+    """Scores are added in one order, so ties go by id also where blocks, parts and generations differ."""
+    monkeypatch.setattr(textindex, "BLOCK", 4)
+    monkeypatch.setattr(textindex, "SHARE", 20)
+    monkeypatch.setattr(textindex, "TOKENS", 50)
+    said = [t for _, _, t in texts(40, 3) if t][:12]
+    docs = [(f"{c}-{k}", f"b{c % 2}", t) for c in range(30) for k, t in enumerate(said)]
+    index = textindex.build(spark.createDataFrame(docs[:200], SCHEMA).repartition(7), f"file://{tmp_path}/i")
+    index = textindex.replace_books(index, spark.createDataFrame(docs[200:], SCHEMA), [])
+    found = textindex.scores(index, "w0 w1 w2 w3 w4 w5 w6 w7 w8").collect()
+    by_text = {}
+    for r in found:
+        by_text.setdefault(r["id"].split("-")[1], set()).add(r["raw"])
+    assert by_text and all(len(v) == 1 for v in by_text.values())
+    top = [r["id"] for r in textindex.topk(index, "w0 w1 w2 w3 w4 w5 w6 w7 w8", 20).collect()]
+    assert top == sorted(top) and len({i.split("-")[1] for i in top}) == 1
+
+
+def test_postings_are_shuffled_once(chunks):
+    rows = textindex._blocks(textindex._positions(chunks, textindex.tokens), chunks.select(F.lit("w0").alias("term"), F.lit(1).alias("n")).limit(1))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
