@@ -205,10 +205,10 @@ def search(
     tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
     """Hybrid search. An embedder that fails leaves the keyword signal alone; where the full-text signal
-    can't be had, also at run time, BM25 stands in for it. The hits of the keyword signal are kept while they are read."""
+    can't be had, also at run time, BM25 stands in for it. Ids and scores of both signals are kept while they are read."""
     corpus = of_books(chunks, book_ids)
     try:
-        near = cosine_scores(vectors, embed_query(query), book_ids)
+        near = cosine_scores(vectors, embed_query(query), book_ids).persist()  # (id, score), read several times
     except Exception:  # the provider may be out of reach
         log.exception("no query vector")
         near = None
@@ -223,7 +223,9 @@ def search(
     if raw is None:
         raw = bm25_scores(corpus, query, tokenizer).persist()  # (id, score) of the hits, read several times
     found = best_fused(corpus, near, relative(raw), k, threshold)
-    raw.unpersist()  # a result that still needs it computes it again
+    for kept in (raw, near):  # a result that still needs them computes them again
+        if kept is not None:
+            kept.unpersist()
     return found
 
 
