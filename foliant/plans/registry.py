@@ -252,12 +252,19 @@ def rag_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.citations(_hybrid(spark, sf_dir, k=5)).withColumn("score", r6("score"))
 
 
+def _written(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows as they are read again from a table."""
+    path = streams.scratch(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @query
 def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: clean, chunk, embed by hash, search."""
     docs = V.table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("string").alias("book_id"), T.clean_whitespace(F.col("text")).alias("content"))
-    chunks = chunking.document_chunks(rows).withColumnRenamed("chunk_id", "id")
+    chunks = _written(chunking.document_chunks(rows).withColumnRenamed("chunk_id", "id"), "chunks")  # search reads them several times
     vectors = providers.embed_chunks(chunks).select("id", "book_id", "vector")
     hits = retrieval.search(chunks, vectors, CHUNK_QUERY, lambda q: providers.HashEmbedder().embed([q])[0], k=10)
     return hits.select("id", "book_id", "position", r6("score").alias("score"))
@@ -268,7 +275,7 @@ def ingest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files through parsing, cleaning, chunking and embedding: one row a chunk."""
     docs = _headed(spark, sf_dir)
     files = docs.select(F.concat(F.lit("/books/"), "book_id", F.lit(".txt")).alias("path"), F.encode("content", "utf-8").alias("content"))
-    vectors = ingest.ingest(book_files.read_text(files)).vectors
+    vectors = ingest.ingest(_written(book_files.read_text(files), "parsed")).vectors  # numbering and cutting both read the chapters
     return vectors.select("id", "book_id", "chapter_id", "content", "position", "token_count", F.col("vector")[0].alias("first"))
 
 
