@@ -6,7 +6,6 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,22 +71,17 @@ def load(spark: SparkSession, path: str) -> TextIndex:
 
 
 def _positions(chunks: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(term, id, book_id, doc_len, positions) of every term of every chunk, as arrays of some neighbouring chunks: nothing is shuffled yet."""
+    """(id, book_id, doc_len, term, positions) of every term of every chunk, gathered where the chunk is: nothing is shuffled yet."""
     split = chunks.select("id", "book_id", tokenizer(F.col("content")).alias("tokens"))
-    kinds = dict(split.dtypes)
-    out = f"term string, id array<{kinds['id']}>, book_id array<{kinds['book_id']}>, doc_len array<int>, positions array<array<int>>"
+    out = StructType([split.schema["id"], split.schema["book_id"], *StructType.fromDDL("doc_len int, term string, positions array<int>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "tokens", TOKENS)):
             tokens = batch.column("tokens")
             row, term, starts, places = gathered(tokens)
-            lists = term.dictionary_encode()  # a term's postings are neighbours
-            code = lists.indices.to_numpy(zero_copy_only=False)
-            ends = pa.array(np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)]), len(code)], pa.int32())
-            positions = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(places, pa.int32()))
             held = [batch.column(c).take(pa.array(row)) for c in ("id", "book_id")]
-            columns = [pa.ListArray.from_arrays(ends, c) for c in (*held, pa.array(sizes(tokens)[row], pa.int32()), positions)]
-            yield pa.RecordBatch.from_arrays([lists.dictionary, *columns], names=["term", "id", "book_id", "doc_len", "positions"])
+            positions = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*held, pa.array(sizes(tokens)[row], pa.int32()), term, positions], names=out.fieldNames())
 
     return split.mapInArrow(run, out)
 
@@ -100,10 +94,9 @@ def _blocks(postings: DataFrame, counts: DataFrame) -> DataFrame:
     by folder and part.
     """
     parts = counts.select("term", F.ceil(F.col("n") / SHARE).cast("int").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")  # neighbouring chunks stay together
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")
     cut = postings.join(F.broadcast(parts), "term", "left").withColumn("part", part).drop("parts").withColumn("folder", folder(F.col("term")))
-    cut = cut.repartition(FOLDERS, "folder", "part").select("folder", "part", "term", F.inline(F.arrays_zip("id", "book_id", "doc_len", "positions")))
-    cut = cut.withColumn("tf", F.size("positions"))
+    cut = cut.repartition(FOLDERS, "folder", "part").withColumn("tf", F.size("positions"))
     impact = F.col("tf") / (F.col("tf") + K1 * (1.0 - B + B * F.col("doc_len") / USUAL_LENGTH))
     # grouped by folder too, so that Spark knows that the rows are where they must be
     place = F.row_number().over(Window.partitionBy("folder", "part", "term").orderBy(F.desc(impact), "id")) - 1
