@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import discard, pick, stash, with_field
 from foliant.llm.components import connected_components
 from foliant.llm.groups import Forests, Unions, by_bucket, salted_join, sorted_by_bucket, split_buckets
+from foliant.llm.shingles import chosen, hashes_of, open_pairs
 
 BITS = 64
 #: Rows of a bucket block; a bucket beyond it is compared by more than one task.
@@ -74,27 +74,19 @@ def code(text: str | None, shingle: int = 4, words: int = 1, distinct: bool = Fa
 
     With ``distinct``, a shingle that repeats counts once.
     """
-    own = (text or "").encode("utf-8", "replace").lower().split()
-    if not own:
-        return np.zeros(words, np.uint64)
-    joined = b" ".join(own)
-    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    k = min(shingle, len(own))
-    digest = xxhash.xxh64_intdigest
+    hashes = hashes_of(text, shingle)
+    return _majority(np.unique(hashes) if distinct else hashes, words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits that are set in over half the hashes, for so many words; without hashes they are zero."""
     ones = np.zeros((words, BITS), np.int64)
-    n = len(own) - k + 1
-    spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
-    if distinct:
-        hashes = np.unique(hashes)
-        n = len(hashes)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
         for w in range(words):
             bits = np.unpackbits(_mixed(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[w] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -112,18 +104,35 @@ def word_columns(words: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
-    """``docs`` plus ``fp`` (and ``fp1``, ...), the fingerprint of the text as signed longs."""
+    """``docs`` plus ``fp`` (and ``fp1``, ...), the fingerprint of the text as signed longs.
+
+    With ``distinct``, a shingle that repeats counts once, and the set of hashes adds its ``size``
+    and its ``digest``.
+    """
     out = docs.schema
     at = out.fieldNames().index(text)
     for name in word_columns(words):
         out = with_field(out, name, "long")
+    for name in ("size", "digest") if distinct else ():
+        out = with_field(out, name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
-            fps = [code(t, shingle, words, distinct) for k in range(0, len(column), 256) for t in column.slice(k, 256).to_pylist()]
+            fps, sizes, digests = [], [], []
+            for k in range(0, len(column), 256):
+                for t in column.slice(k, 256).to_pylist():
+                    if not distinct:
+                        fps.append(code(t, shingle, words))
+                        continue
+                    hashes = np.unique(hashes_of(t, shingle))
+                    fps.append(_majority(hashes, words))
+                    sizes.append(len(hashes))
+                    digests.append(np.bitwise_xor.reduce(_mixed(hashes, words), initial=np.uint64(0)))
             table = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(table[:, w])) for w in range(words)]
+            if distinct:
+                columns += [pa.array(sizes, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=out.fieldNames())
 
     return docs.mapInArrow(run, out)
@@ -327,6 +336,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     more than ``MANY`` edges goes to one more task for each so many.
     """
     edges = stash(edges.distinct(), "pairs")
+    texts = chosen(texts, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     dealt, sent = edges, []
     for side, other in (("a", "b"), ("b", "a")):
         counts = edges.groupBy(side).agg(F.ceil(F.count("*") / MANY).cast("int").alias("tasks"))
@@ -367,13 +377,11 @@ def near_duplicates(
     ``keep_row``, the input row as struct ``record``.
 
     With ``similarity``, documents link if the Jaccard similarity of their sets of shingles is
-    at least that (``distance`` is not read). Fingerprints of ``WIDE`` words, where a shingle
-    counts once, find the candidates, and each link is confirmed on the whole texts, so no row
-    goes without a text that similar. Texts with equal fingerprints of all words link without
-    that. Of the pairs a few escape the forest, whose trees each reach one bit of 21 or 22, and
-    where more than ``FORESTS`` pairs of a shard might join two groups, those of the nearest
-    fingerprints are tried; the README has the measured recall. The fingerprint returned is
-    the first word.
+    at least that (``distance`` is not read), and no such link is lost. Fingerprints of ``WIDE``
+    words, where a shingle counts once, find most of them by the forest; an exact join of the sets
+    (``shingles.open_pairs``) then finds every pair that might join two of the components so
+    far. Each link is confirmed on the whole texts, so no row goes without a text that similar.
+    Texts with equal sets are one. The fingerprint returned is the first word.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat a
     doc_id are rows of their own. A null doc_id sorts after all others. Other columns of the
@@ -385,12 +393,13 @@ def near_duplicates(
         own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), record)
     words = 1 if similarity is None else WIDE
     columns = word_columns(words)
+    alike = columns if similarity is None else [*columns, "size", "digest"]
     marked = fingerprints(own, "text", shingle, words, similarity is not None).withColumn("uid", F.monotonically_increasing_id())
     if similarity is None or keep_row:  # the record holds the text already
         marked = marked.drop("text")
     marked = stash(marked, "fingerprints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    classes = marked.groupBy(*columns).agg(F.min(order).alias("first"), F.min("uid").alias("node"))
+    classes = marked.groupBy(*alike).agg(F.min(order).alias("first"), F.min("uid").alias("node"))
     classes = stash(classes, "classes")
     if similarity is None:
         edges = close_pairs_forest(classes, distance, trees, leaf, sample, "node")
@@ -398,14 +407,17 @@ def near_duplicates(
         far = distance_of(similarity, BITS * words)
         edges = close_pairs_forest(classes, far, trees, 2 * leaf, sample, "node", words, INDEXED, reach=1, forests=FORESTS)
         whole = F.col("record")[text] if keep_row else F.col("text")
-        edges = confirmed(edges, marked.select(F.col("uid").alias("node"), whole.alias("text")), shingle, similarity)
+        texts = chosen(marked.select(F.col("uid").alias("node"), whole.alias("text")), classes.select("node"))
+        edges = stash(confirmed(edges, texts, shingle, similarity), "links")
+        others = open_pairs(texts, stash(connected_components(edges, "a", "b"), "linked"), shingle, similarity)
+        edges = edges.union(confirmed(others, texts, shingle, similarity))
     labels = stash(connected_components(edges, "a", "b").join(classes.select("node", "first"), "node"), "labels")
     firsts = labels.groupBy("component").agg(F.min("first").alias("least"))
     least = salted_join(labels.select("node", "component"), firsts, ["component"], "node").select("node", "least")
-    members = classes.join(least, "node", "left").select(*columns, F.coalesce("least", "first").alias("first"))
+    members = classes.join(least, "node", "left").select(*alike, F.coalesce("least", "first").alias("first"))
     members = stash(members, "members")
     discard(classes, labels)
-    out = marked.join(members, columns)
+    out = marked.join(members, alike)
     return out.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

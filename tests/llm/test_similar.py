@@ -92,3 +92,64 @@ def test_no_text_goes_without_a_similar_one(spark, monkeypatch, many):
     joined = sum(got[i]["component_id"] == got[j]["component_id"] for i, j in near)
     assert joined >= 0.97 * len(near)
     assert len({got[n - k]["component_id"] for k in (1, 2, 3, 4)}) == 4
+
+
+def at_the_limit(rnd, n, word):
+    """Pairs of n texts whose similarity is 0.8 or a little more, by edits at places far apart."""
+    texts = []
+    for _ in range(n):
+        base = [word() for _ in range(rnd.choice((60, 150, 304)))]
+        copy = list(base)
+        for at in range(2, len(base), 5):
+            copy[at] = word()
+            if share(" ".join(base), " ".join(copy)) < 0.8:
+                copy[at] = base[at]
+                break
+        texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+def test_no_link_is_lost(spark):
+    """Pairs at just the limit, below it, chains, and a notice that all have; components are those of all pairs."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=5))
+    texts = at_the_limit(rnd, 100, word)
+    notice = " ".join(word() for _ in range(40))
+    texts += [f"{notice} {' '.join(word() for _ in range(rnd.choice((3, 9, 30))))}" for _ in range(90)]
+    chain = [word() for _ in range(200)]
+    for _ in range(30):
+        chain = list(chain)
+        for _ in range(4):
+            chain[rnd.randrange(200)] = word()
+        texts.append(" ".join(chain))
+    texts += [None, "", "one two", "One  two", "one three"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, shingle=5, similarity=0.8, leaf=16).collect()}
+    n, sets = len(texts), [sets_of(t) for t in texts]
+    near = [(i, j) for i in range(n) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert [got[i] for i in range(n)] == roots(n, *np.array(near).T).tolist()
+
+
+@pytest.mark.parametrize("shard", [8, 1 << 16])
+def test_open_pairs_are_all_that_join_components(spark, monkeypatch, shard):
+    """Nothing linked yet, and a long list dealt to more tasks: every pair at the limit is there, of one component none is."""
+    from foliant.llm import shingles
+
+    monkeypatch.setattr(shingles, "SHARD", shard)
+    rnd = random.Random(shard)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if rnd.random() > 0.02 else "x" + str(rnd.random()) for w in base) for _ in range(90)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    linked = spark.createDataFrame([(k, 0) for k in range(0, 90, 2)], "node long, component long")
+    got = {tuple(r) for r in shingles.open_pairs(frame, linked, 5, 0.8).collect()}
+    near = {(i, j) for j in range(90) for i in range(j) if share(texts[i], texts[j]) >= 0.8}
+    apart = lambda i, j: i % 2 or j % 2
+    assert {p for p in near if apart(*p)} <= got and all(apart(*p) for p in got) and len(near) > 200
+
+
+def test_equal_sets_are_one_class(spark):
+    texts = ["a b c d e f", "a b c d e g", "A b c d  e f", "a b c d e f a b c d e f a b c d e", "", None]
+    marked = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=5, distinct=True)
+    rows = {r["doc_id"]: r for r in marked.collect()}
+    assert [rows[k]["size"] for k in range(6)] == [2, 2, 2, 6, 0, 0]
+    assert rows[0]["digest"] == rows[2]["digest"] != rows[1]["digest"] and rows[4]["digest"] == rows[5]["digest"]
