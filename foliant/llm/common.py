@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 
+#: Rows that a file of a stashed table has at least, where it is known how many the table has at most.
+FILE_ROWS = 1 << 14
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
@@ -35,12 +39,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/foliant/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage, and what a lost executor computed is read again, not computed again.
+    ``rows``, the most that it may have, keeps a small table from a file for each shuffle
+    partition. On local file systems every file and folder is a ``chmod`` of the executor, and
+    until that process has begun it counts the executor's memory once more.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -23,22 +23,23 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """(node, component) of every node that an edge names; component is the least node reachable.
 
     Edges with a null end or equal ends are ignored. An empty table gives an empty table.
+    ``rows``, if known, is the most that ``edges`` has.
     Each round moves at most two rows an edge; rounds grow with the logarithm of the diameter.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
-    e = stash(e.distinct(), "edges")
+    e = stash(e.distinct(), "edges", rows)
     mark = _mark(e)
     while mark[0]:
         ends = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _with_minimum(e, "lo", least).select("hi", F.col("m").alias("lo")).where("hi > lo").distinct()
-        large = stash(large, "large")
+        large = stash(large, "large", mark[0])
         nearest = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = (
             _with_minimum(large, "hi", nearest)
@@ -46,7 +47,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(nearest.select("u", "m"))
         )
-        new = stash(small.distinct(), "edges")
+        new = stash(small.distinct(), "edges", 2 * mark[0])
         discard(e, large)
         e, old, mark = new, mark, _mark(new)
         if mark == old:

@@ -82,10 +82,10 @@ def sharing(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("node")
 
 
-def open_pairs(texts: DataFrame, labels: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def open_pairs(texts: DataFrame, labels: DataFrame, shingle: int, similarity: float, rows: int | None = None) -> DataFrame:
     """Pairs (a, b) of nodes of different components, among them every one whose sets of shingles are so similar.
 
-    ``texts`` has the text of each node, and ``labels`` (node, component) what is linked already. A share of
+    ``texts`` has the text of each node (at most ``rows``, if known), and ``labels`` (node, component) what is linked already. A share of
     all shingles says of most texts that too many are theirs alone. The shingles of the others are
     ordered by how many of these nodes have them, the rare ones first. Two similar sets have one in common
     in the prefix that holds one shingle more than may differ, so nodes meet where prefixes do. A shingle of
@@ -93,7 +93,7 @@ def open_pairs(texts: DataFrame, labels: DataFrame, shingle: int, similarity: fl
     them. A pair passes if what follows the shingle in both sets is enough for the similarity; at
     their first common one it is, if they are similar.
     """
-    alive = stash(sharing(texts, shingle, similarity), "sharing")
+    alive = stash(sharing(texts, shingle, similarity), "sharing", rows)
     rows = _shingles(chosen(texts, alive), shingle, similarity).drop("need")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     own = Window.partitionBy("node")

@@ -398,9 +398,10 @@ def near_duplicates(
     if similarity is None or keep_row:  # the record holds the text already
         marked = marked.drop("text")
     marked = stash(marked, "fingerprints")
+    rows = marked.count()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = marked.groupBy(*alike).agg(F.min(order).alias("first"), F.min("uid").alias("node"))
-    classes = stash(classes, "classes")
+    classes = stash(classes, "classes", rows)
     if similarity is None:
         edges = close_pairs_forest(classes, distance, trees, leaf, sample, "node")
     else:
@@ -409,13 +410,14 @@ def near_duplicates(
         whole = F.col("record")[text] if keep_row else F.col("text")
         texts = chosen(marked.select(F.col("uid").alias("node"), whole.alias("text")), classes.select("node"))
         edges = stash(confirmed(edges, texts, shingle, similarity), "links")
-        others = open_pairs(texts, stash(connected_components(edges, "a", "b"), "linked"), shingle, similarity)
+        linked = stash(connected_components(edges, "a", "b", edges.count()), "linked", rows)
+        others = open_pairs(texts, linked, shingle, similarity, rows)
         edges = edges.union(confirmed(others, texts, shingle, similarity))
-    labels = stash(connected_components(edges, "a", "b").join(classes.select("node", "first"), "node"), "labels")
+    labels = stash(connected_components(edges, "a", "b").join(classes.select("node", "first"), "node"), "labels", rows)
     firsts = labels.groupBy("component").agg(F.min("first").alias("least"))
     least = salted_join(labels.select("node", "component"), firsts, ["component"], "node").select("node", "least")
     members = classes.join(least, "node", "left").select(*alike, F.coalesce("least", "first").alias("first"))
-    members = stash(members, "members")
+    members = stash(members, "members", rows)
     discard(classes, labels)
     out = marked.join(members, alike)
     return out.select(

@@ -147,6 +147,35 @@ def test_open_pairs_are_all_that_join_components(spark, monkeypatch, shard):
     assert {p for p in near if apart(*p)} <= got and all(apart(*p) for p in got) and len(near) > 200
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Many shuffle partitions: what is written between the steps is as few files as its rows need."""
+    from pathlib import Path
+
+    from foliant.llm import common, components, shingles
+
+    parts = {}
+
+    def stash(df, tag, rows=None):
+        out = common.stash(df, tag, rows)
+        parts.setdefault(tag, []).append(len(list(Path(out._stash_path.removeprefix("file://")).glob("part-*"))))
+        return out
+
+    for module in (components, shingles, simhash):
+        monkeypatch.setattr(module, "stash", stash)
+    texts = [" ".join(f"w{k}" for k in range(60)) + f" x{n % 12}" * (n % 3) for n in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    with common.settings(spark, held):
+        got = simhash.near_duplicates(frame, shingle=5, similarity=0.8)
+        assert {r["component_id"] for r in got.collect()} == {0}
+    small = ("classes", "large", "linked", "sharing", "labels", "members")
+    assert {tag: max(parts[tag]) for tag in small} == dict.fromkeys(small, 1)
+    assert max(parts["edges"][1:]) <= 24 and parts["edges"].count(1) >= len(parts["edges"]) - 1
+    monkeypatch.setattr(common, "FILE_ROWS", 50)
+    with common.settings(spark, held):
+        assert common.stash(spark.range(120).repartition(24), "ids", 120).rdd.getNumPartitions() <= 3
+
+
 def test_equal_sets_are_one_class(spark):
     texts = ["a b c d e f", "a b c d e g", "A b c d  e f", "a b c d e f a b c d e f a b c d e", "", None]
     marked = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=5, distinct=True)
