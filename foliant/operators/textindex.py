@@ -17,6 +17,8 @@ from foliant.operators.retrieval import EPSILON, K1, B, Tokenizer, of_books, que
 
 #: Folders of terms, postings of a block, and postings of a term that are numbered together.
 FOLDERS, BLOCK, SHARE = 64, 128, 100_000
+#: Words whose postings are a slot, a share of a folder, and slots of a task: what a task holds doesn't grow with the index.
+SLOT, SLOTS = 200_000, 2
 #: Words that a task gathers at a time.
 TOKENS = WORDS
 #: What a list is ordered by, the most telling first; a search's bounds don't depend on it.
@@ -86,37 +88,41 @@ def _positions(chunks: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return split.mapInArrow(run, out)
 
 
-def _blocks(postings: DataFrame, counts: DataFrame) -> DataFrame:
+def _blocks(postings: DataFrame, counts: DataFrame, words: int = 0) -> DataFrame:
     """Postings of each term in blocks of BLOCK, with what bounds their scores: the greatest tf and the least length.
 
     The most telling postings come first. A term with many postings, by ``counts`` (term, n), is numbered in as many
     parts as SHARE asks for, so no term is one task's; those terms are few and are broadcast. Postings are shuffled once,
-    by folder and part.
+    by folder and slot; ``words``, the number of all, says how many slots a folder has.
     """
+    slots = max(-(-words // (FOLDERS * SLOT)), 1)
     parts = counts.select("term", F.ceil(F.col("n") / SHARE).cast("int").alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")
     cut = postings.join(F.broadcast(parts), "term", "left").withColumn("part", part).drop("parts").withColumn("folder", folder(F.col("term")))
-    cut = cut.repartition(FOLDERS, "folder", "part").withColumn("tf", F.size("positions"))
+    key = F.xxhash64("term", "part")
+    cut = cut.withColumn("slot", F.pmod(key, F.lit(slots)).cast("int")).repartition(FOLDERS * max(slots // SLOTS, 1), "folder", "slot")
+    cut = cut.withColumn("key", key).withColumn("tf", F.size("positions"))
     impact = F.col("tf") / (F.col("tf") + K1 * (1.0 - B + B * F.col("doc_len") / USUAL_LENGTH))
-    # grouped by folder too, so that Spark knows that the rows are where they must be
-    place = F.row_number().over(Window.partitionBy("folder", "part", "term").orderBy(F.desc(impact), "id")) - 1
+    # grouped by folder and slot too, so that Spark knows that the rows are where they must be; by key first, as sorts compare its number before all else
+    place = F.row_number().over(Window.partitionBy("key", "folder", "slot", "part", "term").orderBy(F.desc(impact), "id")) - 1
     posting = F.struct("id", "book_id", "doc_len", "tf", "positions")
     return (
         cut.withColumn("block", F.floor(place / BLOCK).cast("int"))
-        .groupBy("folder", "part", "term", "block")
+        .groupBy("key", "folder", "slot", "part", "term", "block")
         .agg(
             F.max("tf").alias("most_tf"),
             F.min("doc_len").alias("least_len"),
             F.count("*").alias("n"),
-            F.array_sort(F.collect_list(posting)).alias("postings"),  # at most BLOCK
+            F.sort_array(F.collect_list(posting)).alias("postings"),  # at most BLOCK
         )
     )
 
 
 def _write_postings(chunks: DataFrame, path: str, generation: int, tokenizer: Tokenizer) -> None:
     """The postings of chunks whose documents are written."""
-    terms = chunks.sparkSession.read.parquet(f"{path}/documents/generation={generation}").select(F.explode("terms").alias("term"))
-    rows = _blocks(_positions(chunks, tokenizer), terms.groupBy("term").agg(F.count("*").alias("n")))
+    documents = chunks.sparkSession.read.parquet(f"{path}/documents/generation={generation}")
+    counts = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    rows = _blocks(_positions(chunks, tokenizer), counts, _size(documents)[1])
     # by term within a folder, so that a search reads the row groups of its terms alone
     rows = rows.select("term", "part", "block", "most_tf", "least_len", "n", "postings", "folder").sortWithinPartitions("folder", "term", "part", "block")
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/postings/generation={generation}")

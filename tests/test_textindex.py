@@ -123,3 +123,17 @@ def test_postings_are_shuffled_once(chunks):
     rows = textindex._blocks(textindex._positions(chunks, textindex.tokens), chunks.select(F.lit("w0").alias("term"), F.lit(1).alias("n")).limit(1))
     plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_task_holds_few_postings_however_many_there_are(spark, chunks, tmp_path, monkeypatch):
+    """A folder's postings are dealt out by slots, as many as its words ask for; a search finds them all."""
+    monkeypatch.setattr(textindex, "FOLDERS", 2)
+    monkeypatch.setattr(textindex, "SLOT", 300, raising=False)
+    path = f"file://{tmp_path}/i"
+    index = textindex.build(chunks, path)
+    tasks = spark.read.parquet(f"{path}/postings/generation=0").groupBy(F.regexp_extract(F.input_file_name(), r"/part-(\d+)", 1).alias("task")).agg(F.sum("n").alias("n"))
+    held = [r["n"] for r in tasks.collect()]
+    assert sum(held) == sum(r["df"] for r in index.table("terms").collect()) and max(held) < 0.25 * sum(held)
+    for query in ("w1 w7 w55", "w0"):
+        assert rows(textindex.scores(index, query)) == rows(retrieval.bm25_scores(chunks, query))
+        assert best(textindex.topk(index, query, 9), 9) == best(retrieval.bm25_scores(chunks, query), 9)
