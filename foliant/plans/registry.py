@@ -72,7 +72,7 @@ def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books with a preface, two headings and an index."""
     docs = V.table(spark, sf_dir, "documents")
     body = F.concat(
-        F.lit("before\n  Chapter 1 The Text \n"), "text", F.lit("\nchapter 2\n\nnotes on "), "doc_id", F.lit("\nChapter 3 None\n \nIndex\n")
+        F.lit("before\n  Chapter 1 The Text \n"), F.coalesce("text", F.lit("")), F.lit("\nchapter 2\n\nnotes on "), "doc_id", F.lit("\nChapter 3 None\n \nIndex\n")
     )
     return docs.select(F.col("doc_id").alias("book_id"), F.lit("My Book").alias("title"), body.alias("content"))
 

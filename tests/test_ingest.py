@@ -4,6 +4,7 @@ import io
 import zipfile
 
 from foliant.operators import ingest, providers
+from foliant.plans import registry
 from foliant.sources import books as B
 
 
@@ -83,3 +84,15 @@ def test_only_new_texts_are_embedded(spark, tmp_path):
     assert ingest.drop_orphans(spark, out) == len(texts - now)
     run(b_txt=text + " and more")
     assert embedder.asked.value == len(texts | now)
+
+
+def test_a_document_without_text_keeps_its_other_chapters(spark, tmp_path):
+    texts = spark.createDataFrame([(7, None, "en", "src1"), (8, "a text", "en", "src1")], "doc_id long, text string, lang string, source string")
+    texts.write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = registry.queries()["ingest_vectors"](spark, f"file://{tmp_path}").orderBy("book_id", "position").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["book_id"], []).append(r["content"])
+    assert sorted(got.values()) == [["before", "a text", "notes on 8", "Index"], ["before", "notes on 7", "Index"]]
+    empty = B.read_text(spark.createDataFrame([("/books/x.txt", None)], "path string, content binary"))
+    assert [r["content"] for r in empty.collect()] == [""]
